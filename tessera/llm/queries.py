@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, toxicity
+from . import bpe, embedding, fingerprint, line_dedup, mixing, near_dup, substring, toxicity
 
 QUERIES = {
     "op2_entropy_mix": mixing.op2_entropy_mix,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_count_min_substrings": substring.op4_count_min_substrings,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op7_p_stable_vectors": embedding.op7_p_stable_vectors,
+    "op8_order_minhash": near_dup.op8_order_minhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_fingerprint": fingerprint.op10_fingerprint,
 }
 
-ORACLE_SQL = {"op9_line_dedup": line_dedup.OP9_SQL}
+ORACLE_SQL = {"op4_count_min_substrings": substring.OP4_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
