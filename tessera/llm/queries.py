@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding, fingerprint, line_dedup, mixing, near_dup, substring, toxicity
+from . import bpe, chat, embedding, fingerprint, line_dedup, mixing, near_dup, pii, substring, toxicity
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op2_entropy_mix": mixing.op2_entropy_mix,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_count_min_substrings": substring.op4_count_min_substrings,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_boosted_pii": pii.op6_boosted_pii,
     "op7_p_stable_vectors": embedding.op7_p_stable_vectors,
     "op8_order_minhash": near_dup.op8_order_minhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
