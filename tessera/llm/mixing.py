@@ -7,9 +7,9 @@ aggregation by source over the (source, size) histogram, with a bracket as the s
 are exact decimals, so reruns agree bit for bit.
 
 Rates become whole copies by error feedback: within hash buckets of about 256 documents of one
-source, from the largest document down, a copy is added when the words owed reach half of the
-document.  A bucket is bounded however hot its source, and its error is at most half of its
-smallest document, so a source's total comes within a sliver of its target.
+source, from the largest document down, each takes the number of copies nearest to its rate plus
+what rounding still owes.  A bucket is bounded however hot its source, and small documents come
+last, so a source's total ends within about half a small document of its target per bucket.
 """
 
 from __future__ import annotations
@@ -144,12 +144,12 @@ def copies_of(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: floa
 
     def step(acc: Column, doc: Column) -> Column:
         size = -doc["minus"]
-        owed = acc["owed"] + size * (doc["ppm"] % _PPM)
-        extra = ((doc["ppm"] % _PPM > 0) & (size > 0) & (owed * 2 >= size * _PPM)).cast("int")
-        whole = (doc["ppm"] / _PPM).cast("int")
+        wanted = acc["owed"] + size * doc["ppm"]
+        nearest = F.floor((2 * wanted + size * _PPM) / (2 * size * _PPM))
+        copies = F.when(size > 0, F.least(F.lit(cap), F.greatest(F.lit(0), nearest))).otherwise(F.round(doc["ppm"] / _PPM)).cast("int")
         return F.struct(
-            (owed - extra * size * _PPM).alias("owed"),
-            F.concat(acc["out"], F.array(F.struct(doc["key"].alias("key"), size.alias("size"), doc["ppm"].alias("ppm"), (whole + extra).alias("copies")))).alias("out"),
+            (wanted - copies * size * _PPM).alias("owed"),
+            F.concat(acc["out"], F.array(F.struct(doc["key"].alias("key"), size.alias("size"), doc["ppm"].alias("ppm"), copies.alias("copies")))).alias("out"),
         )
 
     key_type = sized.schema["key"].dataType.simpleString()
