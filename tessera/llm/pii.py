@@ -45,7 +45,7 @@ CUES = {
     "card": r"(?i)\b(?:card|visa|credit|debit|payment|account)\b",
     "phone": r"(?i)\b(?:phone|call|tel|fax|mobile|cell|whatsapp)\b",
 }
-_PART = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 FEATURES = ("kind", "digits", "groups", "separator", "before", "after", "cue", "length")
 #: Smallest share of base spans among the candidates that a chosen threshold lets through.
 PRECISION = 0.995
