@@ -25,8 +25,9 @@ from .common import pack, settle, unpack
 
 #: Samples in a fingerprint; each is written as four hex digits, 0000 for a text without words.
 SAMPLES = 128
-#: Words whose draws one task remembers.
-CACHE = 40_000
+#: Words whose draws one task keeps for good (the first it meets, so the frequent ones among
+#: them), and those it keeps for a while: a text, its successor and its edited form share words.
+CACHE, RECENT = 36_000, 16_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -36,33 +37,56 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Draws of r, c and b lie on a grid of so many equally likely values.
+_GRID = 1 << 16
+
+
+def gamma_quantiles() -> np.ndarray:
+    """The middle quantiles of Gamma(2, 1) on the grid, by bisection of 1 - (1 + x) exp(-x)."""
+    wanted = (np.arange(_GRID) + 0.5) / _GRID
+    low, high = np.zeros(_GRID), np.full(_GRID, 40.0)
+    for _ in range(60):
+        middle = (low + high) / 2
+        below = 1 - (1 + middle) * np.exp(-middle) < wanted
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    return (low + high) / 2
+
+
 class Sampler:
-    def __init__(self, samples: int = SAMPLES, cache: int = CACHE):
-        self.samples, self.limit = samples, cache
-        self.steps = _mix(np.arange(1, 5 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(5, samples)
+    def __init__(self, samples: int = SAMPLES, cache: int = CACHE, recent: int = RECENT):
+        self.samples, self.kept, self.limit = samples, cache, cache + recent
+        self.steps = _mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        gamma = gamma_quantiles()
+        self.gamma, self.ln_gamma = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
         self.rows: dict[bytes, int] = {}
-        self.hashes = np.zeros(cache, np.uint64)
-        self.one, self.r, self.b, self.lnc = (np.zeros((cache, samples), np.float32) for _ in range(4))
+        self.recent: list[bytes] = []
+        self.hashes = np.zeros(self.limit, np.uint64)
+        self.one, self.r, self.b, self.lnc = (np.zeros((self.limit, samples), np.float32) for _ in range(4))
 
     def _draw(self, hashes: np.ndarray):
         """For each word: ln a at weight 1, r, b and ln c, one column for each sample."""
-        u = [((_mix(hashes[:, None] ^ step[None, :]) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24) for step in self.steps]
-        r, lnc, b = -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4]
+        x = _mix(hashes[:, None] ^ self.steps[None, :])
+        field = np.uint64(_GRID - 1)
+        r, lnc = self.gamma[x & field], self.ln_gamma[x >> np.uint64(16) & field]
+        b = (x >> np.uint64(48)).astype(np.float32) * np.float32(1 / _GRID)
         return lnc - r * (1 - b), r, b, lnc
 
     def _cached(self, words: list[bytes]) -> np.ndarray:
-        """Row numbers of the words in the cache; the caller passes no more words than it holds."""
+        """Row numbers of at most RECENT words; recent ones are forgotten together when full."""
         new = [w for w in words if w not in self.rows]
         if new:
             if len(self.rows) + len(new) > self.limit:
-                self.rows.clear()
-                new = words
+                for w in self.recent:
+                    del self.rows[w]
+                self.recent = []
+                new = [w for w in words if w not in self.rows]
             first = len(self.rows)
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in new), np.uint64, len(new))
             at = slice(first, first + len(new))
             self.hashes[at] = hashes
             self.one[at], self.r[at], self.b[at], self.lnc[at] = self._draw(hashes)
             self.rows.update(zip(new, range(first, first + len(new)), strict=True))
+            self.recent += new[max(0, self.kept - first) :]
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
     def sample(self, text: str) -> np.ndarray:
@@ -70,24 +94,24 @@ class Sampler:
         counts = Counter(text.encode("utf-8", "surrogatepass").split())
         best = np.full(self.samples, np.inf, np.float32)
         out = np.zeros(self.samples, np.uint64)
-        words = sorted(counts)
+        columns = np.arange(self.samples)
+        words = list(counts)
         for start in range(0, len(words), 4096):
             some = words[start : start + 4096]
             rows = self._cached(some)
-            weights = np.fromiter(map(counts.__getitem__, some), np.float32, len(some))
-            lna, levels = self.one[rows], np.zeros((len(some), self.samples), np.int32)
-            many = np.flatnonzero(weights > 1)
+            logs = np.log(np.fromiter(map(counts.__getitem__, some), np.float32, len(some)))
+            lna = self.one[rows]
+            many = np.flatnonzero(logs)
             if len(many):
                 at = rows[many]
                 r, b = self.r[at], self.b[at]
-                t = np.floor(np.log(weights[many])[:, None] / r + b)
-                levels[many] = t
-                lna[many] = self.lnc[at] - r * (t - b + 1)
+                lna[many] = self.lnc[at] - r * (np.floor(logs[many][:, None] / r + b) - b + 1)
             low = lna.argmin(axis=0)
-            columns = np.arange(self.samples)
-            value, better = lna[low, columns], lna[low, columns] < best
-            chosen = _mix(self.hashes[rows[low]] + levels[low, columns].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            best, out = np.where(better, value, best), np.where(better, chosen, out)
+            value, chosen = lna[low, columns], rows[low]
+            level = np.floor(logs[low] / self.r[chosen, columns] + self.b[chosen, columns]).astype(np.int64).view(np.uint64)
+            sampled = _mix(self.hashes[chosen] + level * np.uint64(0x9E3779B97F4A7C15))
+            better = value < best
+            best, out = np.where(better, value, best), np.where(better, sampled, out)
         return (out % np.uint64(65535) + np.uint64(1)).astype(np.uint16) if words else np.zeros(self.samples, np.uint16)
 
 
@@ -96,8 +120,8 @@ def _sampler(samples: int) -> Sampler:
     return Sampler(samples)
 
 
-def _hex(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype(">u2").tobytes().hex()
+def _packed(fingerprint: np.ndarray) -> bytes:
+    return fingerprint.astype(">u2").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -113,7 +137,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", samples: int = SAMPLES
         sampler = _sampler(samples)
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            made = pa.array([_hex(sampler.sample(t.as_py())) for t in batch.column(at)], pa.string())
+            made = pa.array([_packed(sampler.sample(t.as_py())).hex() for t in batch.column(at)], pa.string())
             yield batch.set_column(at, "fingerprint", made)
 
     made = packed.mapInArrow(run, T.StructType().add("row", packed.schema["row"].dataType).add("fingerprint", "string"))
@@ -126,7 +150,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compare(sampler: Sampler, text: str, following: str, own: np.ndarray, other: np.ndarray) -> tuple:
@@ -134,8 +158,8 @@ def _compare(sampler: Sampler, text: str, following: str, own: np.ndarray, other
 
     changed = edited(text, following)
     after = sampler.sample(changed)
-    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-    return len(text), digest, _hex(own), _hex(after), likeness(own, after), likeness(own, other)
+    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest()
+    return len(text), digest, _packed(own), _packed(after), likeness(own, after), likeness(own, other)
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -192,11 +216,13 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield _batch(out, pa.schema(list(_arrow_schema(batch.schema.field("id").type))[:7]))
 
     closed = open_.mapInArrow(finish, f"id {kind}, {_RESULT}")
-    return halves.where("edge IS NULL").drop("part", "edge", "text").unionByName(closed).withColumnRenamed("id", id_col)
+    done = halves.where("edge IS NULL").drop("part", "edge", "text").unionByName(closed)
+    hexed = {n: F.lower(F.hex(n)) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return done.withColumns(hexed).withColumnRenamed("id", id_col)
 
 
 def _arrow_schema(id_type: pa.DataType) -> pa.Schema:
-    kinds = [("id", id_type), ("n_chars", pa.int64()), *[(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")]]
+    kinds = [("id", id_type), ("n_chars", pa.int64()), *[(n, pa.binary()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")]]
     kinds += [("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())]
     return pa.schema(kinds)
 

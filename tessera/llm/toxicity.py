@@ -30,9 +30,11 @@ from .common import pack, settle, unpack
 #: Bounds of the training sample, in rows of each class.
 MAX_TOXIC, MAX_ORDINARY = 6_000, 14_000
 #: Most stems and ordinary words that the dictionaries take, and the word forms looked at.
-MAX_STEMS, BASE_WORDS, CONTRAST_WORDS, MAX_FORMS = 60, 800, 2_000, 400_000
-#: A stem's smoothed log odds and its least number of toxic documents.
-MIN_ODDS, MIN_DOCS = 2.0, 3
+MAX_STEMS, BASE_WORDS, CONTRAST_WORDS, MAX_FORMS = 120, 800, 2_000, 400_000
+#: A stem's smoothed log odds, its least number of toxic documents and least share of them.
+MIN_ODDS, MIN_DOCS, MIN_SHARE = 2.0, 3, 0.008
+#: Training rows whose first so many code points agree count once.
+START = 60
 #: Distances remembered per task.
 CACHE = 400_000
 _WORD = re.compile(r"[^\W_]+")
@@ -89,30 +91,27 @@ class Distance:
         return out
 
 
-def _stems(forms: list[tuple[str, int, int]], toxic_sets: list[set[str]], n_toxic: int, n_ordinary: int) -> list[str]:
-    """Stems, best first, that together cover the toxic documents: most evidence, then longest."""
-    odds = {}
+def _stems(forms: list[tuple[str, int, int]], n_toxic: int, n_ordinary: int) -> list[str]:
+    """Word stems that mark toxic text, best first: most evidence, then longest.
+
+    A form is left out if a chosen stem begins it, or if it begins a chosen stem and adds few
+    documents of its own.
+    """
+    least = max(MIN_DOCS, round(MIN_SHARE * n_toxic))
+    scored = []
     for form, toxic, ordinary in forms:
-        value = math.log((toxic + 0.1) / (n_toxic + 0.2)) - math.log((ordinary + 1) / (n_ordinary + 1))
-        if value > MIN_ODDS and toxic >= MIN_DOCS:
-            odds[form] = value
-    left = [forms_of & odds.keys() for forms_of in toxic_sets]
-    chosen: list[str] = []
-    while len(chosen) < MAX_STEMS:
-        support: dict[str, int] = {}
-        for forms_of in left:
-            for form in forms_of:
-                support[form] = support.get(form, 0) + 1
-        best = max(support, key=lambda f: (support[f] * odds[f], len(f), f), default=None)
-        if best is None or support[best] < MIN_DOCS:
+        odds = math.log((toxic + 0.1) / (n_toxic + 0.2)) - math.log((ordinary + 1) / (n_ordinary + 1))
+        if odds > MIN_ODDS and toxic >= least:
+            scored.append((toxic * odds, len(form), form, toxic))
+    chosen: dict[str, int] = {}
+    for _, _, form, toxic in sorted(scored, reverse=True):
+        inner = sum(n for stem, n in chosen.items() if stem.startswith(form.rstrip()))
+        if any(form.startswith(stem) for stem in chosen) or toxic < 1.5 * inner:
+            continue
+        chosen[form] = toxic
+        if len(chosen) >= MAX_STEMS:
             break
-        chosen.append(best)
-        left = [forms_of for forms_of in left if best not in forms_of]
-    return chosen
-
-
-def _forms(words: set[str]) -> set[str]:
-    return {f" {w[:k]}" for w in words for k in range(4, 11)} | {f" {w} " for w in words}
+    return list(chosen)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -146,8 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # The sample has at most MAX_TOXIC + MAX_ORDINARY rows of two short columns.
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    joined = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"])
-    rows = settle(joined.select("id", "text", "toxic", words.alias("words"), (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2)) == 0).alias("first")))
+    joined = texts.join(F.broadcast(sample), "id")
+    # Copies would make the words of one text look like evidence: of rows that start alike, or
+    # share an id, one is learned from.
+    joined = joined.withColumn("start", F.xxhash64(F.left("text", F.lit(START)))).groupBy("start").agg(F.min_by(F.struct("id", "text", "toxic"), "id").alias("r")).select("r.*")
+    rows = settle(joined.dropDuplicates(["id"]).select("id", "text", "toxic", words.alias("words"), (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2)) == 0).alias("first")))
     counts = {(r.toxic, r.first): r.n for r in rows.groupBy("toxic", "first").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_ordinary = counts.get((True, True), 0), counts.get((False, True), 0)
     positives, everything = sum(n for (t, _), n in counts.items() if t), sum(counts.values())
@@ -166,9 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .limit(MAX_FORMS)
     )
     found = [(r.form, r.t, r.o) for r in forms.collect()]
-    candidates = {f for f, _, _ in found}
-    toxic_sets = [_forms(set(r.words)) & candidates for r in learn.where("toxic").select("words").toLocalIterator()]
-    stems = _stems(found, toxic_sets, n_toxic, n_ordinary)
+    stems = _stems(found, n_toxic, n_ordinary)
     frequent = learn.where("not toxic").select(F.explode("words").alias("w")).where(F.char_length("w") > 3).groupBy("w").count()
     ordinary = [r.w for r in frequent.orderBy(F.desc("count"), "w").limit(BASE_WORDS + CONTRAST_WORDS).collect()]
     model = {"base": ordinary[:BASE_WORDS], "toxic": stems, "contrast": ordinary[BASE_WORDS:] or ordinary, "prior": share}
