@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but these ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch.
+BATCH_ROWS = 512
 #: The white-space characters themselves.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -41,6 +43,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows, unless the session has its own setting.
+
+    A Python worker then holds a few megabytes of texts at a time rather than ten thousand rows.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def hash128(*columns: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of the same columns; together collisions are negligible."""
     return F.xxhash64(*columns), F.xxhash64(F.lit(0x5EED), *reversed(columns))
