@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pack, unpack
+from .common import pack, small_batches, unpack
 
 #: Distinct pre-tokens that one task remembers.
-CACHE = 300_000
+CACHE = 150_000
 #: Bytes of text that one output batch holds, unless a single text is longer.
 BATCH_BYTES = 8 << 20
 
@@ -99,7 +99,7 @@ class Codec:
         return b"".join([tokens[i] for i in memoryview(packed).cast("I")])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
@@ -110,6 +110,7 @@ def _append(batch: pa.RecordBatch, start: int, values: list, schema: pa.Schema)
 
 def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataFrame:
     """``df`` with a binary column made from ``source`` in Arrow batches of bounded size."""
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pack, settle, unpack
+from .common import pack, settle, small_batches, unpack
 
 #: Samples in a fingerprint; each is written as four hex digits, 0000 for a text without words.
 SAMPLES = 128
@@ -140,6 +140,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", samples: int = SAMPLES
             made = pa.array([_packed(sampler.sample(t.as_py())).hex() for t in batch.column(at)], pa.string())
             yield batch.set_column(at, "fingerprint", made)
 
+    small_batches(packed.sparkSession)
     made = packed.mapInArrow(run, T.StructType().add("row", packed.schema["row"].dataType).add("fingerprint", "string"))
     return unpack(made, names, fingerprint=F.col("fingerprint"))
 
@@ -198,6 +199,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held is not None:
             yield _batch([(held[0], *[None] * 6, part, "last", held[1])], arrow)
 
+    small_batches(ordered.sparkSession)
     halves = settle(ordered.mapInArrow(run, schema))
     parts = halves.where("edge = 'first'").select("part")
     following = parts.select(

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pack, unpack
+from .common import pack, small_batches, unpack
 
 WINDOW = 35
 ANCHOR = 18
@@ -33,7 +33,7 @@ CELLS_PER_ANCHOR = 8
 MAX_CELLS = 1 << 30
 _SEGMENT = 1 << 20
 #: Words whose hashes one task remembers; anchors held before a sketch is sent on.
-CACHE, FLUSH = 500_000, 1_000_000
+CACHE, FLUSH = 150_000, 1_000_000
 #: Odd multipliers of the two rolling hashes.
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _U = np.uint64
@@ -173,6 +173,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     window lose nothing; rows that are equal in every column are separate documents.
     """
     spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
     packed = pack(docs, key=True).withColumn("text", F.coalesce(F.col("row").getField(text_col), F.lit("")))
     size = packed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = sketch_size(size)

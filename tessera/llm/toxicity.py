@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pack, settle, unpack
+from .common import pack, settle, small_batches, unpack
 
 #: Bounds of the training sample, in rows of each class.
 MAX_TOXIC, MAX_ORDINARY = 6_000, 14_000
@@ -36,7 +36,7 @@ MIN_ODDS, MIN_DOCS, MIN_SHARE = 2.0, 3, 0.008
 #: Training rows whose first so many code points agree count once.
 START = 60
 #: Distances remembered per task.
-CACHE = 400_000
+CACHE = 100_000
 _WORD = re.compile(r"[^\W_]+")
 _CUTS = (2, 4, 6, 8, 10, 12, 16, 20)
 
@@ -179,13 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _distance(base: tuple, toxic: tuple, contrast: tuple) -> Distance:
     return Distance(list(base), list(toxic), list(contrast))
 
 
 def _measure(df: DataFrame, model: dict) -> DataFrame:
     """``df`` without ``text``, with ``features`` of the whole text."""
+    small_batches(df.sparkSession)
     words = tuple(tuple(model[k]) for k in ("base", "toxic", "contrast"))
     schema = T.StructType([*[f for f in df.schema.fields if f.name != "text"], T.StructField("features", T.ArrayType(T.DoubleType()))])
 
