@@ -5,17 +5,14 @@ node however large.  A sketch takes, for each of TABLES hashes, the PICKS smalle
 shingles labelled with their occurrence and keeps their order in the text: it agrees more often
 the smaller the edit distance.  Classes that agree in a table share a bucket; there each is
 compared with one hub, the bucket's least node.  Buckets that then still hold several components
-split by one, two and three further tables; there classes meet two hubs of other
-components, different ones in each of up to 168 finer buckets.  A pair is linked if the edit similarity of the whole
-texts, 1 - distance / longer length in words, is at least SIMILARITY; the alignment runs
+are cut into blocks, which meet pairwise: every pair of different components is compared unless its
+lengths or words rule a link out.  A pair is linked if the edit similarity of the whole texts, 1 - distance / longer length in words, is at least SIMILARITY; the alignment runs
 bit-parallel inside the band that such a similarity allows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +28,8 @@ from .substring import Roller, _mix
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES, PICKS = 24, 2
-#: How many of the next tables (in a circle) refine a bucket.
-REACH = 3
+#: Classes of a block of a bucket; bins in which their words are counted.
+BLOCK, BINS = 512, 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -169,15 +166,17 @@ def _exploded(classes: DataFrame, tables: int) -> DataFrame:
 
 
 def _word_codes(rows: DataFrame) -> DataFrame:
-    """(node, codes): a text's lower-cased words as 32-bit hashes, four bytes each."""
+    """(node, codes, bag): a text's lower-cased words as 32-bit hashes, four bytes each, and
+    how many fall into each of BINS bins, at most 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller()
         for batch in batches:
-            codes = [roller.of_words(_words(t.as_py())).astype("<u4").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(codes, pa.binary())], names=["node", "codes"])
+            codes = [roller.of_words(_words(t.as_py())).astype("<u4") for t in batch.column("text")]
+            bags = [np.minimum(np.bincount(c % BINS, minlength=BINS), 255).astype(np.uint8).tobytes() for c in codes]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(bags, pa.binary())], names=["node", "codes", "bag"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, codes binary")
+    return rows.select("node", "text").mapInArrow(run, "node long, codes binary, bag binary")
 
 
 def _verified(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
@@ -206,15 +205,15 @@ def _alike(one: Column, two: Column, least: float) -> Column:
 def links(docs_with_key: DataFrame, found: DataFrame, tables: int, least: float) -> tuple[DataFrame, DataFrame]:
     """(a, b) verified links between classes from the settled sketches, and (node, component).
 
-    First each class meets the least node of each of its buckets.  Buckets that still hold
-    several components then split by further tables, and in the finer buckets classes meet two
-    hubs of other components, chosen by a hash in each.
+    First each class meets the least node of each of its buckets.  Then all pairs of a bucket
+    that still lie in different components meet, so that every pair that shares a bucket and is
+    similar enough ends in one component.
     """
     classes = found.where("signatures IS NOT NULL").groupBy("node")
     classes = settle(classes.agg(F.first("signatures").alias("signatures"), F.first("n_words").alias("n_words"), F.min(F.struct("k1", "k2")).alias("key")))
     members = _exploded(classes, tables)
     hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n_words")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    members = settle(members.join(hubs, "bucket").select("t", "bucket", "node", "n_words", F.col("hub.node").alias("a"), F.col("hub.n_words").alias("hub_words")))
+    members = settle(members.join(hubs, "bucket").select("bucket", "node", "n_words", F.col("hub.node").alias("a"), F.col("hub.n_words").alias("hub_words")))
     involved = members.select("node").distinct().join(classes.select("node", "key"), "node")
     chosen = involved.select("node", "key.k1", "key.k2")
     # Rows equal in every column share a key: one of them speaks for the class.
@@ -222,47 +221,104 @@ def links(docs_with_key: DataFrame, found: DataFrame, tables: int, least: float)
     tested = settle(members.where("node <> a").where(_alike(F.col("n_words"), F.col("hub_words"), least)).select("a", F.col("node").alias("b")).distinct())
     edges = settle(_verified(tested, codes, least).select("a", "b"))
     named = components(edges)
-    joined = members.select("t", "bucket", "node", "n_words").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    joined = settle(joined)
-    mixed = joined.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    at = joined.join(mixed, "bucket").groupBy("node", "n_words", "component").agg(F.collect_list(F.struct("t", "bucket")).alias("at")).where("size(at) > 1")
-    at = settle(at)
-    if not at.limit(1).count():
+    pairs = settle(_untested(members.select("bucket", "node", "n_words"), named, codes, tested, least))
+    # One pair for each two components first: what it links spares the others.
+    one = pairs.groupBy("component_a", "component_b").agg(F.min(F.struct(F.xxhash64("a", "b").alias("luck"), "a", "b")).alias("p")).select("p.a", "p.b")
+    one = settle(one)
+    if not one.limit(1).count():
         return edges, named
-    split = at.select("node", "n_words", "component", F.explode(_finer(tables)).alias("bucket"))
-    lucky = F.struct(F.xxhash64("bucket", "node").alias("luck"), "node", "n_words", "component")
-    hubs = split.groupBy("bucket").agg(F.array(F.min(lucky), F.max(lucky)).alias("hubs"), F.min("component").alias("low"), F.max("component").alias("high"))
-    fits = lambda h: (h["component"] != F.col("component")) & _alike(F.col("n_words"), h["n_words"], least)
-    pairs = (
-        split.join(hubs.where("low < high").select("bucket", "hubs"), "bucket")
-        .select("node", F.explode(F.filter("hubs", fits)).alias("hub"))
-        .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    new = settle(_verified(settle(pairs), codes, least).select("a", "b"))
-    ends = [named.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component")) for end in ("a", "b")]
-    joint = new.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
-    merged = components(joint).select(F.col("node").alias("old"), F.col("component").alias("merged"))
-    fresh = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node", "left_anti").select("node", F.col("node").alias("component"))
-    named = named.unionByName(fresh).join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("merged", "component").alias("component"))
-    return settle(edges.unionByName(new)), settle(named)
+    new = settle(_verified(one, codes, least).select("a", "b"))
+    named = _merged(named, new)
+    rest = _apart(pairs.select("a", "b").join(one, ["a", "b"], "left_anti"), named).select("a", "b")
+    last = settle(_verified(settle(rest), codes, least).select("a", "b"))
+    return settle(edges.unionByName(new).unionByName(last)), _merged(named, last)
+
+
+def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in different components, with ``component_a`` and ``component_b``."""
+    for end in ("a", "b"):
+        of = named.select(F.col("node").alias(end), F.col("component").alias("found"))
+        pairs = pairs.join(of, end, "left").withColumn(f"component_{end}", F.coalesce("found", end)).drop("found")
+    return pairs.where("component_a <> component_b")
 
 
-def _finer(tables: int) -> Column:
-    """From ``at`` (t, bucket): a key for each table with one, two or all of the next REACH tables that a class has."""
+def _merged(named: DataFrame, new: DataFrame) -> DataFrame:
+    """``named`` (node, component) after the further links ``new`` (a, b)."""
+    joint = _apart(new, named).select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))
+    merged = components(joint).select(F.col("node").alias("old"), F.col("component").alias("merged"))
+    fresh = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(named, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return settle(named.unionByName(fresh).join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("merged", "component").alias("component")))
 
-    def step_bucket(x: Column, k: int) -> Column:
-        return F.get(F.filter("at", lambda y: y["t"] == (x["t"] + k) % tables), F.lit(0))["bucket"]
 
-    def one(steps: tuple[int, ...]) -> Column:
-        def key(x: Column) -> Column:
-            further = [step_bucket(x, k) for k in steps]
-            return F.when(reduce(Column.__and__, [f.isNotNull() for f in further]), F.xxhash64(x["bucket"], *further, F.lit(repr(steps))))
+def _untested(members: DataFrame, named: DataFrame, codes: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+    """(a, b, component_a, component_b): every pair of a bucket that may yet join two components.
 
-        return F.filter(F.transform("at", key), lambda v: v.isNotNull())
+    A bucket splits by length into overlapping pairs of neighbouring bands, as lengths further
+    apart rule a link out, and a part into blocks of about BLOCK classes that meet pairwise.
+    Pairs are left out if they were tested, lie in one component or have too few words in
+    common, counted by bins of the word's code, which never underrates.
+    """
+    band = F.floor(F.log(F.col("n_words").cast("double")) / F.log(F.lit(1 / least + 1e-4))).cast("int")
+    joined = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("band", band)
+    parts = settle(joined.withColumn("part", F.explode(F.array(F.col("band") - 1, F.col("band")))))
+    mixed = parts.groupBy("bucket", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    mixed = mixed.select("bucket", "part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = parts.join(mixed, ["bucket", "part"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select(F.xxhash64("bucket", "part", F.least("block", "other"), F.greatest("block", "other")).alias("at"), (F.col("block") < F.col("other")).alias("first"), (F.col("block") == F.col("other")).alias("own"), (F.col("band") > F.col("part")).alias("upper"), "node", "n_words", "component")
+    ready = blocks.join(codes.select("node", "bag"), "node").repartition("at").sortWithinPartitions("at")
 
-    return F.concat(*[one(steps) for size in range(1, REACH + 1) for steps in combinations(range(1, REACH + 1), size)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            cuts = np.flatnonzero(np.diff(at)) + 1
+            starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(at)]
+            if held and len(at) and held[-1].column("at")[0].as_py() != at[0]:
+                yield from _candidates(held, least)
+                held = []
+            for start, end in zip(starts, ends, strict=True):
+                if start:
+                    yield from _candidates(held, least)
+                    held = []
+                if end > start:
+                    held.append(pa.Table.from_batches([batch.slice(start, end - start)]))
+        yield from _candidates(held, least)
+
+    found = ready.mapInArrow(run, "a long, b long, component_a long, component_b long").dropDuplicates(["a", "b"])
+    return found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
+def _candidates(held: list[pa.Table], least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks, or of one with itself, that lengths, components and words allow."""
+    if not held or sum(map(len, held)) < 2:
+        return
+    rows = pa.concat_tables(held)
+    node, size, component = (rows.column(n).to_numpy() for n in ("node", "n_words", "component"))
+    bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(len(node), BINS)
+    first, own, upper = (rows.column(n).to_numpy() for n in ("first", "own", "upper"))
+    beyond = size - bags.sum(axis=1, dtype=np.int64)
+    left = np.flatnonzero(first | own)
+    right = np.flatnonzero(~first | own)
+    for start in range(0, len(left), 64):
+        some = left[start : start + 64]
+        apart = component[some][:, None] != component[right][None, :]
+        # Two of the upper band meet in the next part.
+        apart &= ~(upper[some][:, None] & upper[right][None, :])
+        longer = np.maximum(size[some][:, None], size[right][None, :])
+        apart &= np.minimum(size[some][:, None], size[right][None, :]) >= least * longer - 1e-6
+        if own[0]:
+            apart &= node[some][:, None] < node[right][None, :]
+        i, j = np.nonzero(apart)
+        i, j = some[i], right[j]
+        shared = np.minimum(bags[i], bags[j]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[i], beyond[j])
+        longer = np.maximum(size[i], size[j])
+        fine = longer - shared <= np.floor((1 - least) * longer + 1e-9)
+        i, j = i[fine], j[fine]
+        if len(i):
+            swap = node[i] > node[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[i], node[j], component[i], component[j])], names=["a", "b", "component_a", "component_b"])
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, picks: int = PICKS, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:

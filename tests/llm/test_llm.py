@@ -304,6 +304,29 @@ def test_near_duplicates_group_copies_only(spark):
     assert texts.count("Same Line of Text \no") == 1 and near_dup.keep_one(empty(spark)).count() == 0
 
 
+def test_near_duplicates_compare_every_pair_of_a_bucket(spark):
+    """All texts share a passage; partners are neither a bucket's least nor alone with it."""
+    random.seed(21)
+    words = ["".join(random.choices("abcdefghij", k=4)) for _ in range(3000)]
+    passage, texts = random.choices(words, k=50), []
+    for _ in range(200):
+        text = passage + random.choices(words, k=70)
+        texts.append(text)
+        copy = list(text)
+        for at in random.sample(range(120), 20):
+            copy[at] = random.choice(words)
+        texts.append(copy)
+    got = {r.id: r.component_id for r in near_dup.group(spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()}
+    roller = substring.Roller()
+    codes = [[w.encode() for w in t] for t in texts]
+    signatures = [set(near_dup.sketch(roller, c).tolist()) for c in codes]
+    hashed = [roller.of_words(c).astype(np.uint32) for c in codes]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if signatures[i] & signatures[j] and near_dup.edit_similarity(hashed[i], hashed[j])]
+    assert len(pairs) > 100
+    assert [(i, j) for i, j in pairs if got[i] != got[j]] == []
+    assert all(got[i] // 2 == i // 2 for i in got)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 105), (105, 103)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
