@@ -1,9 +1,10 @@
 """Near-duplicate documents by order min-hash, verified by banded alignment.
 
 Words are lower-cased.  Equal word sequences form a class first, so a group of copies is one
-node however large.  A sketch takes, for each of TABLES hashes, the PICKS smallest five-word
+node however large.  A sketch takes, for each of TABLES hashes, the PICKS smallest three-word
 shingles labelled with their occurrence and keeps their order in the text: it agrees more often
-the smaller the edit distance.  Classes that agree in a table share a bucket; there each is
+the smaller the edit distance; the tables follow from the recall at the threshold.  Short texts
+have too few shingles for that and add exact segments (``short_keys``).  Classes that agree in a table share a bucket; there each is
 compared with one hub, the bucket's least node.  Buckets that then still hold several components
 are cut into blocks, which meet pairwise: every pair of different components is compared unless its
 lengths or words rule a link out.  A pair is linked if the edit similarity of the whole texts, 1 - distance / longer length in words, is at least SIMILARITY; the alignment runs
@@ -12,6 +13,7 @@ bit-parallel inside the band that such a similarity allows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +27,47 @@ from .common import pack, settle, small_batches, unpack
 from .components import components
 from .substring import Roller, _mix
 
-SHINGLE = 5
+SHINGLE = 3
 SIMILARITY = 0.8
-TABLES, PICKS = 24, 2
+PICKS = 2
+#: The chance of sharing a bucket at the threshold, with scattered edits of a long text.
+RECALL = 0.998
+#: Texts of at most so many words also meet by exact segments, which find every pair.
+SHORT = 32
 #: Classes of a block of a bucket; bins in which their words are counted.
 BLOCK, BINS = 512, 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def plan_tables(least: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE, picks: int = PICKS) -> int:
+    """Tables so that a pair at ``least`` shares a bucket with a probability of ``recall``."""
+    intact = least**shingle
+    return math.ceil(math.log(1 - recall) / math.log(1 - (intact / (2 - intact)) ** picks))
+
+
+TABLES = plan_tables()
+
+
+def short_keys(hashes: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Signatures of a text of at most SHORT words: any two that are similar enough share one.
+
+    With at most k edits, one of k + 1 segments of the longer text is left whole in the shorter
+    one, moved by no more than the edits before and after it allow.
+    """
+    m, found = len(hashes), set()
+    for n in range(m, min(SHORT, math.floor(m / least + 1e-9)) + 1):
+        edits = math.floor((1 - least) * n + 1e-9)
+        if not edits or n - m > edits:
+            continue
+        for i in range(edits + 1):
+            start, end = i * n // (edits + 1), (i + 1) * n // (edits + 1)
+            for at in range(max(0, start - edits), min(m - end + start, start + edits) + 1):
+                if abs(at - start) + abs(at - start + n - m) <= edits:
+                    found.add(xxhash.xxh3_64_intdigest(hashes[at : at + end - start].tobytes(), n * (SHORT + 1) + i))
+    return np.array(sorted(found), np.uint64)
+
+
 def sketch(roller: Roller, words: list[bytes], tables: int = TABLES, picks: int = PICKS, shingle: int = SHINGLE) -> np.ndarray:
     """The signatures of a text with at least one word, one for each table."""
     hashes = roller.of_words(words)
@@ -131,7 +165,7 @@ def _id_of(words: list[bytes]) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64))
 
 
-def sketches(rows: DataFrame, tables: int, picks: int, shingle: int) -> DataFrame:
+def sketches(rows: DataFrame, tables: int, picks: int, shingle: int, least: float = SIMILARITY) -> DataFrame:
     """``rows`` (any columns and ``text``) without the text; node and signatures (null: no words)."""
     rest = [f for f in rows.schema.fields if f.name != "text"]
     schema = T.StructType(list(rest)).add("node", "long").add("n_words", "integer").add("signatures", "binary")
@@ -142,7 +176,13 @@ def sketches(rows: DataFrame, tables: int, picks: int, shingle: int) -> DataFram
             made = []
             for text in batch.column("text"):
                 words = _words(text.as_py())
-                made.append((_id_of(words), len(words), sketch(roller, words, tables, picks, shingle).tobytes()) if words else (None, 0, None))
+                if not words:
+                    made.append((None, 0, None))
+                    continue
+                signatures = sketch(roller, words, tables, picks, shingle).tobytes()
+                if len(words) <= SHORT:
+                    signatures += short_keys(roller.of_words(words), least).tobytes()
+                made.append((_id_of(words), len(words), signatures))
             new = [pa.array(c, k) for c, k in zip(zip(*made, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)] if made else []
             keep = [batch.column(f.name) for f in rest]
             if new:
@@ -151,18 +191,19 @@ def sketches(rows: DataFrame, tables: int, picks: int, shingle: int) -> DataFram
     return rows.mapInArrow(run, schema)
 
 
-def _exploded(classes: DataFrame, tables: int) -> DataFrame:
-    """(t, bucket, node, n_words) from (node, n_words, signatures)."""
+def _exploded(classes: DataFrame) -> DataFrame:
+    """(bucket, node, n_words) from (node, n_words, signatures)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = np.repeat(batch.column("node").to_numpy(), tables)
-            sizes = np.repeat(batch.column("n_words").to_numpy(), tables)
-            buckets = np.frombuffer(b"".join(batch.column("signatures").to_pylist()), np.int64)
-            t = np.tile(np.arange(tables, dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(buckets), pa.array(nodes), pa.array(sizes)], names=["t", "bucket", "node", "n_words"])
+            signatures = batch.column("signatures").to_pylist()
+            counts = [len(x) // 8 for x in signatures]
+            nodes = np.repeat(batch.column("node").to_numpy(), counts)
+            sizes = np.repeat(batch.column("n_words").to_numpy(), counts)
+            buckets = np.frombuffer(b"".join(signatures), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(nodes), pa.array(sizes)], names=["bucket", "node", "n_words"])
 
-    return classes.select("node", "n_words", "signatures").mapInArrow(run, "t int, bucket long, node long, n_words int")
+    return classes.select("node", "n_words", "signatures").mapInArrow(run, "bucket long, node long, n_words int")
 
 
 def _word_codes(rows: DataFrame) -> DataFrame:
@@ -202,7 +243,7 @@ def _alike(one: Column, two: Column, least: float) -> Column:
     return F.least(one, two) >= F.lit(least) * F.greatest(one, two) - F.lit(1e-6)
 
 
-def links(docs_with_key: DataFrame, found: DataFrame, tables: int, least: float) -> tuple[DataFrame, DataFrame]:
+def links(docs_with_key: DataFrame, found: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(a, b) verified links between classes from the settled sketches, and (node, component).
 
     First each class meets the least node of each of its buckets.  Then all pairs of a bucket
@@ -211,7 +252,7 @@ def links(docs_with_key: DataFrame, found: DataFrame, tables: int, least: float)
     """
     classes = found.where("signatures IS NOT NULL").groupBy("node")
     classes = settle(classes.agg(F.first("signatures").alias("signatures"), F.first("n_words").alias("n_words"), F.min(F.struct("k1", "k2")).alias("key")))
-    members = _exploded(classes, tables)
+    members = _exploded(classes)
     hubs = members.groupBy("bucket").agg(F.min(F.struct("node", "n_words")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
     members = settle(members.join(hubs, "bucket").select("bucket", "node", "n_words", F.col("hub.node").alias("a"), F.col("hub.n_words").alias("hub_words")))
     involved = members.select("node").distinct().join(classes.select("node", "key"), "node")
@@ -332,8 +373,8 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
     small_batches(docs.sparkSession)
     packed = pack(docs, key=True)
     rows = packed.select("k1", "k2", F.col("row").getField(id_col).alias("id"), F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text"))
-    found = settle(sketches(rows, tables, picks, shingle))
-    edges, grouped = links(rows.select("k1", "k2", "text"), found, tables, least)
+    found = settle(sketches(rows, tables, picks, shingle, least))
+    edges, grouped = links(rows.select("k1", "k2", "text"), found, least)
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     order = F.struct(F.col("id").isNull().alias("nameless"), "id", "k1", "k2")
     classes = found.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min(order).alias("first"))

@@ -327,6 +327,42 @@ def test_near_duplicates_compare_every_pair_of_a_bucket(spark):
     assert all(got[i] // 2 == i // 2 for i in got)
 
 
+def test_near_duplicates_at_the_threshold_and_of_short_texts(spark):
+    random.seed(22)
+    words = ["".join(random.choices("abcdefghij", k=4)) for _ in range(3000)]
+
+    def partner(text, edits):
+        copy = list(text)
+        for at in random.sample(range(len(text)), edits):
+            copy[at] = "x" + random.choice(words)
+        return copy
+
+    long = [random.choices(words, k=100) for _ in range(150)]
+    short = [random.choices(words, k=random.randint(5, near_dup.SHORT)) for _ in range(150)]
+    texts = [t for base in long + short for t in (base, partner(base, len(base) // 5))]
+    got = {r.id: r.component_id for r in near_dup.group(spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()}
+    together = [got[i] == got[i + 1] for i in range(0, len(texts), 2)]
+    assert sum(together[:150]) >= 0.97 * 150 and all(together[150:])
+
+
+def test_short_keys_find_every_pair():
+    random.seed(23)
+    roller, texts = substring.Roller(), []
+    for _ in range(60):
+        text = random.choices("abcdefgh", k=random.randint(4, near_dup.SHORT))
+        for _ in range(5):
+            copy = list(text)
+            for _ in range(random.randint(0, 7)):
+                at, kind = random.randrange(len(copy)), random.random()
+                copy[at : at + (kind < 0.7)] = random.choices("abcdefgh", k=int(kind > 0.3))
+                copy = copy or ["a"]
+            texts.append(copy[: near_dup.SHORT])
+    hashes = [roller.of_words([w.encode() for w in t]) for t in texts]
+    keys = [set(near_dup.short_keys(h).tolist()) for h in hashes]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] != texts[j] and near_dup.edit_similarity(hashes[i], hashes[j])]
+    assert len(pairs) > 100 and all(keys[i] & keys[j] for i, j in pairs)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 105), (105, 103)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
