@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pack, settle, small_batches, unpack
+from .common import hash128, pack, settle, small_batches, unpack
 
 #: Bounds of the training sample, in rows of each class.
 MAX_TOXIC, MAX_ORDINARY = 6_000, 14_000
@@ -33,8 +33,6 @@ MAX_TOXIC, MAX_ORDINARY = 6_000, 14_000
 MAX_STEMS, BASE_WORDS, CONTRAST_WORDS, MAX_FORMS = 120, 800, 2_000, 400_000
 #: A stem's smoothed log odds, its least number of toxic documents and least share of them.
 MIN_ODDS, MIN_DOCS, MIN_SHARE = 2.0, 3, 0.008
-#: Training rows whose first so many code points agree count once.
-START = 60
 #: Distances remembered per task.
 CACHE = 100_000
 _WORD = re.compile(r"[^\W_]+")
@@ -146,9 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # The sample has at most MAX_TOXIC + MAX_ORDINARY rows of two short columns.
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     joined = texts.join(F.broadcast(sample), "id")
-    # Copies would make the words of one text look like evidence: of rows that start alike, or
-    # share an id, one is learned from.
-    joined = joined.withColumn("start", F.xxhash64(F.left("text", F.lit(START)))).groupBy("start").agg(F.min_by(F.struct("id", "text", "toxic"), "id").alias("r")).select("r.*")
+    # Copies would make the words of one text look like evidence: of rows of one label whose whole
+    # texts have the same words, or that share an id, one is learned from.
+    same = hash128(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "))
+    joined = joined.withColumns({"s1": same[0], "s2": same[1]}).groupBy("s1", "s2", "toxic").agg(F.min_by(F.struct("id", "text"), F.struct("id", "text")).alias("r")).select("r.*", "toxic")
     rows = settle(joined.dropDuplicates(["id"]).select("id", "text", "toxic", words.alias("words"), (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2)) == 0).alias("first")))
     counts = {(r.toxic, r.first): r.n for r in rows.groupBy("toxic", "first").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_ordinary = counts.get((True, True), 0), counts.get((False, True), 0)

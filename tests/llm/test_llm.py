@@ -363,6 +363,20 @@ def test_short_keys_find_every_pair():
     assert len(pairs) > 100 and all(keys[i] & keys[j] for i, j in pairs)
 
 
+def test_toxicity_learns_from_rows_that_start_alike(spark):
+    random.seed(24)
+    words, header = ["".join(random.choices("abcdefghij", k=6)) for _ in range(300)], "this text may be used under the terms of the common licence of its source "
+    rows = [(i, header + " ".join(random.choices(words, k=30) + ["grumblefoul"] * (i % 4 == 0)), "en", "s", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert "curve" in model and model["prior"] == 0.25
+    assert all(r.predicted == (r.doc_id % 4 == 0) for r in toxicity.score(docs, model).collect())
+    # Copies with other blanks and case count once for each label, never for both.
+    copies = spark.createDataFrame([(i, "One  text" if i % 2 else "one text", "en", "s", 1) for i in range(8)], DOCS)
+    assert toxicity.fit(copies, spark.createDataFrame([(i, int(i < 2)) for i in range(8)], "doc_id long, toxic int")) == {"prior": 0.5}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 105), (105, 103)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
