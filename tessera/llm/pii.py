@@ -1,15 +1,20 @@
 """Personal data: exact base patterns plus gradient-boosted candidates, all in DataFrame operations.
 
 Base spans are the leftmost non-overlapping matches of four patterns that pass their checks
-(IP parts, Luhn, digit counts).  Beside them high-recall generators propose overlapping spans;
-each gets format and context features with few bins.  Training needs no sample: candidates are
-counted by feature combination over the whole corpus, with base spans as positives, and a
-boosted-tree classifier is fitted on that bounded table.  Its trees become one SQL expression;
-candidates above a threshold calibrated for precision, and clear of base spans, are added.
+(IP parts, Luhn, digit counts).  Beside them high-recall generators propose overlapping spans,
+also inside runs in which a base pattern failed.  Each candidate gets format and context features
+with few bins, and a label from a check that is no feature: the Luhn sum of a card, the range of
+an IP's parts, the last part of a mail's domain, a phone's digits with a prefix or a cue word.
+
+Texts are read once; spans and candidates are written without the texts.  Candidates are counted
+by feature combination and label; boosted trees are fitted on the counts of one half of the
+documents, and each kind's threshold is calibrated for precision on the other half.  The trees
+become one SQL expression.  A candidate is added if it passes its check and the threshold, meets
+no base span, and no overlapping candidate has a better score.
 
 Offsets come from splitting a text at a pattern: the lengths of the gaps and matches before a
-match sum to its start.  The patterns are written so that each is linear in the text: possessive
-loops that start only where a run starts match exactly what the plain patterns match.
+match sum to its start.  The base patterns are written so that each is linear in the text:
+possessive loops that start only where a run starts match exactly what the plain patterns match.
 """
 
 from __future__ import annotations
@@ -31,13 +36,24 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What the generators propose.
+_AT, _DOT = r"(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)", r"(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)"
+#: What the generators propose; those of one kind may overlap.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)*+",
-    "ip": r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,5}+",
-    "card": r"(?<![0-9])(?<![0-9][\x20.-])[0-9](?:[\x20.-]?+[0-9]){12,18}+(?![\x20.-]?[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+|00)?+\(?[0-9]{1,4}\)?(?:[\x20().-]{1,2}+[0-9]{2,4}+){2,5}+(?![0-9])",
+    "email": [rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*+"],
+    "ip": [r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,5}+", r"(?<![0-9\]])[0-9]{1,3}+(?:[\[(]\.[\])][0-9]{1,3}+){3}(?![0-9])"],
+    "card": [
+        r"(?<![0-9])(?<![0-9][\x20.-])[0-9](?:[\x20.-]?+[0-9]){12,18}+(?![\x20.-]?[0-9])",
+        r"(?<![0-9])[0-9]{13,19}+(?![0-9])",
+        r"(?<![0-9])[0-9]{4}(?:[\x20.-][0-9]{4}){3}(?![0-9])",
+    ],
+    "phone": [
+        r"(?:\+|(?<![0-9])00)[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-][0-9]{2,4}(?![0-9])){1,4}+",
+        r"(?<![0-9A-Za-z+])(?:\+|00)?+\(?[0-9]{1,4}\)?(?:[\x20().-]{1,2}+[0-9]{2,4}+){2,5}+(?![0-9])",
+    ],
 }
+#: Every span that a pattern can find has one of these marks of a mail, or four digits with signs between.
+_MAIL_MARKS = ("@", "[at]", "(at)", "[AT]", "(AT)", "[at)", "(at]", "[AT)", "(AT]")
+_SOME_DIGITS = r"[0-9](?:[\x20().+\[\]-]*+[0-9]){3}"
 #: Words near a span that speak for its kind.
 CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write)\b",
@@ -46,63 +62,71 @@ CUES = {
     "phone": r"(?i)\b(?:phone|call|tel|fax|mobile|cell|whatsapp)\b",
 }
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-FEATURES = ("kind", "digits", "groups", "separator", "before", "after", "cue", "length")
-#: Smallest share of base spans among the candidates that a chosen threshold lets through.
-PRECISION = 0.995
+FEATURES = ("kind", "digits", "groups", "separator", "lead", "before", "after", "cue")
+#: The share of spans that pass a kind's check by chance alone: one Luhn sum in ten is right.
+CHANCE = {"email": 0.0, "ip": 0.0, "card": 0.1, "phone": 0.0}
+#: Least precision of what a kind's threshold lets through, and least held-out spans to tell it from.
+PRECISION, EVIDENCE = 0.98, 20
 _BLOCK = 256
+_SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def _running_sums(numbers: Column) -> Column:
     """Sums of the elements before each element, in two levels so that long arrays stay cheap."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")), lambda b: F.slice(numbers, b * _BLOCK + 1, _BLOCK))
+    last = F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(numbers, b * _BLOCK + 1, _BLOCK))
     before = lambda a: F.transform(a, lambda _, i: total(F.slice(a, 1, i)))
     inside = F.transform(blocks, before)
     outside = before(F.transform(blocks, total))
-    return F.when(F.size(numbers) > 0, F.flatten(F.transform(F.arrays_zip(inside.alias("i"), outside.alias("o")), lambda z: F.transform(z["i"], lambda x: x + z["o"])))).otherwise(
-        F.array().cast("array<int>")
-    )
+    zipped = F.arrays_zip(inside.alias("i"), outside.alias("o"))
+    sums = F.flatten(F.transform(zipped, lambda z: F.transform(z["i"], lambda x: x + z["o"])))
+    return F.when(F.size(numbers) > 0, sums).otherwise(F.array().cast("array<int>"))
+
 
+def _luhn(digits: Column) -> Column:
+    ones = F.transform(F.split(F.reverse(digits), ""), lambda d: F.try_to_number(d, F.lit("9")).cast("int"))
+    doubled = F.transform(ones, lambda d, i: F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d))
+    return F.aggregate(doubled, F.lit(0), lambda x, y: x + F.coalesce(y, F.lit(0))) % 10 == 0
 
-def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
-    """The matches of a pattern and the gaps around them (one more than matches)."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+def _digits(found: Column) -> Column:
+    return F.regexp_replace(found, "[^0-9]", "")
 
 
 def _valid(kind: str, found: Column) -> Column:
-    digits = F.regexp_replace(found, "[^0-9]", "")
+    """The contract's check of a base match."""
     if kind == "ip":
         return F.rlike(found, F.lit(rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"))
     if kind == "card":
-        ones = F.transform(F.split(F.reverse(digits), ""), lambda d: F.try_to_number(d, F.lit("9")).cast("int"))
-        doubled = F.transform(ones, lambda d, i: F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d))
-        return F.aggregate(doubled, F.lit(0), lambda x, y: x + F.coalesce(y, F.lit(0))) % 10 == 0
+        return _luhn(_digits(found))
     if kind == "phone":
-        return F.length(digits).between(8, 15)
+        return F.length(_digits(found)).between(8, 15)
     return F.lit(True)
 
 
-def _with_spans(df: DataFrame, patterns: dict[str, str], tag: str) -> DataFrame:
-    """``df`` with an array column for each kind: start, end, found, left and right context."""
-    for kind, pattern in patterns.items():
-        found, gaps = _matches(F.col("text"), pattern)
-        df = df.withColumn(f"{tag}_m", found)
-        df = df.withColumn(f"{tag}_g", F.when(F.size(f"{tag}_m") > 0, gaps).otherwise(F.array().cast("array<string>")))
-        step = F.transform(F.arrays_zip(F.col(f"{tag}_g").alias("g"), F.col(f"{tag}_m").alias("m")), lambda z: F.char_length(z["g"]) + F.coalesce(F.char_length(z["m"]), F.lit(0)))
-        df = df.withColumn(f"{tag}_n", step).withColumn(f"{tag}_s", _running_sums(F.col(f"{tag}_n")))
-        zipped = F.arrays_zip(F.col(f"{tag}_m").alias("m"), F.slice(f"{tag}_g", 1, F.size(f"{tag}_m")).alias("g"), F.slice(f"{tag}_g", 2, F.size(f"{tag}_m")).alias("r"), F.slice(f"{tag}_s", 1, F.size(f"{tag}_m")).alias("s"))
-        spans = F.transform(
-            zipped,
-            lambda z: F.struct(
-                (z["s"] + F.char_length(z["g"])).alias("start"),
-                (z["s"] + F.char_length(z["g"]) + F.char_length(z["m"])).alias("end"),
-                z["m"].alias("found"),
-                F.right(z["g"], F.lit(24)).alias("left"),
-                F.left(z["r"], F.lit(8)).alias("right"),
-            ),
-        )
-        df = df.withColumn(f"{tag}_{kind}", spans).drop(*[f"{tag}_{x}" for x in "mgns"])
-    return df
+def _with_spans(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """``df`` with an array of a pattern's matches: start, end, found, left and right context."""
+    df = df.withColumn("_m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", pattern, -1)).otherwise(F.array().cast("array<string>")))
+    pairs = F.arrays_zip(F.col("_g").alias("g"), F.col("_m").alias("m"))
+    step = F.transform(pairs, lambda z: F.char_length(z["g"]) + F.coalesce(F.char_length(z["m"]), F.lit(0)))
+    df = df.withColumn("_n", step).withColumn("_s", _running_sums(F.col("_n")))
+    n = F.size("_m")
+    zipped = F.arrays_zip(
+        F.col("_m").alias("m"), F.slice("_g", 1, n).alias("g"), F.slice("_g", 2, n).alias("r"), F.slice("_s", 1, n).alias("s")
+    )
+    spans = F.transform(
+        zipped,
+        lambda z: F.struct(
+            (z["s"] + F.char_length(z["g"])).alias("start"),
+            (z["s"] + F.char_length(z["g"]) + F.char_length(z["m"])).alias("end"),
+            z["m"].alias("found"),
+            F.right(z["g"], F.lit(24)).alias("left"),
+            F.left(z["r"], F.lit(8)).alias("right"),
+        ),
+    )
+    return df.withColumn(column, spans).drop("_m", "_g", "_n", "_s")
 
 
 def _clash(spans: Column, c: Column) -> Column:
@@ -110,21 +134,48 @@ def _clash(spans: Column, c: Column) -> Column:
 
 
 def _side(char: Column) -> Column:
-    return F.when(F.coalesce(char, F.lit("")) == "", 0).when(F.rlike(char, F.lit(r"\s")), 0).when(F.rlike(char, F.lit(r"\p{L}")), 1).when(F.rlike(char, F.lit("[0-9]")), 2).otherwise(3)
+    """No character or a blank, a letter, a digit, anything else."""
+    blank = (F.coalesce(char, F.lit("")) == "") | F.rlike(char, F.lit(r"\s"))
+    return F.when(blank, 0).when(F.rlike(char, F.lit(r"\p{L}")), 1).when(F.rlike(char, F.lit("[0-9]")), 2).otherwise(3)
+
+
+def _cue(kind: str, c: Column) -> Column:
+    return F.rlike(c["left"], F.lit(CUES[kind]))
+
+
+def _check(kind: str, c: Column) -> Column:
+    """Whether a candidate is what it looks like, told by what no feature shows."""
+    found = c["found"]
+    if kind == "email":
+        return F.rlike(found, F.lit(rf"{_AT}.*{_DOT}[A-Za-z]{{2,24}}$"))
+    if kind == "ip":
+        return _valid("ip", F.regexp_replace(found, r"[\[(]\.[\])]", "."))
+    if kind == "card":
+        return _luhn(_digits(found))
+    return F.length(_digits(found)).between(8, 15) & (F.rlike(found, F.lit(r"^(?:\+|00)")) | _cue("phone", c))
 
 
 def _features(kind: str, c: Column) -> list[Column]:
-    inner = F.regexp_replace(c["found"], "[0-9A-Za-z+]", "")
-    separator = F.when(inner == "", 0).when(F.rlike(inner, F.lit(r"^\x20+$")), 1).when(F.rlike(inner, F.lit("^-+$")), 2).when(F.rlike(inner, F.lit(r"^\.+$")), 3).otherwise(4)
+    """The features in the order of FEATURES; what the kind's check looks at is left out (0)."""
+    found, nothing = c["found"], F.lit(0)
+    inner = F.regexp_replace(found, r"[0-9A-Za-z+()\[\]@_%]", "")
+    only = lambda pattern: F.rlike(inner, F.lit(pattern))
+    separator = F.when(inner == "", 0).when(only(r"^\x20+$"), 1).when(only("^-+$"), 2).when(only(r"^\.+$"), 3).otherwise(4)
+    lead = nothing
+    if kind == "card":
+        first = _digits(found)
+        lead = F.when(F.startswith(first, F.lit("4")), 1).when(F.rlike(first, F.lit("^(?:5[1-5]|2[2-7])")), 2).when(F.rlike(first, F.lit("^(?:3[47]|6)")), 3).otherwise(0)
+    elif kind == "phone":
+        lead = F.contains(found, F.lit("(")).cast("int")
     return [
         F.lit(KINDS.index(kind)),
-        F.least(F.length(F.regexp_replace(c["found"], "[^0-9]", "")), F.lit(20)),
-        F.least(F.length(F.regexp_replace(c["found"], "[0-9A-Za-z]+", "")), F.lit(6)),
-        separator,
+        nothing if kind == "phone" else F.least(F.length(_digits(found)), F.lit(20)),
+        F.least(F.regexp_count(found, F.lit("[0-9A-Za-z]+")), F.lit(7)),
+        nothing if kind == "email" else separator,
+        lead,
         _side(F.right(c["left"], F.lit(1))),
         _side(F.left(c["right"], F.lit(1))),
-        F.rlike(c["left"], F.lit(CUES[kind])).cast("int"),
-        F.least((F.length(c["found"]) / 8).cast("int"), F.lit(5)),
+        nothing if kind == "phone" else _cue(kind, c).cast("int"),
     ]
 
 
@@ -136,7 +187,7 @@ def _candidate(kind: str):
     def describe(c: Column) -> Column:
         taken = reduce(lambda x, y: x | y, [_clash(F.col(f"base_{k}"), c) for k in KINDS])
         named = [f.cast("int").alias(n) for n, f in zip(FEATURES, _features(kind, c), strict=True)]
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), _clash(F.col(f"base_{kind}"), c).alias("known"), taken.alias("taken"), *named)
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), _check(kind, c).alias("right"), taken.alias("taken"), *named)
 
     return describe
 
@@ -145,14 +196,18 @@ def _as_span(kind: str):
     return lambda b: F.struct(F.lit(kind).alias("kind"), b["start"].alias("start"), b["end"].alias("end"))
 
 
-def _spotted(df: DataFrame) -> DataFrame:
-    """``df`` (with ``text``) and, for each kind, valid base spans and clear candidates with features."""
-    df = _with_spans(_with_spans(df, BASE, "base"), WIDE, "wide")
+def _spotted(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``base`` (kind, start, end) and ``found``: candidates of all kinds with label and features."""
+    df = texts
     for kind in KINDS:
-        df = df.withColumn(f"base_{kind}", F.filter(f"base_{kind}", _is_valid(kind)))
+        df = _with_spans(df, f"base_{kind}", BASE[kind]).withColumn(f"base_{kind}", F.filter(f"base_{kind}", _is_valid(kind)))
     for kind in KINDS:
-        df = df.withColumn(f"wide_{kind}", F.transform(f"wide_{kind}", _candidate(kind)))
-    return df
+        for i, pattern in enumerate(WIDE[kind]):
+            df = _with_spans(df, f"wide_{i}", pattern)
+        parts = [f"wide_{i}" for i in range(len(WIDE[kind]))]
+        df = df.withColumn(f"found_{kind}", F.transform(F.array_distinct(F.concat(*parts)), _candidate(kind))).drop(*parts)
+    base = F.concat(*[F.transform(f"base_{k}", _as_span(k)) for k in KINDS])
+    return df.withColumn("base", base).withColumn("found", F.concat(*[f"found_{k}" for k in KINDS]))
 
 
 def _tree(node, at: list[Column]) -> Column:
@@ -160,66 +215,100 @@ def _tree(node, at: list[Column]) -> Column:
     if node.getClass().getSimpleName() == "LeafNode":
         return F.lit(float(node.prediction()))
     split = node.split()
-    return F.when(at[split.featureIndex()] <= F.lit(float(split.threshold())), _tree(node.leftChild(), at)).otherwise(_tree(node.rightChild(), at))
+    low, high = _tree(node.leftChild(), at), _tree(node.rightChild(), at)
+    return F.when(at[split.featureIndex()] <= F.lit(float(split.threshold())), low).otherwise(high)
 
 
 def fit(spotted: DataFrame):
-    """A function from feature columns to a probability, and the calibrated threshold; or None.
+    """(probability, thresholds): a function from feature columns to a probability, and each kind's
+    threshold; None without both labels in the first half of the documents.
 
-    The training table has one row for each feature combination and class: its size is bounded
-    by the features' bins, so it may be collected.  Without both classes there is no model.
+    The training table has a row for each feature combination and label, at most the product of
+    the features' bins; calibration gathers at most 1001 rows of each kind.  A threshold is the
+    least score above which the held-out precision, after the share that passes by chance, is at
+    least PRECISION with EVIDENCE spans; a kind that never reaches it adds nothing.
     """
-    candidates = spotted.select(F.explode(F.concat(*[f"wide_{k}" for k in KINDS])).alias("c")).select("c.known", *[f"c.{n}" for n in FEATURES])
-    counted = settle(candidates.groupBy("known", *FEATURES).agg(F.count("*").cast("double").alias("weight")))
-    if counted.select("known").distinct().count() < 2:
+    rows = spotted.select(F.pmod("k1", F.lit(2)).alias("half"), F.explode("found").alias("c"))
+    rows = rows.select("half", F.col("c.right").alias("known"), *[f"c.{n}" for n in FEATURES])
+    counted = settle(rows.groupBy("half", "known", *FEATURES).agg(F.count("*").cast("double").alias("weight")))
+    learn = counted.where("half = 0")
+    if learn.select("known").distinct().count() < 2:
         return None
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(counted.withColumn("label", F.col("known").cast("double")).coalesce(1))
-    model = GBTClassifier(maxIter=8, maxDepth=4, stepSize=0.3, weightCol="weight", minInfoGain=1e-6, seed=7, checkpointInterval=-1, maxBins=32).fit(table)
-    trees = list(zip([t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode") for t in model.trees], model.treeWeights, strict=True))
+    labelled = learn.withColumn("label", F.col("known").cast("double")).coalesce(1)
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(labelled)
+    boosted = GBTClassifier(maxIter=6, maxDepth=4, stepSize=0.3, weightCol="weight", minInfoGain=1e-6, seed=7, checkpointInterval=-1, maxBins=32)
+    model = boosted.fit(table)
+    trees = [(t._call_java("rootNode"), w) for t, w in zip(model.trees, model.treeWeights, strict=True)]
 
     def probability(at: list[Column]) -> Column:
         total = reduce(lambda x, y: x + y, [F.lit(float(w)) * _tree(node, at) for node, w in trees])
-        return 1 / (1 + F.exp(-2 * total))
-
-    scored = counted.select("known", "weight", probability([F.col(n) for n in FEATURES]).alias("p")).orderBy(F.desc("p")).collect()
-    threshold, good, everything = 1.01, 0.0, 0.0
-    for i, r in enumerate(scored):
-        good, everything = good + r.weight * r.known, everything + r.weight
-        last_of_ties = i + 1 == len(scored) or scored[i + 1].p < r.p
-        if last_of_ties and good >= PRECISION * everything and r.p >= 0.5:
-            threshold = r.p
-    return probability, threshold
+        return F.round(1 / (1 + F.exp(-2 * total)), 3)
+
+    held = counted.where("half = 1").withColumn("p", probability([F.col(n) for n in FEATURES]))
+    sums = held.groupBy("kind", "p").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("known"), F.col("weight")).otherwise(0.0)).alias("good"))
+    thresholds = {kind: 1.01 for kind in KINDS}
+    good, everything = dict.fromkeys(KINDS, 0.0), dict.fromkeys(KINDS, 0.0)
+    for r in sorted(sums.collect(), key=lambda r: -r.p):
+        kind = KINDS[r.kind]
+        good[kind], everything[kind] = good[kind] + r.good, everything[kind] + r["all"]
+        share, chance = good[kind] / everything[kind], CHANCE[kind]
+        real = (share - chance) / (1 - chance)
+        if r.p >= 0.5 and good[kind] >= EVIDENCE and real >= PRECISION * share:
+            thresholds[kind] = r.p
+    return probability, thresholds
+
+
+def _chosen(model) -> Column:
+    """The candidates of ``found`` that are added, as an array of (kind, start, end)."""
+    if model is None:
+        return F.array().cast(_SPANS)
+    probability, thresholds = model
+    names = F.array(*[F.lit(k) for k in KINDS])
+    least = F.array(*[F.lit(float(thresholds[k])) for k in KINDS])
+    free = F.filter("found", lambda c: c["right"] & ~c["taken"])
+    rated = F.transform(
+        free,
+        lambda c: F.struct(
+            probability([c[n] for n in FEATURES]).alias("p"), (c["end"] - c["start"]).alias("length"), (-c["kind"]).alias("kind"), (-c["start"]).alias("start"), c["end"].alias("end")
+        ),
+    )
+    passed = F.array_distinct(F.filter(rated, lambda c: c["p"] >= F.get(least, -c["kind"])))
+    # Of overlapping candidates the one with the better score stays, then the longer, then the earlier kind and start.
+    beaten = lambda c: F.exists(passed, lambda d: (d > c) & (-d["start"] < c["end"]) & (-c["start"] < d["end"]))
+    return F.transform(F.filter(passed, lambda c: ~beaten(c)), lambda c: F.struct(F.get(names, -c["kind"]).alias("kind"), (-c["start"]).alias("start"), c["end"].alias("end")))
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (kind, start, end) by kind as listed, then start.
 
     Offsets are code points, the end exclusive.  Null text counts as empty.  ``spans`` holds all
-    of ``base`` and the selected candidates that overlap none of them nor one another.  Columns
-    with these names are replaced; every row is kept.
+    of ``base`` and the chosen candidates, which overlap no base span and not one another.  Columns
+    with these names are replaced; every row is kept, repeated ones too.  Ids are not used.
     """
     names = docs.columns
-    spotted = _spotted(pack(docs).withColumn("text", F.coalesce(F.col("row").getField(text_col), F.lit(""))))
-    model = fit(spotted)
-    kind_spans = {}
-    for kind in KINDS:
-        plain = F.transform(f"base_{kind}", _as_span(kind))
-        kind_spans[kind] = (plain, plain)
-        if model is not None:
-            probability, threshold = model
-            chosen = F.filter(f"wide_{kind}", lambda c: ~c["taken"] & (probability([c[n] for n in FEATURES]) >= F.lit(threshold)))
-            more = F.transform(chosen, _as_span(kind))
-            kind_spans[kind] = (plain, F.array_sort(F.concat(plain, more)))
-    base, spans = (F.concat(*[kind_spans[k][i] for k in KINDS]) for i in (0, 1))
-    return unpack(spotted.withColumn("base", base).withColumn("spans", spans), names, base=F.col("base"), spans=F.col("spans"))
-
+    packed = pack(docs, key=True)
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    marked = reduce(lambda x, y: x | y, [F.contains("text", F.lit(m)) for m in _MAIL_MARKS])
+    texts = packed.select("k1", "k2", text.alias("text")).where(marked | F.rlike("text", F.lit(_SOME_DIGITS)))
+    spotted = settle(_spotted(texts).select("k1", "k2", "base", "found"))
+    place = F.array(*[F.lit(k) for k in KINDS])
+    told = spotted.withColumn("more", _chosen(fit(spotted))).select("k1", "k2", "base", F.concat("base", "more").alias("spans"))
+    by_kind = F.transform("spans", lambda s: F.struct(F.array_position(place, s["kind"]).alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    plain = F.transform(F.array_sort(by_kind), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    # Rows that are equal in every column share a key and their spans.
+    told = told.select("k1", "k2", "base", plain.alias("spans")).groupBy("k1", "k2").agg(F.first("base").alias("base"), F.first("spans").alias("spans"))
+    joined = packed.join(told, ["k1", "k2"], "left")
+    none = F.array().cast(_SPANS)
+    return unpack(joined, names, base=F.coalesce("base", none), spans=F.coalesce("spans", none))
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by its kind in square brackets."""
     names = docs.columns
     found = find(docs, text_col)
     rows = found.withColumn("_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    # Base spans may overlap: the earlier one, of equal starts the longer, names the mark; none of the others shows.
+    keyed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["end"].alias("end"), s["kind"].alias("kind")))
+    ordered = F.array_sort(keyed)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -244,4 +333,11 @@ def _of_kind(kind: str):
 def op6_boosted_pii(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     counts = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
+    )

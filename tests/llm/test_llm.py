@@ -227,9 +227,61 @@ def test_pii_base_spans_equal_brute_force(spark):
     assert pii.find(empty(spark)).count() == 0 and pii.find(odd(spark)).count() == len(ODD)
 
 
+def test_pii_adds_what_failing_runs_hide(spark):
+    """Cards and phones inside a run that fails as a whole are added; look-alikes are not."""
+    random.seed(12)
+
+    def card(lead):
+        digits = lead + "".join(random.choices("0123456789", k=15 - len(lead)))
+        total = sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(reversed(digits)))
+        return digits + str(-total % 10)
+
+    def phone():
+        return f"+1 ({random.randint(100, 999)}) 555-{random.randint(1000, 9999)}"
+
+    texts = []
+    for _ in range(240):
+        texts += [f"pay with {card('4')} now", f"call {phone()} today", f"number {random.randint(10**15, 4 * 10**15 - 1)} is none", f"mail a{random.randint(1, 99)}@b.example.com", f"at 10.0.{random.randint(0, 255)}.7 and version 1.2.{random.randint(0, 9)}"]
+    hidden = [(phone(), card("4")) for _ in range(30)]
+    texts += [f"see {a} {b} there" for a, b in hidden]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    for i, text in enumerate(texts):
+        base, spans = [tuple(s) for s in got[i].base], [tuple(s) for s in got[i].spans]
+        assert base == base_by_hand(text) and set(base) <= set(spans)
+        assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        more = [s for s in spans if s not in base]
+        assert all(a is b or a[2] <= b[1] or b[2] <= a[1] for a in more for b in spans)
+        if i < 1200:
+            assert not more
+    for i, (a, b) in enumerate(hidden, 1200):
+        assert {texts[i][s:e] for _, s, e in map(tuple, got[i].spans)} == {a, b}
+
+
+def test_pii_overlapping_candidates_keep_the_best(spark):
+    """The kept candidates equal a search over all pairs."""
+    random.seed(13)
+    names = ("start", "end", "right", "taken", *pii.FEATURES)
+    rows = []
+    for i in range(60):
+        found = []
+        for _ in range(12):
+            start = random.randint(0, 60)
+            found.append((start, start + random.randint(3, 20), random.random() < 0.8, random.random() < 0.2, random.randrange(4), random.randint(0, 20), 0, 0, 0, 0, 0, 0))
+        rows.append((i, found))
+    schema = "id int, found array<struct<" + ",".join(f"{n}:{'boolean' if n in ('right', 'taken') else 'int'}" for n in names) + ">>"
+    score = lambda at: F.round(at[1] / 20.0, 3)
+    limits = {"email": 0.1, "ip": 0.5, "card": 0.3, "phone": 0.0}
+    got = {r.id: {tuple(s) for s in r.c} for r in spark.createDataFrame(rows, schema).select("id", pii._chosen((score, limits)).alias("c")).collect()}
+    for i, found in rows:
+        fine = {(round(c[5] / 20, 3), c[1] - c[0], -c[4], -c[0], c[1]) for c in found if c[2] and not c[3] and round(c[5] / 20, 3) >= limits[pii.KINDS[c[4]]]}
+        stay = {c for c in fine if not any(d > c and -d[3] < c[4] and -c[3] < d[4] for d in fine)}
+        assert got[i] == {(pii.KINDS[-c[2]], -c[3], c[4]) for c in stay}
+
+
 def test_pii_redacts(spark):
-    df = spark.createDataFrame([(1, "write a@b.co from 1.2.3.4 now")], "doc_id long, text string")
-    assert pii.redact(df).first().text == "write [EMAIL] from [IP] now"
+    df = spark.createDataFrame([(1, "write a@b.co from 1.2.3.4 now"), (2, "1.2.3.4@x.org twice"), (3, None)], "doc_id long, text string")
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["write [EMAIL] from [IP] now", "[EMAIL] twice", ""]
 
 
 # ---------------------------------------------------------------- vectors
