@@ -71,19 +71,6 @@ _BLOCK = 256
 _SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def _running_sums(numbers: Column) -> Column:
-    """Sums of the elements before each element, in two levels so that long arrays stay cheap."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    last = F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(numbers, b * _BLOCK + 1, _BLOCK))
-    before = lambda a: F.transform(a, lambda _, i: total(F.slice(a, 1, i)))
-    inside = F.transform(blocks, before)
-    outside = before(F.transform(blocks, total))
-    zipped = F.arrays_zip(inside.alias("i"), outside.alias("o"))
-    sums = F.flatten(F.transform(zipped, lambda z: F.transform(z["i"], lambda x: x + z["o"])))
-    return F.when(F.size(numbers) > 0, sums).otherwise(F.array().cast("array<int>"))
-
-
 def _luhn(digits: Column) -> Column:
     ones = F.transform(F.split(F.reverse(digits), ""), lambda d: F.try_to_number(d, F.lit("9")).cast("int"))
     doubled = F.transform(ones, lambda d, i: F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d))
@@ -105,28 +92,29 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def _with_spans(df: DataFrame, column: str, pattern: str) -> DataFrame:
-    """``df`` with an array of a pattern's matches: start, end, found, left and right context."""
-    df = df.withColumn("_m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split("text", pattern, -1)).otherwise(F.array().cast("array<string>")))
-    pairs = F.arrays_zip(F.col("_g").alias("g"), F.col("_m").alias("m"))
-    step = F.transform(pairs, lambda z: F.char_length(z["g"]) + F.coalesce(F.char_length(z["m"]), F.lit(0)))
-    df = df.withColumn("_n", step).withColumn("_s", _running_sums(F.col("_n")))
-    n = F.size("_m")
-    zipped = F.arrays_zip(
-        F.col("_m").alias("m"), F.slice("_g", 1, n).alias("g"), F.slice("_g", 2, n).alias("r"), F.slice("_s", 1, n).alias("s")
-    )
-    spans = F.transform(
-        zipped,
-        lambda z: F.struct(
-            (z["s"] + F.char_length(z["g"])).alias("start"),
-            (z["s"] + F.char_length(z["g"]) + F.char_length(z["m"])).alias("end"),
-            z["m"].alias("found"),
-            F.right(z["g"], F.lit(24)).alias("left"),
-            F.left(z["r"], F.lit(8)).alias("right"),
-        ),
-    )
-    return df.withColumn(column, spans).drop("_m", "_g", "_n", "_s")
+def _with_spans(df: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """``df`` with an array column for each pattern: start, end, found, left and right context of its matches.
+
+    The sums of the lengths before each match go by blocks of _BLOCK, so that long arrays stay cheap.
+    """
+    names = list(patterns)
+    total, before = "aggregate({0}, 0, (p, q) -> p + q)", "transform({0}, (_, i) -> aggregate(slice({0}, 1, i), 0, (p, q) -> p + q))"
+    layers = [
+        {f"n_{n}": f"zip_with(g_{n}, m_{n}, (x, y) -> char_length(x) + coalesce(char_length(y), 0))" for n in names},
+        {f"b_{n}": f"transform(sequence(0, cast((size(n_{n}) - 1) div {_BLOCK} AS int)), k -> slice(n_{n}, k * {_BLOCK} + 1, {_BLOCK}))" for n in names},
+        {f"t_{n}": f"transform(b_{n}, a -> {total.format('a')})" for n in names},
+        {f"o_{n}": before.format(f"t_{n}") for n in names},
+        {f"s_{n}": f"flatten(zip_with(b_{n}, o_{n}, (x, y) -> transform({before.format('x')}, v -> v + y)))" for n in names},
+        {
+            n: f"transform(m_{n}, (m, i) -> struct(s_{n}[i] + char_length(g_{n}[i]) AS start, s_{n}[i] + char_length(g_{n}[i]) + char_length(m) AS end, "
+            f"m AS found, right(g_{n}[i], 24) AS left, left(g_{n}[i + 1], 8) AS right))"
+            for n in names
+        },
+    ]
+    df = df.withColumns({f"m_{n}": F.regexp_extract_all("text", F.lit(patterns[n]), F.lit(0)) for n in names} | {f"g_{n}": F.split("text", patterns[n], -1) for n in names})
+    for layer in layers:
+        df = df.withColumns({name: F.expr(said) for name, said in layer.items()})
+    return df.drop(*[f"{x}_{n}" for x in "mgnbtos" for n in names])
 
 
 def _clash(spans: Column, c: Column) -> Column:
@@ -198,16 +186,12 @@ def _as_span(kind: str):
 
 def _spotted(texts: DataFrame) -> DataFrame:
     """``texts`` with ``base`` (kind, start, end) and ``found``: candidates of all kinds with label and features."""
-    df = texts
-    for kind in KINDS:
-        df = _with_spans(df, f"base_{kind}", BASE[kind]).withColumn(f"base_{kind}", F.filter(f"base_{kind}", _is_valid(kind)))
-    for kind in KINDS:
-        for i, pattern in enumerate(WIDE[kind]):
-            df = _with_spans(df, f"wide_{i}", pattern)
-        parts = [f"wide_{i}" for i in range(len(WIDE[kind]))]
-        df = df.withColumn(f"found_{kind}", F.transform(F.array_distinct(F.concat(*parts)), _candidate(kind))).drop(*parts)
+    wide = {f"wide_{k}_{i}": p for k in KINDS for i, p in enumerate(WIDE[k])}
+    df = _with_spans(texts, {f"base_{k}": BASE[k] for k in KINDS} | wide)
+    df = df.withColumns({f"base_{k}": F.filter(f"base_{k}", _is_valid(k)) for k in KINDS})
+    proposed = {k: F.array_distinct(F.concat(*[n for n in wide if n.startswith(f"wide_{k}_")])) for k in KINDS}
     base = F.concat(*[F.transform(f"base_{k}", _as_span(k)) for k in KINDS])
-    return df.withColumn("base", base).withColumn("found", F.concat(*[f"found_{k}" for k in KINDS]))
+    return df.withColumns({"base": base, "found": F.concat(*[F.transform(proposed[k], _candidate(k)) for k in KINDS])})
 
 
 def _tree(node, at: list[Column]) -> Column:
@@ -258,10 +242,10 @@ def fit(spotted: DataFrame):
     return probability, thresholds
 
 
-def _chosen(model) -> Column:
-    """The candidates of ``found`` that are added, as an array of (kind, start, end)."""
+def _chosen(spotted: DataFrame, model) -> DataFrame:
+    """``spotted`` with ``more``: the candidates of ``found`` that are added, as an array of (kind, start, end)."""
     if model is None:
-        return F.array().cast(_SPANS)
+        return spotted.withColumn("more", F.array().cast(_SPANS))
     probability, thresholds = model
     names = F.array(*[F.lit(k) for k in KINDS])
     least = F.array(*[F.lit(float(thresholds[k])) for k in KINDS])
@@ -272,10 +256,11 @@ def _chosen(model) -> Column:
             probability([c[n] for n in FEATURES]).alias("p"), (c["end"] - c["start"]).alias("length"), (-c["kind"]).alias("kind"), (-c["start"]).alias("start"), c["end"].alias("end")
         ),
     )
-    passed = F.array_distinct(F.filter(rated, lambda c: c["p"] >= F.get(least, -c["kind"])))
+    rows = spotted.withColumn("_passed", F.array_distinct(F.filter(rated, lambda c: c["p"] >= F.get(least, -c["kind"]))))
     # Of overlapping candidates the one with the better score stays, then the longer, then the earlier kind and start.
-    beaten = lambda c: F.exists(passed, lambda d: (d > c) & (-d["start"] < c["end"]) & (-c["start"] < d["end"]))
-    return F.transform(F.filter(passed, lambda c: ~beaten(c)), lambda c: F.struct(F.get(names, -c["kind"]).alias("kind"), (-c["start"]).alias("start"), c["end"].alias("end")))
+    beaten = lambda c: F.exists("_passed", lambda d: (d > c) & (-d["start"] < c["end"]) & (-c["start"] < d["end"]))
+    spans = F.transform(F.filter("_passed", lambda c: ~beaten(c)), lambda c: F.struct(F.get(names, -c["kind"]).alias("kind"), (-c["start"]).alias("start"), c["end"].alias("end")))
+    return rows.withColumn("more", spans).drop("_passed")
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -292,7 +277,7 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     texts = packed.select("k1", "k2", text.alias("text")).where(marked | F.rlike("text", F.lit(_SOME_DIGITS)))
     spotted = settle(_spotted(texts).select("k1", "k2", "base", "found"))
     place = F.array(*[F.lit(k) for k in KINDS])
-    told = spotted.withColumn("more", _chosen(fit(spotted))).select("k1", "k2", "base", F.concat("base", "more").alias("spans"))
+    told = _chosen(spotted, fit(spotted)).select("k1", "k2", "base", F.concat("base", "more").alias("spans"))
     by_kind = F.transform("spans", lambda s: F.struct(F.array_position(place, s["kind"]).alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     plain = F.transform(F.array_sort(by_kind), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     # Rows that are equal in every column share a key and their spans.

@@ -272,7 +272,7 @@ def test_pii_overlapping_candidates_keep_the_best(spark):
     schema = "id int, found array<struct<" + ",".join(f"{n}:{'boolean' if n in ('right', 'taken') else 'int'}" for n in names) + ">>"
     score = lambda at: F.round(at[1] / 20.0, 3)
     limits = {"email": 0.1, "ip": 0.5, "card": 0.3, "phone": 0.0}
-    got = {r.id: {tuple(s) for s in r.c} for r in spark.createDataFrame(rows, schema).select("id", pii._chosen((score, limits)).alias("c")).collect()}
+    got = {r.id: {tuple(s) for s in r.more} for r in pii._chosen(spark.createDataFrame(rows, schema), (score, limits)).collect()}
     for i, found in rows:
         fine = {(round(c[5] / 20, 3), c[1] - c[0], -c[4], -c[0], c[1]) for c in found if c[2] and not c[3] and round(c[5] / 20, 3) >= limits[pii.KINDS[c[4]]]}
         stay = {c for c in fine if not any(d > c and -d[3] < c[4] and -c[3] < d[4] for d in fine)}
