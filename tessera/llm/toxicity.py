@@ -1,12 +1,16 @@
-"""Toxicity by compression distance: two zstandard dictionaries and calibrated thresholds.
+"""Toxicity by compression distance: zstandard dictionaries trained on both classes, calibrated thresholds.
 
 Training reads a bounded sample of labelled rows (MAX_TOXIC and MAX_ORDINARY rows, chosen by a
-hash of their id).  Two raw-content dictionaries share one base of frequent ordinary words; one
-ends with the word stems that mark toxic text, the other with as many bytes of further ordinary
-words, so both parse ordinary words alike.  A window is one word with its neighbouring blanks,
-each character written as a fixed four-byte code: a shared stem then saves several times the
-cost of a match.  A word's distance is the difference of its two compressed lengths; a logistic
-curve fitted on the second half of the sample turns a text's largest distances into a score.
+hash of their id; MAX_WINDOWS windows of each class).  ``zstandard.train_dictionary`` is run on
+windows of the toxic texts and on windows of the ordinary texts; words that only one or two texts
+of a class hold are left out, as no other text can be recognised by them.  Both compressors begin
+with one trained base of ordinary text, so they parse ordinary words alike, and end with what was
+trained on toxic or on further ordinary text, as many characters of each.
+
+A scored window is one word with its neighbouring blanks, each character written as a fixed
+four-byte code: a shared passage then saves several times the cost of a match.  Its distance is
+the length under the ordinary dictionary minus that under the toxic one; a logistic curve, fitted
+on texts that trained no dictionary, turns the numbers of windows beyond several cuts into a score.
 
 All documents, whole texts, are scored; distances of frequent words are remembered per task.
 """
@@ -29,33 +33,55 @@ from .common import hash128, pack, settle, small_batches, unpack
 
 #: Bounds of the training sample, in rows of each class.
 MAX_TOXIC, MAX_ORDINARY = 6_000, 14_000
-#: Most stems and ordinary words that the dictionaries take, and the word forms looked at.
-MAX_STEMS, BASE_WORDS, CONTRAST_WORDS, MAX_FORMS = 120, 800, 2_000, 400_000
-#: A stem's smoothed log odds, its least number of toxic documents and least share of them.
-MIN_ODDS, MIN_DOCS, MIN_SHARE = 2.0, 3, 0.008
+#: Windows of each class that train a dictionary, words in one, and the word forms kept as recurring.
+MAX_WINDOWS, WINDOW, MAX_FORMS = 200_000, 2, 200_000
+#: A word must occur in so many sampled texts of its class to take part.
+RECURS = 3
+#: Bytes of trained text in the common base and in the part of each class; segment and match length of the training.
+BASE_BYTES, CLASS_BYTES, SEGMENT, MATCH = 100_000, 16_384, 24, 6
+#: How much more a toxic text of the sample weighs when the curve is fitted.
+TOXIC_WEIGHT = 3.0
 #: Distances remembered per task.
 CACHE = 100_000
 _WORD = re.compile(r"[^\W_]+")
-_CUTS = (2, 4, 6, 8, 10, 12, 16, 20)
+_CUTS = (4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16)
+#: The end of a trained dictionary's tables: its three repeat offsets, before the content.
+_OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
 
 def is_held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether crc32 of the id as text is divisible by 5; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def trained_text(windows: list[str], size: int) -> str:
+    """What a dictionary of ``size`` bytes trained on the windows holds, the most useful text last."""
+    import zstandard as zs
+
+    samples = [w.encode("utf-8", "replace") for w in windows]
+    if sum(map(len, samples)) <= size:
+        return "".join(windows)
+    try:
+        made = zs.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
+    except zs.ZstdError:  # too few samples to choose from
+        return "".join(windows)[-size:]
+    at = made.find(_OFFSETS)
+    return made[at + len(_OFFSETS) if at >= 0 else 0 :].decode("utf-8", "ignore")
 
 
 class Distance:
     """Compressed length with the ordinary dictionary minus that with the toxic one, by word."""
 
-    def __init__(self, base: list[str], toxic: list[str], contrast: list[str]):
+    def __init__(self, base: str, toxic: str, contrast: str):
         import zstandard as zs
 
         self.codes: dict[str, bytes] = {}
         self.cache: dict[str, int] = {}
-        ends = self.expand("".join(reversed(toxic)) + " ")
-        other = self.expand(" " + " ".join(contrast))[: len(ends)]
-        start = self.expand(" ".join(reversed(base)) + " ")
+        length = min(len(toxic), len(contrast))
+        start = self.expand(base)
+        ends, other = self.expand(toxic[len(toxic) - length :]), self.expand(contrast[len(contrast) - length :])
         params = zs.ZstdCompressionParameters(
-            window_log=18, hash_log=17, chain_log=18, search_log=9, min_match=4, target_length=64,
+            window_log=20, hash_log=19, chain_log=20, search_log=9, min_match=4, target_length=64,
             strategy=zs.STRATEGY_BTOPT, write_checksum=0, write_content_size=0, write_dict_id=0,
         )
         self._lengths = []
@@ -77,51 +103,31 @@ class Distance:
         return found
 
     def features(self, text: str) -> list[float]:
-        """For each cut, the log of one plus the number of words at or above it; then the share."""
+        """For each cut, the log of one plus the number of words at or above it; then shares and the mean distance."""
         if len(self.cache) > CACHE:
             self.cache.clear()
         of, found = self.of, _WORD.findall(text.lower())
-        counts = np.bincount(np.clip(np.fromiter(map(of, found), np.int64, len(found)), 0, 63), minlength=64)
+        distances = np.fromiter(map(of, found), np.int64, len(found))
+        counts = np.bincount(np.clip(distances, 0, 63), minlength=64)
         above = counts[::-1].cumsum()[::-1]
         out = [min(1.0, float(above[cut])) for cut in _CUTS]
         out += [math.log1p(float(above[cut])) for cut in _CUTS]
         out += [100.0 * float(above[cut]) / (len(found) + 20.0) for cut in (6, 8, 10)]
+        out.append(10.0 * float(distances.sum()) / max(1, len(found)))
         return out
 
 
-def _stems(forms: list[tuple[str, int, int]], n_toxic: int, n_ordinary: int) -> list[str]:
-    """Word stems that mark toxic text, best first: most evidence, then longest.
-
-    A form is left out if a chosen stem begins it, or if it begins a chosen stem and adds few
-    documents of its own.
-    """
-    least = max(MIN_DOCS, round(MIN_SHARE * n_toxic))
-    scored = []
-    for form, toxic, ordinary in forms:
-        odds = math.log((toxic + 0.1) / (n_toxic + 0.2)) - math.log((ordinary + 1) / (n_ordinary + 1))
-        if odds > MIN_ODDS and toxic >= least:
-            scored.append((toxic * odds, len(form), form, toxic))
-    chosen: dict[str, int] = {}
-    for _, _, form, toxic in sorted(scored, reverse=True):
-        inner = sum(n for stem, n in chosen.items() if stem.startswith(form.rstrip()))
-        if any(form.startswith(stem) for stem in chosen) or toxic < 1.5 * inner:
-            continue
-        chosen[form] = toxic
-        if len(chosen) >= MAX_STEMS:
-            break
-    return list(chosen)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method for a ridge logistic regression with an intercept in the last place."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: float = TOXIC_WEIGHT) -> np.ndarray:
+    """Newton's method for a ridge logistic regression with an intercept in the last place; rows of class 1 weigh ``weight``."""
+    many = np.where(y > 0, weight, 1.0)
     x = np.hstack([x, np.ones((len(x), 1))])
     weights = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge * len(x) ** 0.5)
     penalty[-1] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * weights
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        gradient = x.T @ (many * (p - y)) + penalty * weights
+        hessian = (x * (many * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
         weights -= step
         if np.abs(step).max() < 1e-8:
@@ -130,7 +136,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """A model (dictionaries' words and curve) from a bounded sample of labelled rows.
+    """A model (dictionaries' texts and curve) from a bounded sample of labelled rows.
 
     ``labels`` are rows of (id, label); several labels of one id count as their largest, null
     labels and ids are left out.  Without both classes the model scores every text by the share
@@ -156,21 +162,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not (n_toxic and n_ordinary and counts.get((True, False)) and counts.get((False, False))):
         return {"prior": share}
     learn = rows.where("first")
-    ends = F.flatten(F.transform("words", lambda w: F.concat(F.transform(F.sequence(F.lit(4), F.lit(10)), lambda k: F.concat(F.lit(" "), F.left(w, k))), F.array(F.concat(F.lit(" "), w, F.lit(" "))))))
-    forms = (
-        learn.select("toxic", F.explode(F.array_distinct(ends)).alias("form"))
-        .groupBy("form")
-        .agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("o"))
-        .where(F.col("t") >= MIN_DOCS)
-        .where(F.log((F.col("t") + 0.1) / (n_toxic + 0.2)) - F.log((F.col("o") + 1) / (n_ordinary + 1.0)) > MIN_ODDS)
-        .orderBy(F.desc("t"), "form")
-        .limit(MAX_FORMS)
-    )
-    found = [(r.form, r.t, r.o) for r in forms.collect()]
-    stems = _stems(found, n_toxic, n_ordinary)
-    frequent = learn.where("not toxic").select(F.explode("words").alias("w")).where(F.char_length("w") > 3).groupBy("w").count()
-    ordinary = [r.w for r in frequent.orderBy(F.desc("count"), "w").limit(BASE_WORDS + CONTRAST_WORDS).collect()]
-    model = {"base": ordinary[:BASE_WORDS], "toxic": stems, "contrast": ordinary[BASE_WORDS:] or ordinary, "prior": share}
+    forms = learn.select("toxic", F.explode("words").alias("w")).groupBy("toxic", "w").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS)
+    # At most MAX_FORMS words of each class, the most frequent ones, so they may go to every task.
+    recurring = {c: {r.w for r in forms.where(F.col("toxic") == c).orderBy(F.desc("n"), "w").limit(MAX_FORMS).collect()} for c in (True, False)}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes, windows = [], []
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = [w for w in _WORD.findall(text.lower()) if w in recurring[toxic]]
+                made = [f" {' '.join(words[i : i + WINDOW])} " for i in range(0, len(words), WINDOW)]
+                windows += made
+                classes += [toxic] * len(made)
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.bool_()), pa.array(windows, pa.string())], names=["toxic", "window"])
+
+    cuts = settle(learn.select("toxic", "text").mapInArrow(cut, "toxic boolean, window string").withColumn("h", F.xxhash64("window", F.monotonically_increasing_id())))
+
+    def sampled(toxic: bool) -> list[str]:
+        return [r.window for r in cuts.where(F.col("toxic") == toxic).orderBy("h", "window").limit(MAX_WINDOWS).collect()]
+
+    ordinary = sampled(False)
+    half = len(ordinary) // 2
+    model = {"base": trained_text(ordinary[:half], BASE_BYTES), "toxic": trained_text(sampled(True), CLASS_BYTES), "contrast": trained_text(ordinary[half:], CLASS_BYTES), "prior": share}
     measured = _measure(rows.where("not first").select("toxic", "text"), model).collect()
     x = np.array([r.features for r in measured], float)
     y = np.array([r.toxic for r in measured], float)
@@ -179,14 +192,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 @lru_cache(maxsize=1)
-def _distance(base: tuple, toxic: tuple, contrast: tuple) -> Distance:
-    return Distance(list(base), list(toxic), list(contrast))
+def _distance(base: str, toxic: str, contrast: str) -> Distance:
+    return Distance(base, toxic, contrast)
 
 
 def _measure(df: DataFrame, model: dict) -> DataFrame:
     """``df`` without ``text``, with ``features`` of the whole text."""
     small_batches(df.sparkSession)
-    words = tuple(tuple(model[k]) for k in ("base", "toxic", "contrast"))
+    words = tuple(model[k] for k in ("base", "toxic", "contrast"))
     schema = T.StructType([*[f for f in df.schema.fields if f.name != "text"], T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

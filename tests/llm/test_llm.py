@@ -121,6 +121,37 @@ def test_toxicity_learns_only_training_rows(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_scores_equal_plain_python(spark):
+    """The Spark job's scores equal a loop over whole texts with the same two dictionaries and curve."""
+    import zstandard as zs
+
+    docs = spark.createDataFrame(toxic_rows(), DOCS)
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    assert "blighter" in model["toxic"] and "blighter" not in model["base"] + model["contrast"]
+    code = lambda t: b"".join(hashlib.md5(c.encode()).digest()[:4] for c in t)
+    n = min(len(model["toxic"]), len(model["contrast"]))
+    params = zs.ZstdCompressionParameters(
+        window_log=20, hash_log=19, chain_log=20, search_log=9, min_match=4, target_length=64, strategy=zs.STRATEGY_BTOPT, write_checksum=0, write_content_size=0, write_dict_id=0
+    )
+    ways = []
+    for end in (model["contrast"], model["toxic"]):
+        ways.append(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(code(model["base"] + end[len(end) - n :]), dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=params))
+    for r in toxicity.score(docs.where("doc_id < 12"), model).collect():
+        windows = [code(f" {w} ") for w in r.text.lower().split()]
+        d = np.array([len(ways[0].compress(w)) - len(ways[1].compress(w)) for w in windows])
+        above = [float((d >= cut).sum()) for cut in toxicity._CUTS]
+        x = [min(1.0, a) for a in above] + [np.log1p(a) for a in above] + [100 * float((d >= cut).sum()) / (len(d) + 20) for cut in (6, 8, 10)] + [10 * d.mean()]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(np.dot(x, model["curve"][:-1]) + model["curve"][-1]))), abs=1e-6)
+
+
+def test_toxicity_null_ids_and_repeated_labels(spark):
+    docs = spark.createDataFrame([*toxic_rows(), (None, "blighter", "en", "s", 1)], DOCS)
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    twice = labels.union(labels.where("doc_id < 40")).union(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int"))
+    assert toxicity.fit(docs, twice)["prior"] == toxicity.fit(docs, labels)["prior"] == 0.25
+    assert [r.h for r in docs.where("doc_id IS NULL").select(toxicity.is_held_out(F.col("doc_id")).alias("h")).collect()] == [False]
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.fit(documents(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(odd(spark), model).collect()} == {0.0}
