@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ ROLES = ("system", "user", "assistant")
 STATES = [(role, begins) for role in ROLES for begins in (True, False)]
 #: Bound of the labelled sample, in turns; turns of one block; children of one matrix.
 MAX_TURNS, BLOCK, FAN = 20_000, 64, 64
+#: Bits that count the blocks of one partition.
+BLOCK_BITS = 24
 #: Speaker names that a marker may use, by role.
 NAMES = {
     "system": ("system", "instruction", "instructions", "sys"),
@@ -165,6 +168,27 @@ def render(role: str, body: str) -> str:
     return f"<|{role}|>\n{body.replace('<|', '< |')}\n<|end|>\n"
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows``, sorted over and within partitions, with ``b0``: blocks of at most BLOCK rows of one conversation.
+
+    Numbers rise along the order: the partition comes first, then a count inside it, so neither a
+    hot conversation nor rows without a turn or an id make a larger block.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filled, before = (TaskContext.get().partitionId() << BLOCK_BITS) - 1, BLOCK, None
+        for batch in batches:
+            blocks = []
+            for conv in batch.column("conv").to_pylist():
+                if filled == BLOCK or conv != before:
+                    block, filled, before = block + 1, 0, conv
+                filled += 1
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], names=[*batch.schema.names, "b0"])
+
+    return rows.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField("b0", T.LongType())]))
+
+
 def parse(conversations: DataFrame, model: dict, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """(conv, turn, part, role, text, rendered): one row for each recovered turn.
 
@@ -173,9 +197,11 @@ def parse(conversations: DataFrame, model: dict, conv_col: str = "conv_id", turn
     empty text is one empty line.  A row whose lines change speaker gives several parts.
     """
     conv, turn = conversations.schema[conv_col].dataType, conversations.schema[turn_col].dataType
-    block = F.coalesce(F.floor(F.col(turn_col) / BLOCK), F.lit((1 << 62) // BLOCK)).cast("long")
-    rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(text_col, F.lit("")).alias("text"), block.alias("b0"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
+    said = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(text_col, F.lit("")).alias("text"))
+    order = [F.col("conv").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("tie"), F.col("luck")]
+    # Equal rows are interchangeable: they may be dealt over several ranges.
+    sorted_rows = said.withColumns({"tie": F.xxhash64("text"), "luck": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = settle(_in_blocks(sorted_rows.drop("luck")))
 
     def ordered(table: pa.Table) -> tuple[list, list]:
         turns, ties = table.column("turn").to_pylist(), table.column("tie").to_pylist()

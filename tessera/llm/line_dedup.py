@@ -3,7 +3,8 @@
 Lines are exploded with a 128-bit hash of their normalised key; one aggregation that combines
 before its shuffle finds the keys held by two or more documents and the document that keeps
 them; dropped positions go back to the documents, which are rebuilt in the row.  A line that a
-third of all documents share costs one partial row per task.  The text itself is shuffled once.
+third of all documents share costs one partial row per task in the aggregation and meets its
+keeper by broadcast.  The text itself is shuffled once.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, hash128, pack, text_or_empty, unpack
+from .common import BLANKS, hash128, pack, settle, unpack
 
 #: Keys shorter than this many code points are never dropped.
 MIN_CHARS = 10
 #: A key found in at least this many documents is repeated.
 MIN_DOCS = 2
+#: Most keys that count as hot, and the least number of lines that such a key has.
+HOT_KEYS, HOT_LEAST = 10_000, 1_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,15 +47,23 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).withColumn("key", line_key(F.col("line")))
     h1, h2 = hash128(F.col("key"))
     lines = lines.where(F.char_length("key") >= min_chars).select("k1", "k2", "doc", "pos", h1.alias("h1"), h2.alias("h2"))
-    repeated = (
+    repeated = settle(
         lines.groupBy("h1", "h2")
-        .agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.bool_or(F.col("doc").isNull()).alias("nameless"))
+        .agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.bool_or(F.col("doc").isNull()).alias("nameless"), F.count("*").alias("n"))
         .where((F.col("first") != F.col("last")) | (F.col("nameless") & F.col("first").isNotNull()))
-        .select("h1", "h2", "first")
+        .select("h1", "h2", "first", "n")
     )
+    # Fewer than HOT_KEYS keys can hold that share of all repeated lines each: they are broadcast, and
+    # their lines, already decided, are dealt over all tasks of the join that decides the rest.
+    common = repeated.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") >= max(HOT_LEAST, common / HOT_KEYS)
+    hot = repeated.where(is_hot).select("h1", "h2", F.col("first").alias("hot_first"))
+    cold = repeated.where(~is_hot).select(F.col("h1").alias("at"), "h2", "first")
+    decided = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
+    at = F.when(F.col("hot_first").isNull(), F.col("h1")).otherwise(F.xxhash64("k1", "k2", "pos"))
+    told = decided.withColumn("at", at).join(cold, ["at", "h2"], "left").withColumn("keeper", F.coalesce("hot_first", "first"))
     dropped = (
-        lines.join(repeated, ["h1", "h2"])
-        .where(~F.col("doc").eqNullSafe(F.col("first")))
+        told.where(F.col("keeper").isNotNull() & ~F.col("doc").eqNullSafe(F.col("keeper")))
         .groupBy("k1", "k2")
         .agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     )

@@ -121,7 +121,11 @@ def solve_dual(histogram: DataFrame, targets: DataFrame, cap: int = CAP, rounds:
 
 
 def copies_of(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
-    """``sized`` (source, size and any ``key`` struct) with source_size, target, rate and ``copies``."""
+    """(key, source, size, n, source_size, target, rate, copies) from ``sized`` (source, size and any ``key`` struct).
+
+    Rows that agree in all three are one row with their number ``n``; ``copies`` is the total of all n,
+    at most ``cap`` for each.
+    """
     histogram = settle(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     solved = solve_dual(histogram, source_targets(histogram, weights, budget, cap), cap)
     per_source = solved.select(
@@ -133,27 +137,26 @@ def copies_of(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: floa
         .otherwise(F.lit(1.0))
     )
     luck, more = hash128(F.col("key"), F.col("size"))
-    rated = sized.join(per_source, F.col("source").eqNullSafe(F.col("s"))).select(
+    distinct = sized.groupBy("key", "source", "size").agg(F.count("*").alias("n"))
+    rated = distinct.join(per_source, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("s").alias("source"),
         F.pmod(luck, F.col("buckets")).alias("bucket"),
         "source_size",
         "target",
-        F.struct((-F.col("size")).alias("minus"), more.alias("luck"), "key", F.round(rate * _PPM).cast("long").alias("ppm")).alias("doc"),
+        F.struct((-F.col("size")).alias("minus"), more.alias("luck"), "key", F.round(rate * _PPM).cast("long").alias("ppm"), "n").alias("doc"),
     )
     bucket = rated.groupBy("source", "bucket", "source_size", "target").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
 
     def step(acc: Column, doc: Column) -> Column:
-        size = -doc["minus"]
-        wanted = acc["owed"] + size * doc["ppm"]
+        size, n = -doc["minus"], doc["n"]
+        wanted = acc["owed"] + size * doc["ppm"] * n
         nearest = F.floor((2 * wanted + size * _PPM) / (2 * size * _PPM))
-        copies = F.when(size > 0, F.least(F.lit(cap), F.greatest(F.lit(0), nearest))).otherwise(F.round(doc["ppm"] / _PPM)).cast("int")
-        return F.struct(
-            (wanted - copies * size * _PPM).alias("owed"),
-            F.concat(acc["out"], F.array(F.struct(doc["key"].alias("key"), size.alias("size"), doc["ppm"].alias("ppm"), copies.alias("copies")))).alias("out"),
-        )
+        copies = F.when(size > 0, F.least(cap * n, F.greatest(F.lit(0), nearest))).otherwise(F.round(doc["ppm"] / _PPM) * n).cast("long")
+        taken = F.struct(doc["key"].alias("key"), size.alias("size"), doc["ppm"].alias("ppm"), copies.alias("copies"), n.alias("n"))
+        return F.struct((wanted - copies * size * _PPM).alias("owed"), F.concat(acc["out"], F.array(taken)).alias("out"))
 
     key_type = sized.schema["key"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<key:{key_type},size:bigint,ppm:bigint,copies:int>>")
+    empty = F.array().cast(f"array<struct<key:{key_type},size:bigint,ppm:bigint,copies:bigint,n:bigint>>")
     dealt = bucket.select(
         "source",
         "source_size",
@@ -161,7 +164,7 @@ def copies_of(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: floa
         F.explode(F.aggregate("docs", F.struct(F.lit(0).cast("long").alias("owed"), empty.alias("out")), step, lambda acc: acc["out"])).alias("d"),
     )
     return dealt.select(
-        "d.key", "source", F.col("d.size").alias("size"), "source_size", "target", (F.col("d.ppm") / _PPM).alias("rate"), F.col("d.copies").alias("copies")
+        "d.key", "source", F.col("d.size").alias("size"), F.col("d.n").alias("n"), "source_size", "target", (F.col("d.ppm") / _PPM).alias("rate"), F.col("d.copies").alias("copies")
     )
 
 
@@ -176,10 +179,10 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", wei
     sized = packed.select(
         F.struct("k1", "k2").alias("key"), F.col("row").getField(source_col).alias("source"), word_count(F.col("row").getField(text_col)).alias("size")
     )
-    taken = copies_of(sized, weights, budget, cap).groupBy("key.k1", "key.k2").agg(F.sum("copies").cast("int").alias("copies"))
+    taken = copies_of(sized, weights, budget, cap).groupBy("key.k1", "key.k2").agg(F.sum("copies").alias("copies"))
     # Rows equal in every column share a key: one of them stands for all and takes their total.
     once = packed.groupBy("k1", "k2").agg(F.first("row").alias("row")) if _has_repeats(sized) else packed
-    repeated = once.join(taken.where("copies > 0"), ["k1", "k2"]).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    repeated = once.join(taken.where("copies > 0"), ["k1", "k2"]).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return repeated.select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
@@ -190,7 +193,10 @@ def _has_repeats(sized: DataFrame) -> bool:
 def op2_entropy_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select(F.struct("doc_id").alias("key"), "source", word_count(F.col("text")).alias("size"))
-    out = copies_of(sized)
+    # Rows with one id and size share their copies as evenly as whole numbers allow.
+    out = copies_of(sized).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    share = lambda i: F.floor(i * F.col("copies") / F.col("n"))
+    out = out.withColumn("copies", (share(F.col("i")) - share(F.col("i") - 1)).cast("int"))
     return out.select(
         "key.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "rate", "copies"
     )

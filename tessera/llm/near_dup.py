@@ -36,6 +36,8 @@ RECALL = 0.998
 SHORT = 32
 #: Classes of a block of a bucket; bins in which their words are counted.
 BLOCK, BINS = 512, 256
+#: Tasks that share the classes of one component.
+SALTS = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -379,8 +381,11 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
     order = F.struct(F.col("id").isNull().alias("nameless"), "id", "k1", "k2")
     classes = found.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min(order).alias("first"))
     classes = classes.join(grouped, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = classes.groupBy("component").agg(F.min("first").alias("first"))
-    told = classes.drop("first").join(firsts, "component").select("node", "first", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # Rows of one component meet only as its salted parts: a large component's row goes to each of them.
+    classes = settle(classes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")))
+    parts = classes.groupBy("component", "salt").agg(F.min("first").alias("first"))
+    firsts = parts.groupBy("component").agg(F.min("first").alias("first"), F.collect_set("salt").alias("salts")).select("component", "first", F.explode("salts").alias("salt"))
+    told = classes.drop("first").join(firsts, ["component", "salt"]).select("node", "first", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     lone = F.col("first").isNull()
     return (
         found.select("k1", "k2", "id", "node")
