@@ -248,9 +248,9 @@ def _alike(one: Column, two: Column, least: float) -> Column:
 def links(docs_with_key: DataFrame, found: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(a, b) verified links between classes from the settled sketches, and (node, component).
 
-    First each class meets the least node of each of its buckets.  Then all pairs of a bucket
-    that still lie in different components meet, so that every pair that shares a bucket and is
-    similar enough ends in one component.
+    First each class meets the least node of each of its buckets.  Then the classes of a bucket
+    that still lie in different components meet in blocks, so that every pair that shares a bucket
+    and is similar enough ends in one component.
     """
     classes = found.where("signatures IS NOT NULL").groupBy("node")
     classes = settle(classes.agg(F.first("signatures").alias("signatures"), F.first("n_words").alias("n_words"), F.min(F.struct("k1", "k2")).alias("key")))
@@ -264,17 +264,8 @@ def links(docs_with_key: DataFrame, found: DataFrame, least: float) -> tuple[Dat
     tested = settle(members.where("node <> a").where(_alike(F.col("n_words"), F.col("hub_words"), least)).select("a", F.col("node").alias("b")).distinct())
     edges = settle(_verified(tested, codes, least).select("a", "b"))
     named = components(edges)
-    pairs = settle(_untested(members.select("bucket", "node", "n_words"), named, codes, tested, least))
-    # One pair for each two components first: what it links spares the others.
-    one = pairs.groupBy("component_a", "component_b").agg(F.min(F.struct(F.xxhash64("a", "b").alias("luck"), "a", "b")).alias("p")).select("p.a", "p.b")
-    one = settle(one)
-    if not one.limit(1).count():
-        return edges, named
-    new = settle(_verified(one, codes, least).select("a", "b"))
-    named = _merged(named, new)
-    rest = _apart(pairs.select("a", "b").join(one, ["a", "b"], "left_anti"), named).select("a", "b")
-    last = settle(_verified(settle(rest), codes, least).select("a", "b"))
-    return settle(edges.unionByName(new).unionByName(last)), _merged(named, last)
+    new = settle(_further(members.select("bucket", "node", "n_words", F.col("a").alias("hub")), named, classes, codes, least))
+    return settle(edges.unionByName(new)), _merged(named, new)
 
 
 def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
@@ -293,13 +284,13 @@ def _merged(named: DataFrame, new: DataFrame) -> DataFrame:
     return settle(named.unionByName(fresh).join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("merged", "component").alias("component")))
 
 
-def _untested(members: DataFrame, named: DataFrame, codes: DataFrame, tested: DataFrame, least: float) -> DataFrame:
-    """(a, b, component_a, component_b): every pair of a bucket that may yet join two components.
+def _further(members: DataFrame, named: DataFrame, classes: DataFrame, codes: DataFrame, least: float) -> DataFrame:
+    """(a, b): further links, enough to join all classes of a bucket that similar pairs connect.
 
     A bucket splits by length into overlapping pairs of neighbouring bands, as lengths further
-    apart rule a link out, and a part into blocks of about BLOCK classes that meet pairwise.
-    Pairs are left out if they were tested, lie in one component or have too few words in
-    common, counted by bins of the word's code, which never underrates.
+    apart rule a link out, and a part into blocks of about BLOCK classes that meet pairwise.  A pair
+    is aligned in its least common bucket only, unless it was tested with the hub, is joined already
+    or has too few words in common.  Links leave a task, never pairs: fewer than a block has classes.
     """
     band = F.floor(F.log(F.col("n_words").cast("double")) / F.log(F.lit(1 / least + 1e-4))).cast("int")
     joined = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("band", band)
@@ -308,8 +299,16 @@ def _untested(members: DataFrame, named: DataFrame, codes: DataFrame, tested: Da
     mixed = mixed.select("bucket", "part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     blocks = parts.join(mixed, ["bucket", "part"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select(F.xxhash64("bucket", "part", F.least("block", "other"), F.greatest("block", "other")).alias("at"), (F.col("block") < F.col("other")).alias("first"), (F.col("block") == F.col("other")).alias("own"), (F.col("band") > F.col("part")).alias("upper"), "node", "n_words", "component")
-    ready = blocks.join(codes.select("node", "bag"), "node").repartition("at").sortWithinPartitions("at")
+    blocks = blocks.select(
+        F.xxhash64("bucket", "part", F.least("block", "other"), F.greatest("block", "other")).alias("at"),
+        (F.col("block") < F.col("other")).alias("first"),
+        (F.col("block") == F.col("other")).alias("own"),
+        (F.col("band") > F.col("part")).alias("upper"),
+        *["bucket", "hub", "node", "n_words", "component"],
+    )
+    # A task holds the texts of one pair of blocks at a time, however large the bucket.
+    texts = codes.join(classes.select("node", "signatures"), "node")
+    ready = blocks.join(texts, "node").repartition("at").sortWithinPartitions("at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -318,31 +317,40 @@ def _untested(members: DataFrame, named: DataFrame, codes: DataFrame, tested: Da
             cuts = np.flatnonzero(np.diff(at)) + 1
             starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(at)]
             if held and len(at) and held[-1].column("at")[0].as_py() != at[0]:
-                yield from _candidates(held, least)
+                yield from _block_links(held, least)
                 held = []
             for start, end in zip(starts, ends, strict=True):
                 if start:
-                    yield from _candidates(held, least)
+                    yield from _block_links(held, least)
                     held = []
                 if end > start:
                     held.append(pa.Table.from_batches([batch.slice(start, end - start)]))
-        yield from _candidates(held, least)
+        yield from _block_links(held, least)
 
-    found = ready.mapInArrow(run, "a long, b long, component_a long, component_b long").dropDuplicates(["a", "b"])
-    return found.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return ready.mapInArrow(run, "a long, b long")
 
 
-def _candidates(held: list[pa.Table], least: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of two blocks, or of one with itself, that lengths, components and words allow."""
+def _block_links(held: list[pa.Table], least: float) -> Iterator[pa.RecordBatch]:
+    """The links between two blocks, or inside one, that join what is not yet joined."""
     if not held or sum(map(len, held)) < 2:
         return
     rows = pa.concat_tables(held)
-    node, size, component = (rows.column(n).to_numpy() for n in ("node", "n_words", "component"))
-    bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(len(node), BINS)
+    node, size, component, hub = (rows.column(n).to_numpy() for n in ("node", "n_words", "component", "hub"))
     first, own, upper = (rows.column(n).to_numpy() for n in ("first", "own", "upper"))
+    bucket = rows.column("bucket")[0].as_py()
+    codes = [np.frombuffer(c, "<u4") for c in rows.column("codes").to_pylist()]
+    signatures = [np.frombuffer(x, np.int64) for x in rows.column("signatures").to_pylist()]
+    bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(len(node), BINS)
     beyond = size - bags.sum(axis=1, dtype=np.int64)
-    left = np.flatnonzero(first | own)
-    right = np.flatnonzero(~first | own)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in parent:
+            x = parent[x]
+        return x
+
+    left, right = np.flatnonzero(first | own), np.flatnonzero(~first | own)
+    found = []
     for start in range(0, len(left), 64):
         some = left[start : start + 64]
         apart = component[some][:, None] != component[right][None, :]
@@ -354,14 +362,21 @@ def _candidates(held: list[pa.Table], least: float) -> Iterator[pa.RecordBatch]:
             apart &= node[some][:, None] < node[right][None, :]
         i, j = np.nonzero(apart)
         i, j = some[i], right[j]
-        shared = np.minimum(bags[i], bags[j]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[i], beyond[j])
+        fine = (node[i] != hub[0]) & (node[j] != hub[0])
+        i, j = i[fine], j[fine]
         longer = np.maximum(size[i], size[j])
+        shared = np.minimum(bags[i], bags[j]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[i], beyond[j])
         fine = longer - shared <= np.floor((1 - least) * longer + 1e-9)
-        i, j = i[fine], j[fine]
-        if len(i):
-            swap = node[i] > node[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[i], node[j], component[i], component[j])], names=["a", "b", "component_a", "component_b"])
+        for x, y in zip(i[fine].tolist(), j[fine].tolist(), strict=True):
+            one, two = root(int(component[x])), root(int(component[y]))
+            if one == two or np.intersect1d(signatures[x], signatures[y])[0] != bucket:
+                continue
+            if edit_similarity(codes[x], codes[y], least):
+                parent[max(one, two)] = min(one, two)
+                found.append((int(node[x]), int(node[y])))
+    if found:
+        a, b = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, picks: int = PICKS, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:

@@ -384,7 +384,8 @@ def test_near_duplicates_group_copies_only(spark):
     kept = near_dup.keep_one(odd(spark))
     assert kept.columns == odd(spark).columns
     texts = sorted(str(r.text)[:20] for r in kept.collect())
-    assert texts.count("Same Line of Text \no") == 1 and near_dup.keep_one(empty(spark)).count() == 0
+    # "same line of text own", "Same Line of Text other" (twice) and "same line of text" are 1 edit of 5 words apart: 0.8 links.
+    assert [t.lower().startswith("same line of text") for t in texts].count(True) == 1 and near_dup.keep_one(empty(spark)).count() == 0
 
 
 def test_near_duplicates_compare_every_pair_of_a_bucket(spark):
