@@ -15,13 +15,23 @@ def breakdown(df: DataFrame, column: str, vocabulary: list[str]) -> DataFrame:
 
 
 def contributions(provenance: DataFrame, group: str = "extractor_id") -> DataFrame:
-    """Distinct objects, evidence and the sorted processors of each extractor."""
-    count = lambda kind: F.count_distinct(F.when(F.col("object_type") == kind, F.col("object_id")))
-    return provenance.groupBy(group).agg(
+    """Distinct objects, evidence and the sorted processors of each extractor.
+
+    One pass: each row gives its object, evidence and processor as (kind, value); they are made
+    distinct first, which combines before the shuffle, then counted.
+    """
+    facts = F.array(
+        F.struct(F.col("object_type").alias("kind"), F.col("object_id").cast("string").alias("value")),
+        F.struct(F.lit("=evidence").alias("kind"), F.col("evidence_id").cast("string").alias("value")),
+        F.struct(F.lit("=processor").alias("kind"), F.col("processor_id").cast("string").alias("value")),
+    )
+    distinct = provenance.select(group, F.explode(facts).alias("f")).select(group, "f.kind", "f.value").where("value IS NOT NULL").distinct()
+    count = lambda kind: F.count_if(F.coalesce(F.col("kind") == kind, F.lit(False)))
+    return distinct.groupBy(group).agg(
         count("entity").alias("entities"),
         count("relationship").alias("relationships"),
-        F.count_distinct("evidence_id").alias("evidence"),
-        F.array_join(F.sort_array(F.collect_set("processor_id")), ",").alias("processors"),
+        count("=evidence").alias("evidence"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("kind") == "=processor", F.col("value")))), ",").alias("processors"),
     )
 
 

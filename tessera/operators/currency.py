@@ -12,18 +12,21 @@ def classify_support(support: DataFrame, pointers: DataFrame, versions: DataFram
     """(object keys.., document_id, version_id) with ``state`` and ``reason``.
 
     ``pointers`` has (document_id, is_present, current_version_id), ``versions`` (version_id,
-    content_hash).  The supporting version itself must exist; a missing one is a broken history,
-    reported as reason BROKEN_HISTORY with no state.
+    document_id, content_hash).  The supporting version and the document's state must exist; if
+    one is missing the history is broken: reason BROKEN_HISTORY and no state.  A document without
+    a pointer is unavailable, or removed if it is absent; a pointer that leads to no version, to
+    another document's or from an absent document is unresolvable.
     """
     cited = versions.select("version_id", F.col("content_hash").alias("cited_hash"))
-    newest = versions.select(F.col("version_id").alias("current_version_id"), F.col("content_hash").alias("current_hash"))
-    joined = support.join(cited, "version_id", "left").join(pointers, "document_id", "left").join(newest, "current_version_id", "left")
+    newest = versions.select(F.col("version_id").alias("current_version_id"), F.col("document_id").alias("target_document"), F.col("content_hash").alias("current_hash"))
+    known = pointers.withColumn("_known", F.lit(True))
+    joined = support.join(cited, "version_id", "left").join(known, "document_id", "left").join(newest, "current_version_id", "left")
+    present = F.coalesce("is_present", F.lit(False))
     reason = (
-        F.when(F.col("cited_hash").isNull(), "BROKEN_HISTORY")
-        .when(~F.coalesce("is_present", F.lit(False)), "DOCUMENT_REMOVED")
-        .when(F.col("current_version_id").isNull(), "CURRENT_VERSION_UNAVAILABLE")
+        F.when(F.col("cited_hash").isNull() | F.col("_known").isNull(), "BROKEN_HISTORY")
+        .when(F.col("current_version_id").isNull(), F.when(present, "CURRENT_VERSION_UNAVAILABLE").otherwise("DOCUMENT_REMOVED"))
+        .when(F.col("target_document").isNull() | (F.col("target_document") != F.col("document_id")) | ~present, "CURRENT_VERSION_UNRESOLVABLE")
         .when(F.col("current_version_id") == F.col("version_id"), F.lit(None))
-        .when(F.col("current_hash").isNull(), "CURRENT_VERSION_UNRESOLVABLE")
         .when(F.col("current_hash") != F.col("cited_hash"), "CONTENT_CHANGED")
         .otherwise("PROCESSING_CHANGED")
     )

@@ -46,18 +46,21 @@ def change_events(changes: DataFrame, keys: list[str], correlation: str) -> Data
 
 
 def preferred_definition(documents: DataFrame, definitions: DataFrame, name_col: str = "filename") -> DataFrame:
-    """``documents`` with the only definition whose exact name or suffix matches, else nulls.
+    """``documents`` with the only definition whose exact name or suffix matches, else nulls; and ``matches``.
 
-    ``definitions`` is the registry of processors: a dozen rows, so it is broadcast.
+    ``definitions`` is the registry of processors, a dozen rows: it becomes one literal array, so
+    every document is decided in its row and repeated documents stay apart.
     """
     name = F.lower(F.col(name_col))
-    hit = F.when(F.col("match_kind") == "exact", name == F.col("match")).otherwise(F.endswith(name, F.col("match")))
-    rows = documents.withColumn("_row", F.struct(*documents.columns))
-    found = rows.join(F.broadcast(definitions.limit(1000)), hit, "left").groupBy("_row").agg(
-        F.count("processor_id").alias("matches"), F.min("processor_id").alias("processor_id"), F.min("extraction_rule_id").alias("extraction_rule_id")
-    )
-    only = lambda c: F.when(F.col("matches") == 1, F.col(c)).alias(c)
-    return found.select("_row.*", only("processor_id"), only("extraction_rule_id"), "matches")
+    kind = "array<struct<match_kind:string,match:string,processor_id:string,extraction_rule_id:string>>"
+    fields = ("match_kind", "match", "processor_id", "extraction_rule_id")
+    known = [F.struct(*[F.lit(r[f]).alias(f) for f in fields]) for r in definitions.select(*fields).collect()]
+    registry = F.array(*known).cast(kind)
+    hits = F.filter(registry, lambda d: F.when(d["match_kind"] == "exact", name == d["match"]).otherwise(F.endswith(name, d["match"])))
+    found = documents.withColumn("_hits", hits)
+    only = lambda c: F.when(F.size("_hits") == 1, F.get("_hits", F.lit(0))[c]).alias(c)
+    matches = F.when(F.col(name_col).isNull(), 0).otherwise(F.size("_hits")).cast("long")
+    return found.select(*documents.columns, only("processor_id"), only("extraction_rule_id"), matches.alias("matches"))
 
 
 def advance_authority(results: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -110,11 +113,12 @@ def owning_repository(documents: DataFrame, repositories: DataFrame) -> DataFram
     """``documents`` (path) with the deepest repository that contains each: an equi-join on ancestors."""
     from ..functions import ancestors
 
-    exploded = documents.withColumn("_a", F.explode_outer(ancestors(F.col("path"))))
+    paths = documents.select("path").distinct()
+    exploded = paths.withColumn("_a", F.explode(ancestors(F.col("path"))))
     repos = repositories.select(F.col("path").alias("_a"), F.col("path").alias("repository"))
-    names = documents.columns
-    found = exploded.join(repos, "_a", "left").groupBy(*names).agg(F.max_by("repository", F.length("repository")).alias("repository"))
-    return found
+    owners = exploded.join(repos, "_a").groupBy("path").agg(F.max_by("repository", F.length("repository")).alias("repository"))
+    # Rows of one path, repeated ones too, stay rows of their own.
+    return documents.join(owners, "path", "left").select(*documents.columns, "repository")
 
 
 def scope_by_rules(assets: DataFrame, rules: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ DEFINITIONS = [
     ("exact", "dockerfile", "dockerfile", "dockerfile-base-images"),
     ("suffix", ".dockerfile", "dockerfile", "dockerfile-base-images"),
 ]
-#: Bounds on the evidence of one document.
+#: Bounds on the evidence of one routes, configuration or Scala document; beyond them it is rejected as a whole.
 MAX_FACTS, MAX_BYTES = 2000, 500_000
 
 
@@ -85,7 +85,14 @@ def dockerfile(docs: DataFrame) -> DataFrame:
 
 def route_set(path: Column) -> Column:
     name = F.lower(filename(path))
-    return F.when(name.contains("test"), "test-only").when(name == "app.routes", "application").when(name == "prod.routes", "production").otherwise("other")
+    # Fixed values.
+    return (
+        F.when(name == "app.routes", "app")
+        .when(name == "prod.routes", "production-mounts")
+        .when(name.contains("testonly") | name.contains("test-only"), "test-only")
+        .when(name == "definition.routes", "definition")
+        .otherwise("other")
+    )
 
 
 def play_routes(docs: DataFrame) -> DataFrame:
@@ -112,11 +119,18 @@ def play_routes(docs: DataFrame) -> DataFrame:
         F.col("bare"),
         _locator(**here, detail=F.create_map(F.lit("route_set"), F.col("set"), F.lit("method"), F.col("method"), F.lit("path"), F.col("declared"), F.lit("handler"), F.col("handler"))),
     )
-    return mounts.unionByName(routes)
+    found = mounts.unionByName(routes)
+    size = found.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("excerpt")).alias("bytes"))
+    much = size.where((F.col("n") > MAX_FACTS) | (F.col("bytes") > MAX_BYTES)).select("document_id")
+    rejected = _evidence(much, F.lit("rejected"), "rejected", F.lit("too much evidence"), _locator())
+    return found.join(much, "document_id", "left_anti").unionByName(rejected)
+
 
+def per_document(docs: DataFrame, read: Callable[[str, str], Iterator[tuple]], bounded: bool = False) -> DataFrame:
+    """Evidence from a generator of (key, kind, text, locator dict) for each document's path and text.
 
-def per_document(docs: DataFrame, read: Callable[[str, str], Iterator[tuple]]) -> DataFrame:
-    """Evidence from a generator of (key, kind, text, locator dict) for each document's path and text."""
+    A ``bounded`` format rejects documents with more than MAX_FACTS facts or MAX_BYTES bytes of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -129,7 +143,7 @@ def per_document(docs: DataFrame, read: Callable[[str, str], Iterator[tuple]]) -
                     found = list(read(path or "", text or ""))
                 except ValueError as error:
                     found = [("rejected", "rejected", str(error), {})]
-                if len(found) > MAX_FACTS or sum(len(t.encode("utf-8", "replace")) for _, _, t, _ in found) > MAX_BYTES:
+                if bounded and (len(found) > MAX_FACTS or sum(len(t.encode("utf-8", "replace")) for _, _, t, _ in found) > MAX_BYTES):
                     found = [("rejected", "rejected", "too much evidence", {})]
                 for key, kind, body, where in found:
                     bare = body.strip()
@@ -234,8 +248,10 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
-#: Pointers whose scalar type is evidence too.
-_TYPED = re.compile(r"^/(?:name|openapi|version|info/(?:title|version)|(?:dev|optional|peer)?[dD]ependencies/.+|paths/.+/operationId|main|types|bin.*|exports.*)$")
+#: Pointers whose scalar type is evidence too (fixed values).
+_METHODS = "get|put|post|delete|options|head|patch|trace"
+_NEEDS = "dependencies|devDependencies|optionalDependencies|peerDependencies"
+_TYPED = re.compile(rf"^/(?:name|openapi|info/(?:title|version)|paths/[^/]+/(?:{_METHODS})/operationId|(?:{_NEEDS})/[^/]+|main|module|types|typings|files/\d+|exports(?:/.*)?)$")
 
 
 def read_json(path: str, text: str) -> Iterator[tuple]:
@@ -268,68 +284,105 @@ def read_yaml(path: str, text: str) -> Iterator[tuple]:
                 yield from walk(item, f"{at}/{i}")
         elif node is not None:
             last = node.end_mark.line + (node.end_mark.column > 0 or node.end_mark.line == node.start_mark.line)
-            yield f"yaml:{at}", "structured-value", node.value, {"pointer": at, "line_start": node.start_mark.line + 1, "line_end": last}
+            where = {"pointer": at, "line_start": node.start_mark.line + 1, "line_end": last}
+            yield f"yaml:{at}", "structured-value", node.value, where
+            if _TYPED.match(at):
+                kind = {"null": "null", "bool": "boolean", "int": "number", "float": "number"}.get(node.tag.rsplit(":", 1)[-1], "string")
+                yield f"yaml-type:{at}", "structured-value", kind, where
 
     yield from walk(root, "")
 
 
-_HOCON_KEY = r'("(?:[^"\\]|\\.)*"|[^\s{}=:]+)'
-_OBJECT, _ASSIGN = re.compile(rf"^{_HOCON_KEY}\s*=?\s*\{{$"), re.compile(rf"^{_HOCON_KEY}\s*[=:]\s*(.*)$")
+#: Tokens of HOCON: long and short strings, substitutions, comments, line ends, signs, bare text.
+_HOCON_TOKEN = re.compile(
+    r'''(?P<long>"""[\s\S]*?"""+)|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|\$\{[^}\n]*\}|[^\s"'$\#/{}=:]+)'''
+    r"""|(?P<comment>(?:\#|//)[^\n]*)|(?P<end>\r?\n|\r)|(?P<open>\{)|(?P<close>\})|(?P<is>[=:])|(?P<other>.)""",
+)
+#: Words of keys whose values are never shown (fixed values).
 _SENSITIVE = re.compile(r"(?i)(?:password|secret|token|credential|api[-_.]?key|private[-_.]?key|authorization)|(?:^|\.)uri(?:$|\.)")
 _SUBSTITUTION = re.compile(r"\$\{(\??[^}]+)\}")
+_USER_IN_URL = re.compile(r"://[^/\s@]+:[^/\s@]+@")
+#: Kinds of a value; the first rule that holds for (key, value) decides.
+_VALUE_KINDS = (
+    ("redacted", lambda k, v: _SENSITIVE.search(k) or _USER_IN_URL.search(v)),
+    ("unsupported", lambda k, v: not v or len(v) > 2000 or v[0] in "{[" or v.startswith('"""')),
+    ("substitution", lambda k, v: "${" in v and not _SUBSTITUTION.sub("", v).strip()),
+    ("unsupported", lambda k, v: _SUBSTITUTION.search(v)),
+    ("string", lambda k, v: re.fullmatch(r'"(?:[^"\\]|\\.)*"|\'[^\']*\'', v)),
+    ("unsupported", lambda k, v: v[0] in "'\"" or len(v.split()) > 1),
+    ("boolean", lambda k, v: v in ("true", "false")),
+    ("number", lambda k, v: re.fullmatch(r"-?\d+(?:\.\d+)?", v)),
+    ("unquoted", lambda k, v: True),
+)
+
 
+def value_kind(key: str, value: str) -> str:
+    return next(kind for kind, holds in _VALUE_KINDS if holds(key, value))
 
-def _uncommented(line: str) -> str:
-    """The line up to a comment mark outside quotes (``//`` after a colon belongs to a URL)."""
-    quoted = False
-    for i, char in enumerate(line):
-        if char == '"' and (i == 0 or line[i - 1] != "\\"):
-            quoted = not quoted
-        elif not quoted and (char == "#" or (line.startswith("//", i) and (i == 0 or line[i - 1] != ":"))):
-            return line[:i]
-    return line
 
+def _key_path(said: str) -> list[str] | None:
+    """The parts of a key, quoted parts whole; None if it is no single key."""
+    said = said.strip()
+    if re.fullmatch(r'"(?:[^"\\]|\\.)*"', said):
+        return [said[1:-1]]
+    return [part for part in said.split(".") if part] if said and not re.search(r"\s", said) else None
 
-def _bare(value: str) -> str:
-    return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
 
+class _Scan:
+    """The state of one pass over the tokens: open objects, the key being read and its value, if it has begun."""
 
-def value_kind(key: str, value: str) -> str:
-    if _SENSITIVE.search(key) or re.search(r"://[^/\s@]+:[^/\s@]+@", value):
-        return "redacted"
-    found = _SUBSTITUTION.findall(value)
-    quoted = value[:1] in ("'", '"')
-    if not value or len(value) > 2000 or value[0] in "{[" or value.startswith('"""'):
-        return "unsupported"
-    if found:
-        return "unsupported" if _SUBSTITUTION.sub("", value).strip() else "substitution"
-    if quoted:
-        return "string" if re.fullmatch(r'"(?:[^"\\]|\\.)*"|\'[^\']*\'', value) else "unsupported"
-    if len(value.split()) > 1:
-        return "unsupported"
-    return "boolean" if value in ("true", "false") else "number" if re.fullmatch(r"-?\d+(?:\.\d+)?", value) else "unquoted"
+    def __init__(self) -> None:
+        self.objects: list[list[str]] = []
+        self.key, self.value, self.line = "", None, 1
+
+    def add(self, token: str) -> None:
+        if self.value is None:
+            self.key += token
+        else:
+            self.value += token
+
+    def finish(self) -> tuple[int, str, str] | None:
+        """End an entry: open an object, or return (line, dotted key, raw value) of an assignment."""
+        key, value = self.key, self.value
+        self.key, self.value = "", None
+        opens = key.rstrip().endswith("{") if value is None else value.strip() == "{"
+        parts = _key_path(key.rstrip()[:-1] if opens and value is None else key)
+        if opens:
+            self.objects.append(parts or [])
+        elif value is not None and parts:
+            return self.line, ".".join(part for path in [*self.objects, parts] for part in path), value.strip()
+        return None
+
+
+def _assignments(text: str) -> Iterator[tuple[int, str, str]]:
+    scan = _Scan()
+    for found in _HOCON_TOKEN.finditer(text + "\n"):
+        kind, token = found.lastgroup, found[0]
+        if kind == "end":
+            made = scan.finish()
+            if made:
+                yield made
+            scan.line += 1
+        elif kind == "is" and scan.value is None and scan.key.strip():
+            scan.value = ""
+        elif kind == "close" and scan.value is None and not scan.key.strip():
+            del scan.objects[-1:]
+        elif kind != "comment":
+            scan.add(token)
+            scan.line += token.count("\n")
 
 
 def read_hocon(path: str, text: str) -> Iterator[tuple]:
     """Assignments with their dotted key; secrets are redacted, values that need merging unsupported."""
-    scopes: list[str] = []
-    for number, line in enumerate(_split(text), 1):
-        bare = _uncommented(line).strip()
-        closing = re.match(r"^}+", bare)
-        if closing:
-            del scopes[max(0, len(scopes) - len(closing[0])) :]
-            continue
-        opened, assigned = _OBJECT.match(bare), _ASSIGN.match(bare)
-        if opened:
-            scopes.append(_bare(opened[1]))
-        elif assigned and _bare(assigned[1]):
-            key, value = ".".join([s for s in [*scopes, *_bare(assigned[1]).split(".")] if s]), assigned[2].strip()
-            kind = value_kind(key, value)
-            shown = {"redacted": "<redacted>", "unsupported": "<unsupported>"}.get(kind, value)
-            detail = {"key": key} | ({"substitutions": ",".join(_SUBSTITUTION.findall(value))} if kind == "substitution" else {})
-            if kind in ("string", "boolean", "number", "unquoted"):
-                detail["literal"] = _bare(value)
-            yield f"hocon:{path}:{key}:{number}", "structured-value", f"{key} = {shown}", {"line_start": number, "line_end": number, "value_kind": kind, "detail": detail}
+    for number, key, value in _assignments(text):
+        kind = value_kind(key, value)
+        shown = {"redacted": "<redacted>", "unsupported": "<unsupported>"}.get(kind, value)
+        detail = {"key": key}
+        if kind == "substitution":
+            detail["substitutions"] = ",".join(_SUBSTITUTION.findall(value))
+        elif kind not in ("redacted", "unsupported"):
+            detail["literal"] = value[1:-1] if kind == "string" else value
+        yield f"hocon:{path}:{key}:{number}", "structured-value", f"{key} = {shown}", {"line_start": number, "line_end": number, "value_kind": kind, "detail": detail}
 
 
 _TS_MODULE = re.compile(r"^\s*(import|export)\b[^;]*?\bfrom\s*['\"]([^'\"]+)['\"]|^\s*import\s*['\"]([^'\"]+)['\"]", re.MULTILINE)
@@ -407,9 +460,9 @@ PROCESSORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "yaml": lambda docs: per_document(docs, read_yaml),
     "dockerfile": dockerfile,
     "play-routes": play_routes,
-    "hocon": lambda docs: per_document(docs, read_hocon),
+    "hocon": lambda docs: per_document(docs, read_hocon, bounded=True),
     "typescript": lambda docs: per_document(docs, read_typescript),
-    "scala-source": lambda docs: per_document(docs, read_scala),
+    "scala-source": lambda docs: per_document(docs, read_scala, bounded=True),
 }
 
 

@@ -100,3 +100,10 @@ def write_package(entities: DataFrame, relationships: DataFrame, path: str) -> N
 def compact(publications: DataFrame) -> DataFrame:
     """Publications with the lengths of their member lists in place of the lists."""
     return publications.select("publication_id", "version", F.size("entity_version_ids").cast("long").alias("entity_count"), F.size("relationship_version_ids").cast("long").alias("relationship_count"))
+
+
+def compact_members(entities: DataFrame, relationships: DataFrame, version: Column) -> DataFrame:
+    """The same from member rows: distinct entities and all relationships of each publication are counted, never listed."""
+    counted = entities.distinct().groupBy("publication_id").agg(F.count("*").alias("entity_count"))
+    edges = relationships.groupBy("publication_id").agg(F.count("*").alias("relationship_count"))
+    return edges.join(counted, "publication_id", "left").select("publication_id", version.alias("version"), F.coalesce("entity_count", F.lit(0)).cast("long").alias("entity_count"), "relationship_count")

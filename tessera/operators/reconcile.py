@@ -89,14 +89,16 @@ def publish_members(objects: DataFrame, key: str) -> DataFrame:
     return objects.where(~F.col("status").isin(*RETIRED)).select(key, "version_number")
 
 
-def publication_hash(members: DataFrame, publication: str, key: str, content: Column) -> DataFrame:
-    """A content hash for each publication: of its members' hashes in key order.
+def publication_hash(members: DataFrame, publication: str, key: str, content: Column, digits: int = 3) -> DataFrame:
+    """A content hash for each publication, in two levels so that no row holds all members.
 
-    Members' hashes are 64 bytes each, gathered in one row for each publication.
+    Members fall into ranges by the first hex ``digits`` of their key's SHA-256.  A range's hash is
+    that of its members' hashes in key order, a publication's that of its ranges' hashes in order.
     """
-    item = F.struct(F.col(key), F.sha2(content, 256).alias("h"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["h"]), "")
-    return members.groupBy(publication).agg(F.count("*").alias("members"), F.sha2(ordered, 256).alias("content_hash"))
+    rows = members.select(publication, F.col(key).alias("k"), F.left(F.sha2(F.col(key).cast("string"), 256), F.lit(digits)).alias("range"), F.sha2(content, 256).alias("h"))
+    joined = lambda at, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value]), ""), 256)
+    ranges = rows.groupBy(publication, "range").agg(F.count("*").alias("n"), joined("k", "h").alias("r"))
+    return ranges.groupBy(publication).agg(F.sum("n").alias("members"), joined("range", "r").alias("content_hash"))
 
 
 def withdraw(contributions: DataFrame, documents: DataFrame) -> DataFrame:

@@ -26,6 +26,30 @@ def project_entities(entities: DataFrame, relationships: DataFrame) -> DataFrame
     )
 
 
+def project_relationships(relationships: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relationships of each publication with the names and types of both ends, names also normalised."""
+    out = relationships
+    for end in ("source", "target"):
+        side = entities.select("publication_id", F.col("entity_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"), F.col("type").alias(f"{end}_type"), F.lower("name").alias(f"{end}_normalized"))
+        out = out.join(side, ["publication_id", f"{end}_id"])
+    return out
+
+
+def search_relationships(
+    projection: DataFrame, query: str | None = None, how: str = "contains", types: list[str] | None = None, source_id: str | None = None, target_id: str | None = None,
+    statuses: list[str] | None = None, after: str | None = None, limit: int = 50,
+) -> DataFrame:
+    """A page of projected relationships by type, status, ends and a text that either end's name matches."""
+    from .publication import page
+
+    wanted = [F.col("type").isin(*types)] if types else []
+    wanted += [F.col("status").isin(*statuses)] if statuses else []
+    wanted += [F.col(f"{end}_id") == F.lit(given) for end, given in (("source", source_id), ("target", target_id)) if given is not None]
+    if query is not None:
+        wanted.append(match(F.col("source_normalized"), query, how) | match(F.col("target_normalized"), query, how))
+    return page(projection, "relationship_id", after, limit, wanted)
+
+
 def search_terms(documents: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
     return documents.select(*keys, F.explode(terms(F.col(text))).alias("term"))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import analytics, currency, diff, extractors, inventory, processors, publication, reconcile, search
-from ..streaming import assemblies, dedupe, newest, pending, split_invalid, supersede
-from .roles import TYPES, entities, published_entities, published_relationships, relationships, sql, table
+from ..streaming import assemblies, dedupe, newest, pending, split_invalid, supersede, with_subject
+from .roles import TYPES, ends_of, entities, latest_relationships, published_entities, published_relationships, relationships, sql, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -294,7 +294,7 @@ def version_append(spark, sf):
     return reconcile.append_versions(current, reconcile_upsert(spark, sf), "key")
 
 
-@query(sql("SELECT publication_id, count(*) AS members, sha256(string_agg(sha256(CAST(n_lines AS VARCHAR)), '' ORDER BY relationship_id)) AS content_hash FROM prel GROUP BY 1", "prel"))
+@query(sql("SELECT publication_id, CAST(sum(n) AS BIGINT) AS members, sha256(string_agg(r, '' ORDER BY part)) AS content_hash FROM (SELECT publication_id, left(sha256(relationship_id), 3) AS part, count(*) AS n, sha256(string_agg(sha256(CAST(n_lines AS VARCHAR)), '' ORDER BY relationship_id)) AS r FROM prel GROUP BY 1, 2) GROUP BY 1", "prel"))
 def publication_hash(spark, sf):
     return reconcile.publication_hash(published_relationships(spark, sf), "publication_id", "relationship_id", F.col("n_lines").cast("string"))
 
@@ -361,8 +361,8 @@ def export_package(spark, sf):
 
 @query(sql("SELECT publication_id, CAST(publication_id AS VARCHAR) AS version, count(DISTINCT source_id) + 0 AS entity_count, count(*) AS relationship_count FROM prel GROUP BY 1", "prel"))
 def compact_publications(spark, sf):
-    lists = published_relationships(spark, sf).groupBy("publication_id").agg(F.collect_set("source_id").alias("entity_version_ids"), F.collect_list("relationship_id").alias("relationship_version_ids"))
-    return publication.compact(lists.withColumn("version", F.col("publication_id").cast("string")))
+    rows = published_relationships(spark, sf)
+    return publication.compact_members(rows.select("publication_id", "source_id"), rows, F.col("publication_id").cast("string"))
 
 
 _PAIR = "a AS (SELECT * FROM prel WHERE publication_id = 1997), b AS (SELECT * FROM prel WHERE publication_id = 1998), d AS (SELECT coalesce(a.relationship_id, b.relationship_id) AS relationship_id, CASE WHEN a.relationship_id IS NULL THEN 'added' WHEN b.relationship_id IS NULL THEN 'removed' WHEN a.n_lines = b.n_lines AND a.flag = b.flag THEN 'unchanged' ELSE 'modified' END AS change, a.n_lines AS an, b.n_lines AS bn, a.flag AS af, b.flag AS bf FROM a FULL OUTER JOIN b ON a.relationship_id = b.relationship_id)"
@@ -390,15 +390,15 @@ def _support(spark, sf):
     """Orders support customers; a document is a customer, its versions are the orders."""
     orders = table(spark, sf, "orders")
     support = orders.select(F.lit("order").alias("object_type"), F.col("o_orderkey").alias("object_id"), F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("version_id"))
-    versions = orders.where("o_orderkey % 50 <> 1").select(F.col("o_orderkey").alias("version_id"), F.col("o_orderpriority").alias("content_hash"))
+    versions = orders.where("o_orderkey % 50 <> 1").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("content_hash"))
     latest = orders.groupBy(F.col("o_custkey").alias("document_id")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("newest"))
     pointers = latest.select("document_id", (F.col("document_id") % 11 != 0).alias("is_present"), F.when(F.col("document_id") % 7 != 0, F.col("newest")).alias("current_version_id"))
     return support, pointers, versions
 
 
 _SUPPORT = """ptr AS (SELECT o_custkey AS document_id, o_custkey % 11 <> 0 AS is_present, CASE WHEN o_custkey % 7 <> 0 THEN arg_max(o_orderkey, (o_orderdate, o_orderkey)) END AS cur FROM orders GROUP BY 1),
- v AS (SELECT o_orderkey AS version_id, o_orderpriority AS h FROM orders WHERE o_orderkey % 50 <> 1),
- r AS (SELECT o.o_orderkey AS object_id, o.o_custkey AS document_id, CASE WHEN v.h IS NULL THEN 'BROKEN_HISTORY' WHEN NOT is_present THEN 'DOCUMENT_REMOVED' WHEN cur IS NULL THEN 'CURRENT_VERSION_UNAVAILABLE' WHEN cur = o.o_orderkey THEN NULL WHEN n.h IS NULL THEN 'CURRENT_VERSION_UNRESOLVABLE' WHEN n.h <> v.h THEN 'CONTENT_CHANGED' ELSE 'PROCESSING_CHANGED' END AS reason
+ v AS (SELECT o_orderkey AS version_id, o_custkey AS d, o_orderpriority AS h FROM orders WHERE o_orderkey % 50 <> 1),
+ r AS (SELECT o.o_orderkey AS object_id, o.o_custkey AS document_id, CASE WHEN v.h IS NULL THEN 'BROKEN_HISTORY' WHEN cur IS NULL AND is_present THEN 'CURRENT_VERSION_UNAVAILABLE' WHEN cur IS NULL THEN 'DOCUMENT_REMOVED' WHEN n.h IS NULL OR n.d <> o.o_custkey OR NOT is_present THEN 'CURRENT_VERSION_UNRESOLVABLE' WHEN cur = o.o_orderkey THEN NULL WHEN n.h <> v.h THEN 'CONTENT_CHANGED' ELSE 'PROCESSING_CHANGED' END AS reason
    FROM orders o JOIN ptr ON o.o_custkey = ptr.document_id LEFT JOIN v ON v.version_id = o.o_orderkey LEFT JOIN v n ON n.version_id = ptr.cur),
  st AS (SELECT 'order' AS object_type, object_id, document_id, object_id AS version_id, CASE WHEN reason IS NULL THEN 'CURRENT' WHEN reason IN ('CONTENT_CHANGED', 'PROCESSING_CHANGED') THEN 'STALE' WHEN reason = 'BROKEN_HISTORY' THEN NULL ELSE 'UNKNOWN' END AS state, reason FROM r)"""
 
@@ -454,8 +454,9 @@ def projection_stats(spark, sf):
 
 
 def _latest(spark, sf):
-    rows = _projection(spark, sf)
-    return rows.join(published_relationships(spark, sf).agg(F.max("publication_id").alias("publication_id")), "publication_id", "left_semi")
+    """The projection of the latest publication alone: its members are chosen before anything is joined."""
+    edges = latest_relationships(spark, sf)
+    return search.project_entities(ends_of(edges, entities(spark, sf)), edges)
 
 
 @query(_with(f"SELECT * FROM proj WHERE {_LATEST} AND contains(name_normalized, '1') ORDER BY entity_id LIMIT 51", _PROJECTED, "pent"))
@@ -487,6 +488,37 @@ def search_text_semi(spark, sf):
     return search.search_text(table(spark, sf, "documents").select("doc_id", "source"), search_terms(spark, sf), ["doc_id"], "the", "prefix")
 
 
+_RELATED = "SELECT r.publication_id, r.relationship_id, r.type, r.source_id, r.target_id, s.name AS source_name, t.name AS target_name, s.type AS source_type, t.type AS target_type FROM prel r JOIN pent s ON r.publication_id = s.publication_id AND r.source_id = s.entity_id JOIN pent t ON r.publication_id = t.publication_id AND r.target_id = t.entity_id"
+_SHOWN = ("publication_id", "relationship_id", "type", "source_id", "target_id", "source_name", "target_name", "source_type", "target_type")
+
+
+@query(sql(_RELATED, "pent"))
+def relationship_projection(spark, sf):
+    """Relationships of every publication with the names and types of their ends."""
+    return search.project_relationships(published_relationships(spark, sf), published_entities(spark, sf)).select(*_SHOWN)
+
+
+@query(sql(f"SELECT * FROM ({_RELATED}) WHERE {_LATEST} AND type = 'DEPENDS_ON' AND (contains(lower(source_name), '7') OR contains(lower(target_name), '7')) AND relationship_id > 'DEPENDS_ON:supplier:2' ORDER BY relationship_id LIMIT 26", "pent"))
+def search_relationships(spark, sf):
+    """A page of the latest publication's relationships by type and a text in either end's name."""
+    edges = latest_relationships(spark, sf)
+    projected = search.project_relationships(edges, ends_of(edges, entities(spark, sf)))
+    return search.search_relationships(projected, "7", types=["DEPENDS_ON"], after="DEPENDS_ON:supplier:2", limit=25).select(*_SHOWN)
+
+
+@query(sql(f"SELECT * FROM ({_RELATED}) WHERE {_LATEST} AND target_id = 'part:3' ORDER BY relationship_id LIMIT 51", "pent"))
+def search_relationships_of_target(spark, sf):
+    edges = latest_relationships(spark, sf).where("target_id = 'part:3'")
+    return search.search_relationships(search.project_relationships(edges, ends_of(edges, entities(spark, sf))), target_id="part:3").select(*_SHOWN)
+
+
+@query(r"SELECT event_id, subject FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'workspace.discovery.document.modified' WHEN 1 THEN 'workspace.knowledge.entity.discovered' WHEN 2 THEN 'workspace.discovery.source.inventory.chunk.v1' WHEN 3 THEN 'workspace.processing.document.extracted' WHEN 4 THEN 'workspace.knowledge.model.published' ELSE 'workspace.search.projection.built' END AS subject FROM events)")
+def event_subjects(spark, sf):
+    kinds = ["DocumentModified", "KnowledgeEntityDiscovered", "SourceInventoryChunk", "DocumentExtracted", "KnowledgeModelPublished", "SearchProjectionBuilt"]
+    kind = F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("event_id") % 6).cast("int"))
+    return with_subject(table(spark, sf, "events").select("event_id", kind.alias("event_type"))).select("event_id", "subject")
+
+
 _SCORED = "SELECT entity_id, type, name, CAST(CASE WHEN lower(name) = 'nation_1' THEN 0 WHEN starts_with(lower(name), 'nation_1') OR ends_with(lower(name), '/nation_1') THEN 1 WHEN contains(lower(name), 'nation_1') THEN 2 END AS INTEGER) AS score FROM entities"
 
 

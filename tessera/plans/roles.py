@@ -55,10 +55,24 @@ def published_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edge(lines, "DEPENDS_ON", "supplier", "l_suppkey", "part", "l_partkey", "publication_id", "n_lines", "flag")
 
 
+def latest_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relationships of the last shipping year; other years are left out before they are grouped."""
+    lines = table(spark, sf_dir, "lineitem")
+    newest = lines.agg(F.max(F.year("l_shipdate")).alias("y"))
+    rows = lines.join(F.broadcast(newest), F.year("l_shipdate") == F.col("y"), "left_semi")
+    grouped = rows.groupBy(F.year("l_shipdate").cast("long").alias("publication_id"), "l_suppkey", "l_partkey").agg(F.count("*").alias("n_lines"), F.max("l_returnflag").alias("flag"))
+    return _edge(grouped, "DEPENDS_ON", "supplier", "l_suppkey", "part", "l_partkey", "publication_id", "n_lines", "flag")
+
+
+def ends_of(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(entity_id, publication_id, type, name) of the ends of published relationships."""
+    ends = edges.select("publication_id", F.explode(F.array("source_id", "target_id")).alias("entity_id")).distinct()
+    return ends.join(known, "entity_id")
+
+
 def published_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ends of a year's relationships, with name and type."""
-    ends = published_relationships(spark, sf_dir).select("publication_id", F.explode(F.array("source_id", "target_id")).alias("entity_id")).distinct()
-    return ends.join(entities(spark, sf_dir), "entity_id")
+    return ends_of(published_relationships(spark, sf_dir), entities(spark, sf_dir))
 
 
 #: The same relations as DuckDB common table expressions.

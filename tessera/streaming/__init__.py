@@ -1,4 +1,5 @@
-"""Event streams: every operator works on a batch and on a stream of the same events.
+"""Event streams.  ``dedupe``, ``with_subject``, ``dispatch``, ``split_invalid`` and ``newest`` work on batches and streams;
+``assemblies``, ``expire``, ``supersede`` and ``pending`` on batches, ``publish`` and ``committed_scans`` on streams.
 
 Events are rows of (event_id, event_type, occurred_at, idempotency_key, payload).  Delivery is
 at least once, so results depend on sets and maxima, never on arrival order.
@@ -12,16 +13,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed table: the subject that each event type is published under.
+#: Subjects that no rule gives.
 SUBJECTS = {
-    "DocumentDiscovered": "catalogue.discovery.document.discovered",
-    "DocumentModified": "catalogue.discovery.document.modified",
-    "DocumentRemoved": "catalogue.discovery.document.removed",
-    "SourceScanCompleted": "catalogue.discovery.scan.completed",
-    "KnowledgeModelPublished": "catalogue.knowledge.published",
-    "SearchProjectionRequested": "catalogue.search.requested",
-    "SearchProjectionBuilt": "catalogue.search.built",
+    "SourceInventoryStarted": "workspace.discovery.source.inventory.started.v1",
+    "SourceInventoryChunk": "workspace.discovery.source.inventory.chunk.v1",
+    "SourceInventoryCompleted": "workspace.discovery.source.inventory.completed.v1",
+    "SearchProjectionRequested": "workspace.search.projection.requested",
+    "SearchProjectionBuilt": "workspace.search.projection.built",
+    "DocumentProcessingSubmitted": "workspace.processing.document.submitted",
+    "DocumentExtracted": "workspace.processing.document.extracted",
 }
+#: Types that are published under ``workspace.knowledge``.
+KNOWLEDGE = (
+    "KnowledgeCandidatesSubmitted", "KnowledgeEntityDiscovered", "KnowledgeEntitySuperseded",
+    "KnowledgeRelationshipDiscovered", "KnowledgeRelationshipSuperseded", "KnowledgeModelPublished",
+)
 ERROR_CHARS = 512
 
 
@@ -33,8 +39,13 @@ def dedupe(events: DataFrame, key: str, time: str, delay: str = "1 day") -> Data
 
 
 def with_subject(events: DataFrame, kind: str = "event_type") -> DataFrame:
+    """``events`` with ``subject``: a fixed one, else the type's words in lower case, joined by dots."""
     table = F.create_map(*[F.lit(x) for pair in SUBJECTS.items() for x in pair])
-    return events.withColumn("subject", table[F.col(kind)])
+    known = F.col(kind).isin(*KNOWLEDGE)
+    words = F.when(known, F.regexp_replace(kind, "^Knowledge", "")).otherwise(F.col(kind))
+    dotted = F.regexp_replace(F.lower(F.regexp_replace(words, "([A-Z])", ".$1")), r"^\.", "")
+    folder = F.when(known, "workspace.knowledge.").otherwise("workspace.discovery.")
+    return events.withColumn("subject", F.coalesce(table[F.col(kind)], F.concat(folder, dotted)))
 
 
 def dispatch(events: DataFrame, kind: str, schemas: dict[str, str], payload: str = "payload") -> dict[str, DataFrame]:

@@ -204,3 +204,45 @@ def test_dead_letters(spark):
     df = spark.createDataFrame([(1, "ok"), (2, None)], "event_id int, payload string")
     valid, dead = split_invalid(df, F.when(F.col("payload").isNull(), "empty"))
     assert valid.count() == 1 and dead.first().payload_bytes == 0
+
+
+def test_repeated_rows_keep_their_definition_and_repository(spark):
+    docs = spark.createDataFrame([(1, "a.md"), (1, "a.md"), (2, "x"), (3, None)], "id int, filename string")
+    registry = spark.createDataFrame(processors.DEFINITIONS, "match_kind string, match string, processor_id string, extraction_rule_id string")
+    got = sorted(map(str, ((r.id, r.processor_id, r.matches) for r in inventory.preferred_definition(docs, registry).collect())))
+    assert got == sorted(map(str, [(1, "markdown", 1), (1, "markdown", 1), (2, None, 0), (3, None, 0)]))
+    twice = inventory.preferred_definition(docs, registry.union(registry))
+    assert {(r.id, r.processor_id, r.matches) for r in twice.collect()} == {(1, None, 2), (2, None, 0), (3, None, 0)}
+    paths = spark.createDataFrame([("r/s/a",), ("r/s/a",), ("q",)], "path string")
+    repos = spark.createDataFrame([("r",), ("r/s",)], "path string")
+    assert sorted(map(str, map(tuple, inventory.owning_repository(paths, repos).collect()))) == sorted(map(str, [("r/s/a", "r/s"), ("r/s/a", "r/s"), ("q", None)]))
+
+
+def test_large_json_is_kept_large_hocon_rejected(spark):
+    import json as js
+
+    text = js.dumps({f"k{i}": i for i in range(5000)})
+    assert processors.process(doc(spark, "big.json", text)).count() == 5000
+    many = "\n".join(f"k{i} = {i}" for i in range(2001))
+    assert [r.kind for r in processors.process(doc(spark, "big.conf", many)).collect()] == ["rejected"]
+    routes = "\n".join(f"GET /p{i} controllers.C.m{i}" for i in range(2001))
+    assert [r.kind for r in processors.process(doc(spark, "app.routes", routes)).collect()] == ["rejected"]
+
+
+def test_hocon_scopes_quotes_and_comments(spark):
+    text = "a {\n  b.c = 1 # one\n  'd' = 'x # y' // z\n  \"e.f\" : true\n  g = [\n    1\n  ]\n  h = { i = 1 }\n  u = \"http://h/p\"\n  v = http://h\n}\nk = ${a.b} \nm = ${?a} tail\nn = \"\"\"x\ny\"\"\"\nlast = off on"
+    got = {r.excerpt: (r.locator.line_start, r.locator.value_kind) for r in processors.process(doc(spark, "x.conf", text)).collect()}
+    assert got["a.b.c = 1"] == (2, "number") and got["a.e.f = true"] == (4, "boolean") and got["k = ${a.b}"] == (12, "substitution")
+    assert got["a.u = \"http://h/p\""] == (9, "string") and got["a.g = <unsupported>"][0] == 5 and got["a.h = <unsupported>"][0] == 8
+    assert got["m = <unsupported>"][1] == got["last = <unsupported>"][1] == "unsupported" and "a.v = http:" in got
+
+
+def test_currency_of_absent_and_foreign_pointers(spark):
+    support = spark.createDataFrame([("e", i, f"d{i}", f"v{i}") for i in range(6)], "object_type string, object_id int, document_id string, version_id string")
+    versions = spark.createDataFrame([(f"v{i}", f"d{i}", f"h{i}") for i in range(6)], "version_id string, document_id string, content_hash string")
+    pointers = spark.createDataFrame([("d0", False, None), ("d1", True, None), ("d2", False, "v2"), ("d3", True, "v2"), ("d4", True, "v4")], "document_id string, is_present boolean, current_version_id string")
+    got = {r.object_id: (r.state, r.reason) for r in currency.classify_support(support, pointers, versions).collect()}
+    assert got == {
+        0: ("UNKNOWN", "DOCUMENT_REMOVED"), 1: ("UNKNOWN", "CURRENT_VERSION_UNAVAILABLE"), 2: ("UNKNOWN", "CURRENT_VERSION_UNRESOLVABLE"),
+        3: ("UNKNOWN", "CURRENT_VERSION_UNRESOLVABLE"), 4: ("CURRENT", None), 5: (None, "BROKEN_HISTORY"),
+    }
