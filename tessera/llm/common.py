@@ -28,9 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; a temporary one in tests."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a local master, where driver and executors are one process, may leave it unset: a folder
+    is then made.  On a cluster a local folder would lose rows, so an unset one is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
