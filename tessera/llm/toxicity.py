@@ -34,7 +34,7 @@ from .common import hash128, pack, settle, small_batches, unpack
 #: Bounds of the training sample, in rows of each class.
 MAX_TOXIC, MAX_ORDINARY = 6_000, 14_000
 #: Windows of each class that train a dictionary, words in one, and the word forms kept as recurring.
-MAX_WINDOWS, WINDOW, MAX_FORMS = 200_000, 2, 200_000
+MAX_WINDOWS, WINDOW, MAX_FORMS = 200_000, 2, 100_000
 #: A word must occur in so many sampled texts of its class to take part.
 RECURS = 3
 #: Bytes of trained text in the common base and in the part of each class; segment and match length of the training.
@@ -178,12 +178,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     cuts = settle(learn.select("toxic", "text").mapInArrow(cut, "toxic boolean, window string").withColumn("h", F.xxhash64("window", F.monotonically_increasing_id())))
 
-    def sampled(toxic: bool) -> list[str]:
-        return [r.window for r in cuts.where(F.col("toxic") == toxic).orderBy("h", "window").limit(MAX_WINDOWS).collect()]
+    def of_class(toxic: bool) -> DataFrame:
+        return cuts.where(F.col("toxic") == toxic).orderBy("h", "window").limit(MAX_WINDOWS)
 
-    ordinary = sampled(False)
-    half = len(ordinary) // 2
-    model = {"base": trained_text(ordinary[:half], BASE_BYTES), "toxic": trained_text(sampled(True), CLASS_BYTES), "contrast": trained_text(ordinary[half:], CLASS_BYTES), "prior": share}
+    sizes = {"toxic": CLASS_BYTES, "base": BASE_BYTES, "contrast": CLASS_BYTES}
+
+    def train(key: tuple, table: pa.Table) -> pa.Table:
+        """One dictionary from at most MAX_WINDOWS windows, inside a task."""
+        windows = [w for _, w in sorted(zip(table.column("h").to_pylist(), table.column("window").to_pylist(), strict=True))]
+        part = key[0].as_py()
+        return pa.table({"part": [part], "text": [trained_text(windows, sizes[part])]})
+
+    # Ordinary windows train the base and the ordinary part by turns of their hash.
+    other = of_class(False).withColumn("part", F.when(F.pmod("h", F.lit(2)) == 0, "base").otherwise("contrast"))
+    windows = other.unionByName(of_class(True).withColumn("part", F.lit("toxic"))).select("part", "h", "window")
+    texts = {r.part: r.text for r in windows.groupBy("part").applyInArrow(train, "part string, text string").collect()}
+    model = {**{name: texts.get(name, "") for name in sizes}, "prior": share}
     measured = _measure(rows.where("not first").select("toxic", "text"), model).collect()
     x = np.array([r.features for r in measured], float)
     y = np.array([r.toxic for r in measured], float)
