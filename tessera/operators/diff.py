@@ -22,3 +22,20 @@ def compare(before: DataFrame, after: DataFrame, key: str, fields: list[str], ve
 
 def summary(changes: DataFrame, prefix: str = "") -> DataFrame:
     return changes.agg(*[F.count_if(F.col("change") == c).alias(f"{prefix}{c}") for c in ("added", "removed", "modified", "unchanged")])
+
+
+def stored(changes: DataFrame, key: str, before: object, after: object) -> DataFrame:
+    """One row to keep for a compared pair: both publications, the counts and a hash of every change."""
+    from .reconcile import publication_hash
+
+    rows = changes.select(F.concat_ws("..", F.lit(str(before)), F.lit(str(after))).alias("diff_id"), key, "change", F.concat_ws("|", "change", F.array_join("changed_fields", ",")).alias("_said"))
+    hashed = publication_hash(rows, "diff_id", key, F.col("_said")).select("diff_id", "content_hash")
+    counts = [F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "modified", "unchanged")]
+    return rows.groupBy("diff_id").agg(*counts).join(hashed, "diff_id")
+
+
+def verify(kept: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(diff_id, state) of stored diffs against a new computation: valid, corrupt, or missing on the side that lacks it."""
+    a, b = kept.select("diff_id", F.col("content_hash").alias("a")), fresh.select("diff_id", F.col("content_hash").alias("b"))
+    state = F.when(F.col("a").isNull(), "not-stored").when(F.col("b").isNull(), "not-computed").when(F.col("a") == F.col("b"), "valid").otherwise("corrupt")
+    return a.join(b, "diff_id", "full_outer").select("diff_id", state.alias("state"))

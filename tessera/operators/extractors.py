@@ -163,28 +163,46 @@ def resolve_calls(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     return resolved, joined.where("n IS NULL OR n > 1").select("document_id", F.lit("unresolved").alias("disposition"), reason.alias("reason"), "target")
 
 
-def static_paths(handlers: DataFrame, calls: DataFrame, depth: int = 8, most_steps: int = 256) -> DataFrame:
-    """Steps of the paths from each route handler: (route, position, caller, target, depth).
-
-    Breadth is bounded by ``depth`` joins with the calls; a visited method is not entered again
-    on its own path.  Steps are ordered as a depth-first walk in (line, call index) order, which
-    a path of zero-padded positions sorts to; a route keeps its first ``most_steps`` steps and
-    says so in ``truncated``.
+def static_paths(handlers: DataFrame, calls: DataFrame, depth: int = 8, most_steps: int = 254) -> DataFrame:
+    """Steps of the walk from each route's handler: (route, position, caller, target, depth, stopped, truncated).
+
+    The walk goes depth first in (line, call index) order and enters a method once for each route: a
+    call of a method already entered is a step with ``stopped`` ``repeated-method``, one at the last
+    depth has ``depth-limit``.  Joins gather the distinct methods within reach of each handler, so
+    diamonds do not multiply; the walk itself runs for each route over the calls within its reach and
+    keeps the first ``most_steps`` (with the two entries of route and handler 256), told by ``truncated``.
     """
-    from pyspark.sql import Window
-
-    mark = F.concat(F.lpad(F.col("line").cast("string"), 7, "0"), F.lit("."), F.lpad(F.col("call_index").cast("string"), 4, "0"))
-    edges = calls.select(F.col("caller").alias("at"), "target", mark.alias("mark"))
-    front = handlers.select("route", F.col("handler").alias("at"), F.array("handler").alias("seen"), F.lit("").alias("trail"))
-    steps = None
-    for level in range(1, depth + 1):
-        found = front.join(edges, "at").where(~F.array_contains("seen", F.col("target"))).withColumn("trail", F.concat_ws("/", "trail", "mark"))
-        now = found.select("route", "trail", F.col("at").alias("caller"), "target", F.lit(level).alias("depth"))
-        steps = now if steps is None else steps.unionByName(now)
-        front = found.select("route", F.col("target").alias("at"), F.concat("seen", F.array("target")).alias("seen"), "trail")
-    order = Window.partitionBy("route").orderBy("trail", "caller", "target")
-    numbered = steps.withColumn("position", F.row_number().over(order)).withColumn("truncated", F.count("*").over(Window.partitionBy("route")) > most_steps)
-    return numbered.where(F.col("position") <= most_steps).drop("trail")
+    edges = calls.select(F.col("caller").alias("at"), "target", "line", "call_index")
+    reach = handlers.select("route", "handler", F.col("handler").alias("at")).distinct()
+    for _ in range(depth - 1):
+        ends = F.explode(F.array_compact(F.array("at", "target"))).alias("at")
+        reach = reach.join(edges.select("at", "target"), "at", "left").select("route", "handler", ends).distinct()
+
+    def walk(key, rows):
+        following: dict[str, list[str]] = {}
+        for row in rows.sort_values(["line", "call_index", "target"]).itertuples():
+            following.setdefault(row.at, []).append(row.target)
+        steps, entered, cut = [], {key[1]}, False
+        waiting = [(key[1], 1, iter(following.get(key[1], [])))]
+        while waiting:
+            at, level, rest = waiting[-1]
+            target = next(rest, None)
+            if target is None:
+                waiting.pop()
+                continue
+            if len(steps) == most_steps:
+                cut = True
+                break
+            stopped = "depth-limit" if level >= depth else "repeated-method" if target in entered else None
+            steps.append((key[0], len(steps) + 1, at, target, level, stopped))
+            if stopped is None:
+                entered.add(target)
+                waiting.append((target, level + 1, iter(following.get(target, []))))
+        columns = ["route", "position", "caller", "target", "depth", "stopped"]
+        return type(rows)(steps, columns=columns).assign(truncated=cut)
+
+    schema = "route string, position int, caller string, target string, depth int, stopped string, truncated boolean"
+    return reach.join(edges, "at").groupBy("route", "handler").applyInPandas(walk, schema)
 
 
 def journeys(steps: DataFrame, scope: str) -> DataFrame:

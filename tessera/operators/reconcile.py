@@ -101,6 +101,18 @@ def publication_hash(members: DataFrame, publication: str, key: str, content: Co
     return ranges.groupBy(publication).agg(F.sum("n").alias("members"), joined("range", "r").alias("content_hash"))
 
 
+def publish(members: DataFrame, previous: DataFrame, model: str, key: str, content: Column) -> DataFrame:
+    """The publications that a step adds: (model, version, members, content_hash).
+
+    A model is published only if its members' hash differs from that of its latest publication in
+    ``previous`` (model, version, content_hash); its version is the latest one plus one, or 1.
+    """
+    last = previous.groupBy(model).agg(F.max_by(F.struct("version", "content_hash"), "version").alias("_last"))
+    now = publication_hash(members, model, key, content).join(last, model, "left")
+    changed = now.where(~F.col("content_hash").eqNullSafe(F.col("_last.content_hash")))
+    return changed.select(model, (F.coalesce("_last.version", F.lit(0)) + 1).cast("int").alias("version"), "members", "content_hash")
+
+
 def withdraw(contributions: DataFrame, documents: DataFrame) -> DataFrame:
     """Active contributions without those of withdrawn documents."""
     return contributions.join(documents.select("document_id"), "document_id", "left_anti")

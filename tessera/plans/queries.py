@@ -299,6 +299,20 @@ def publication_hash(spark, sf):
     return reconcile.publication_hash(published_relationships(spark, sf), "publication_id", "relationship_id", F.col("n_lines").cast("string"))
 
 
+_MODELS = "m AS (SELECT publication_id, source_id AS model_id, relationship_id AS k, sha256(CAST(n_lines AS VARCHAR)) AS h FROM prel WHERE publication_id IN (1996, 1997)), g AS (SELECT publication_id, model_id, left(sha256(k), 3) AS part, count(*) AS n, sha256(string_agg(h, '' ORDER BY k)) AS r FROM m GROUP BY 1, 2, 3), t AS (SELECT publication_id, model_id, CAST(sum(n) AS BIGINT) AS members, sha256(string_agg(r, '' ORDER BY part)) AS content_hash FROM g GROUP BY 1, 2), b AS (SELECT * FROM t WHERE publication_id = 1996), a AS (SELECT * FROM t WHERE publication_id = 1997 UNION ALL SELECT 1997, model_id, members, content_hash FROM b WHERE model_id LIKE '%3')"
+
+
+@query(_with("SELECT a.model_id, CASE WHEN b.model_id IS NULL THEN 1 ELSE 5 END AS version, a.members, a.content_hash FROM a LEFT JOIN b ON a.model_id = b.model_id WHERE a.content_hash IS DISTINCT FROM b.content_hash AND a.model_id NOT LIKE '%3'", _MODELS, "prel"))
+def publish_step(spark, sf):
+    """Each supplier's edges of 1997 against its publication of 1996; those ending in 3 did not change."""
+    rows = published_relationships(spark, sf).withColumnRenamed("source_id", "model_id").withColumn("content", F.col("n_lines").cast("string"))
+    before = rows.where("publication_id = 1996")
+    now = rows.where("publication_id = 1997 AND model_id NOT LIKE '%3'").unionByName(before.where("model_id LIKE '%3'"))
+    last = reconcile.publication_hash(before, "model_id", "relationship_id", F.col("content")).select("model_id", F.lit(4).alias("version"), "content_hash")
+    older = last.select("model_id", F.lit(3).alias("version"), F.lit("-").alias("content_hash"))
+    return reconcile.publish(now, older.unionByName(last), "model_id", "relationship_id", F.col("content"))
+
+
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0)")
 def withdraw_documents(spark, sf):
     active = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "source")
@@ -383,6 +397,14 @@ def diff_summary(spark, sf):
     return diff.summary(_diff(spark, sf))
 
 
+_FIELDS = "CASE WHEN change = 'modified' THEN array_to_string(list_filter([CASE WHEN an <> bn THEN 'n_lines' END, CASE WHEN af <> bf THEN 'flag' END], lambda x: x IS NOT NULL), ',') ELSE '' END"
+
+
+@query(_with("SELECT '1997..1998' AS diff_id, (SELECT sha256(string_agg(r, '' ORDER BY part)) FROM (SELECT left(sha256(relationship_id), 3) AS part, sha256(string_agg(sha256(change || '|' || " + _FIELDS + "), '' ORDER BY relationship_id)) AS r FROM d GROUP BY 1)) AS content_hash, " + ", ".join(f"count(*) FILTER (WHERE change = '{c}') AS {c}" for c in ("added", "removed", "modified", "unchanged")) + " FROM d", _PAIR, "prel"))
+def diff_stored(spark, sf):
+    return diff.stored(_diff(spark, sf), "relationship_id", 1997, 1998)
+
+
 # ---------------------------------------------------------------- currency
 
 
@@ -669,66 +691,109 @@ def entity_keys(spark, sf):
     return part.select(F.col("p_partkey").alias("part_key"), fn.entity_key(F.lit("part"), F.lit("tpch"), F.col("p_brand"), F.col("p_name")).alias("entity_key"))
 
 
-# ---------------------------------------------------------------- processors and extractors on literals
+# ---------------------------------------------------------------- processors and extractors
+
+#: Texts of each format made from the documents; the same expressions run on Spark and in DuckDB.
+_NL = "|| chr(10) ||"
+_TEXTS = {
+    "Dockerfile": f"'FROM scratch' {_NL} 'from --platform=linux/amd64 ' || source || ':' || doc_id || ' AS build' {_NL} replace(text, '. ', '.' {_NL} '  FROM ')",
+    "app.routes": f"'# ' || lang {_NL} '-> /' || lang || ' ' || source || '.Routes' {_NL} 'PUT /' || lang {_NL} 'PUT /' || lang {_NL} replace(text, '. ', '.' {_NL} 'GET ')",
+    "app.conf": f"'app {{' {_NL} '  name = \"' || source || '\"' {_NL} '  db.password = ' || lang {_NL} '  port = ' || n_chars {_NL} '  url = $' || '{{?URL' || doc_id || '}}' {_NL} '}}' {_NL} source || '.debug = true'",
+    "a.txt": f"replace(text, '. ', '.' {_NL} ' ' {_NL} '  ')",
+    "a.md": f"'# ' || source {_NL} '## ' || lang {_NL} chr(10) || replace(replace(text, '. ', '.' {_NL} '- '), ', ', chr(10)) {_NL} '| ' || lang || ' |'",
+    "C.scala": f"'package p' {_NL} '/* ' || text || ' */' {_NL} 'class C' || doc_id || ' @Inject()(next: C' || (doc_id + 1) || ') {{' {_NL} '  def run(id: String) = {{' {_NL} '    next.run(id)' {_NL} '    next.gone(id)' {_NL} '  }}' {_NL} '}}'",
+}
+
 
-_DOCKERFILE = "FROM scratch\n# base\nfrom --platform=linux/amd64 node:22 AS build\nRUN x\n  FROM debian:12"
-_ROUTES = "# comment\n-> /api api.Routes\nGET /orders/:id controllers.OrderController.get(id: String)\nGET /orders/:id controllers.OrderController.get(id: String)\nPOST /orders controllers.OrderController.create()"
-_HOCON = 'app {\n  name = "shop"\n  db.password = hunter2\n  port = 9000\n  url = ${?URL}\n}\nplay.debug = true'
+def _texts(spark, sf, path: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return docs.select(F.col("doc_id").alias("document_id"), F.lit(path).alias("path"), F.expr(_TEXTS[path]).alias("text"))
 
 
-def _doc(spark, path, text):
-    return _inline(spark, [(1, path, text)], "document_id long, path string, text string")
+def _lines(path: str) -> str:
+    """Their numbered lines in DuckDB: l(doc_id, source, lang, number, line, bare)."""
+    return rf"""s AS (SELECT doc_id, source, lang, string_split({_TEXTS[path]}, chr(10)) AS a FROM documents),
+ n AS (SELECT doc_id, source, lang, unnest(range(1, len(a) + 1)) AS number, unnest(a) AS line FROM s),
+ l AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS bare FROM n)"""
 
 
-@query("SELECT * FROM (VALUES ('dockerfile:1:from', 'FROM scratch'), ('dockerfile:3:from', 'from --platform=linux/amd64 node:22 AS build'), ('dockerfile:5:from', 'FROM debian:12')) AS t(key, excerpt)")
+_FROM = _lines("Dockerfile") + r", f AS (SELECT doc_id, 'dockerfile:' || number || ':from' AS key, left(bare, 4000) AS excerpt, length(bare) > 4000 AS cut FROM l WHERE regexp_matches(line, '(?i)^\s*FROM\s+'))"
+
+
+@query(f"WITH {_FROM} SELECT doc_id, key, excerpt FROM f")
 def dockerfile_from(spark, sf):
-    return processors.dockerfile(_doc(spark, "Dockerfile", _DOCKERFILE)).select("key", "excerpt")
+    return processors.dockerfile(_texts(spark, sf, "Dockerfile")).select(F.col("document_id").alias("doc_id"), "key", "excerpt")
 
 
-@query("SELECT * FROM (VALUES ('node:22'), ('debian:12')) AS t(name)")
+@query(f"WITH {_FROM}" + r", i AS (SELECT doc_id, key, regexp_extract(excerpt, '(?i)^FROM\s+(?:--platform=\S+\s+)?(\S+)', 1) AS name FROM f WHERE NOT cut) SELECT name, doc_id || '#' || key AS evidence FROM i WHERE name <> '' AND lower(name) <> 'scratch'")
 def container_images(spark, sf):
-    evidence = processors.dockerfile(_doc(spark, "Dockerfile", _DOCKERFILE)).withColumn("path", F.lit("Dockerfile"))
-    return extractors.container_images(evidence).select("name")
+    evidence = processors.dockerfile(_texts(spark, sf, "Dockerfile")).withColumn("path", F.lit("Dockerfile"))
+    return extractors.container_images(evidence).select("name", F.element_at("evidence_ids", 1).alias("evidence"))
+
 
+_ROUTE = r"'^([A-Z]+)\s+(\S+)(?:\s+(.+?))?$'"
 
-@query("SELECT CAST(l AS INTEGER) AS line, m AS method, p AS path, h AS handler, r AS repeat FROM (VALUES (3, 'GET', '/orders/:id', 'controllers.OrderController.get(id: String)', '1'), (4, 'GET', '/orders/:id', 'controllers.OrderController.get(id: String)', '2'), (5, 'POST', '/orders', 'controllers.OrderController.create()', '1')) AS t(l, m, p, h, r)")
+
+@query(
+    f"WITH {_lines('app.routes')}" + rf""", o AS (SELECT *, regexp_matches(bare, {_ROUTE}) AS is_route FROM l WHERE bare <> '' AND NOT starts_with(bare, '#') AND (regexp_matches(bare, {_ROUTE}) OR regexp_matches(bare, '^->\s+(\S+)\s+(\S+)$'))),
+ much AS (SELECT doc_id FROM o GROUP BY 1 HAVING count(*) > 2000 OR sum(strlen(left(bare, 4000))) > 500000),
+ r AS (SELECT doc_id, number, regexp_extract(bare, {_ROUTE}, 1) AS method, regexp_extract(bare, {_ROUTE}, 2) AS path, regexp_extract(bare, {_ROUTE}, 3) AS handler FROM o WHERE is_route AND doc_id NOT IN (SELECT doc_id FROM much))
+ SELECT doc_id, CAST(number AS INTEGER) AS line, method, path, handler, CAST(row_number() OVER (PARTITION BY doc_id, method, path, handler ORDER BY number) AS VARCHAR) AS repeat FROM r"""
+)
 def routes(spark, sf):
-    found = processors.play_routes(_doc(spark, "conf/app.routes", _ROUTES)).where("startswith(key, 'route:')")
+    found = processors.play_routes(_texts(spark, sf, "app.routes")).where("startswith(key, 'route:')")
     detail = F.col("locator.detail")
-    return found.select(F.col("locator.line_start").alias("line"), detail["method"].alias("method"), detail["path"].alias("path"), detail["handler"].alias("handler"), F.substring_index("key", ":", -1).alias("repeat"))
+    return found.select(
+        F.col("document_id").alias("doc_id"), F.col("locator.line_start").alias("line"), detail["method"].alias("method"), detail["path"].alias("path"), detail["handler"].alias("handler"),
+        F.substring_index("key", ":", -1).alias("repeat"),
+    )
 
 
-@query("SELECT * FROM (VALUES ('app.name = \"shop\"', 'string'), ('app.db.password = <redacted>', 'redacted'), ('app.port = 9000', 'number'), ('app.url = ${?URL}', 'substitution'), ('play.debug = true', 'boolean')) AS t(excerpt, value_kind)")
+@query("SELECT doc_id, unnest(['app.name = \"' || source || '\"', 'app.db.password = <redacted>', 'app.port = ' || n_chars, 'app.url = ${?URL' || doc_id || '}', source || '.debug = true']) AS excerpt, unnest(['string', 'redacted', 'number', 'substitution', 'boolean']) AS value_kind FROM documents")
 def hocon(spark, sf):
-    return processors.PROCESSORS["hocon"](_doc(spark, "a.conf", _HOCON)).select("excerpt", "locator.value_kind")
+    return processors.PROCESSORS["hocon"](_texts(spark, sf, "app.conf")).select(F.col("document_id").alias("doc_id"), "excerpt", "locator.value_kind")
 
 
-@query("SELECT * FROM (VALUES (1, 2, 'Hello there.'), (4, 4, 'Again.')) AS t(line_start, line_end, excerpt)")
+_ISLANDS = "SELECT doc_id, CAST(min(number) AS INTEGER) AS line_start, CAST(max(number) AS INTEGER) AS line_end, left(string_agg(bare, ' ' ORDER BY number), 4000) AS excerpt FROM (SELECT *, number - row_number() OVER (PARTITION BY doc_id ORDER BY number) AS island FROM {}) GROUP BY doc_id, island"
+
+
+@query(f"WITH {_lines('a.txt')}, full_lines AS (SELECT * FROM l WHERE bare <> '') {_ISLANDS.format('full_lines')}")
 def text_paragraphs(spark, sf):
-    return processors.plain_text(_doc(spark, "a.txt", "Hello  \nthere.\n\nAgain.\n")).select("locator.line_start", "locator.line_end", "excerpt")
+    return processors.plain_text(_texts(spark, sf, "a.txt")).select(F.col("document_id").alias("doc_id"), "locator.line_start", "locator.line_end", "excerpt")
 
 
-@query("SELECT * FROM (VALUES ('markdown:1:heading', 'Title', ''), ('markdown:3:paragraph', 'See [x](b.md) now.', 'Title'), ('markdown:5:list', '- one', 'Title'), ('markdown:6:code', '```' || chr(10) || 'a' || chr(10) || '```', 'Title'), ('markdown:9:heading', 'Sub', ''), ('markdown:10:table', '| a | b |', 'Title/Sub'), ('markdown-link:3:0', 'b.md', '')) AS t(key, excerpt, headings)")
+@query(
+    f"WITH {_lines('a.md')}" + r""", c AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN regexp_matches(line, '^ {0,3}#{1,6}[ \t]+.') THEN 'heading' WHEN regexp_matches(line, '^\s*([-+*]|\d+[.)])\s+') THEN 'list' WHEN regexp_matches(line, '^\s*\|.*\|\s*$') THEN 'table' ELSE 'paragraph' END AS kind FROM l),
+ t AS (SELECT * FROM c WHERE kind = 'paragraph'), p AS (""" + _ISLANDS.format("t") + r"""),
+ b AS (SELECT doc_id, 'markdown:' || number || ':' || kind AS key, left(CASE kind WHEN 'heading' THEN regexp_extract(line, '^ {0,3}#{1,6}[ \t]+(.+?)\s*#*\s*$', 1) ELSE bare END, 4000) AS excerpt FROM c WHERE kind IN ('heading', 'list', 'table')
+   UNION ALL SELECT doc_id, 'markdown:' || line_start || ':paragraph', excerpt FROM p)
+ SELECT b.doc_id, key, excerpt, CASE WHEN key LIKE '%:heading' THEN '' ELSE source || '/' || lang END AS headings FROM b JOIN documents d ON b.doc_id = d.doc_id"""
+)
 def markdown_blocks(spark, sf):
-    text = "# Title\n\nSee [x](b.md)\nnow.\n- one\n```\na\n```\n## Sub\n| a | b |"
-    found = processors.PROCESSORS["markdown"](_doc(spark, "a.md", text))
-    return found.select("key", "excerpt", F.coalesce(F.array_join("locator.heading_path", "/"), F.lit("")).alias("headings"))
+    found = processors.PROCESSORS["markdown"](_texts(spark, sf, "a.md")).where("startswith(key, 'markdown:')")
+    return found.select(F.col("document_id").alias("doc_id"), "key", "excerpt", F.coalesce(F.array_join("locator.heading_path", "/"), F.lit("")).alias("headings"))
+
+
+_ONCE = "once AS (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) = 1)"
 
 
-@query("SELECT * FROM (VALUES ('OrderController.get', 'OrderService.find'), ('OrderService.find', 'OrderConnector.fetch')) AS t(caller, target)")
+@query(f"WITH {_ONCE} SELECT 'C' || d.doc_id || '.run' AS caller, 'C' || o.doc_id || '.run' AS target FROM documents d JOIN once o ON o.doc_id = d.doc_id + 1 WHERE d.text IS NOT NULL")
 def call_resolution(spark, sf):
-    code = [
-        (1, "app/OrderController.scala", "package controllers\nclass OrderController @Inject()(service: OrderService) extends BaseController {\n  def get(id: String) = {\n    service.find(id)\n  }\n}"),
-        (2, "app/OrderService.scala", "package services\nclass OrderService @Inject()(connector: OrderConnector) {\n  def find(id: String) = {\n    connector.fetch(id)\n  }\n}"),
-        (3, "app/OrderConnector.scala", "package connectors\nclass OrderConnector @Inject()(http: HttpClient) {\n  def fetch(id: String) = {\n    http.get(id)\n  }\n}"),
-    ]
-    docs = _inline(spark, code, "document_id long, path string, text string")
-    return extractors.resolve_calls(processors.PROCESSORS["scala-source"](docs))[0].select("caller", "target")
+    return extractors.resolve_calls(processors.PROCESSORS["scala-source"](_texts(spark, sf, "C.scala")))[0].select("caller", "target")
 
 
-@query("SELECT * FROM (VALUES ('GET /orders', CAST(1 AS INTEGER), 'OrderController.get', 'OrderService.find', CAST(1 AS INTEGER)), ('GET /orders', 2, 'OrderService.find', 'OrderConnector.fetch', 2)) AS t(route, position, caller, target, depth)")
-def static_path_steps(spark, sf):
-    calls = _inline(spark, [("OrderController.get", "OrderService.find", 4, 0), ("OrderService.find", "OrderConnector.fetch", 4, 0), ("OrderConnector.fetch", "OrderController.get", 4, 0)], "caller string, target string, line int, call_index int")
-    handlers = _inline(spark, [("GET /orders", "OrderController.get")], "route string, handler string")
-    return extractors.static_paths(handlers, calls).select("route", "position", "caller", "target", "depth")
+@query(f"WITH {_ONCE} SELECT 'C' || (doc_id + 1) || '.gone' AS target, 'CALL_TARGET_NOT_FOUND' AS reason FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'C' || (doc_id + 1) || '.run', 'CALL_TARGET_NOT_FOUND' FROM documents WHERE text IS NOT NULL AND doc_id + 1 NOT IN (SELECT doc_id FROM documents)")
+def call_diagnostics(spark, sf):
+    return extractors.resolve_calls(processors.PROCESSORS["scala-source"](_texts(spark, sf, "C.scala")))[1].select("target", "reason")
+
 
+@query("SELECT 'GET /' || doc_id AS route, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS position, 'm' || (doc_id + unnest([0, 1, 2, 3, 0])) AS caller, 'm' || (doc_id + unnest([1, 2, 3, 0, 2])) AS target, CAST(unnest([1, 2, 3, 4, 1]) AS INTEGER) AS depth, unnest([NULL, NULL, NULL, 'repeated-method', 'repeated-method']) AS stopped FROM documents WHERE doc_id % 4 = 0")
+def static_path_steps(spark, sf):
+    """Each four documents call the next one and back, the first one also the third: a diamond and a loop."""
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 4).alias("place"))
+    name = lambda n: F.concat(F.lit("m"), n.cast("string"))
+    here = F.col("doc_id")
+    following = docs.select(name(here).alias("caller"), name(F.when(F.col("place") == 3, here - 3).otherwise(here + 1)).alias("target"), F.lit(1).alias("line"), F.lit(0).alias("call_index"))
+    across = docs.where("place = 0").select(name(here).alias("caller"), name(here + 2).alias("target"), F.lit(2).alias("line"), F.lit(0).alias("call_index"))
+    handlers = docs.where("place = 0").select(F.concat(F.lit("GET /"), here.cast("string")).alias("route"), name(here).alias("handler"))
+    return extractors.static_paths(handlers, following.unionByName(across)).drop("truncated")

@@ -166,10 +166,11 @@ def test_static_paths_do_not_loop_and_truncate(spark):
     calls = spark.createDataFrame([("A.a", "B.b", 2, 0), ("A.a", "C.c", 1, 0), ("C.c", "A.a", 1, 0)], "caller string, target string, line int, call_index int")
     handlers = spark.createDataFrame([("GET /", "A.a")], "route string, handler string")
     steps = extractors.static_paths(handlers, calls)
-    assert [r.target for r in steps.orderBy("position").collect()] == ["C.c", "B.b"]
+    assert [r.target for r in steps.orderBy("position").collect()] == ["C.c", "A.a", "B.b"]
+    assert [r.stopped for r in steps.orderBy("position").collect()] == [None, "repeated-method", None]
     assert extractors.static_paths(handlers, calls, most_steps=1).first().truncated
     journey = extractors.journeys(steps, "s").first()
-    assert [(t["from"], t["to"]) for t in journey.transitions] == [("C.c", "B.b")]
+    assert [(t["from"], t["to"]) for t in journey.transitions] == [("C.c", "A.a"), ("A.a", "B.b")]
     assert extractors.find_journeys(extractors.journeys(steps, "s"), "b.B").count() == 1
 
 
@@ -246,3 +247,32 @@ def test_currency_of_absent_and_foreign_pointers(spark):
         0: ("UNKNOWN", "DOCUMENT_REMOVED"), 1: ("UNKNOWN", "CURRENT_VERSION_UNAVAILABLE"), 2: ("UNKNOWN", "CURRENT_VERSION_UNRESOLVABLE"),
         3: ("UNKNOWN", "CURRENT_VERSION_UNRESOLVABLE"), 4: ("CURRENT", None), 5: (None, "BROKEN_HISTORY"),
     }
+
+
+def test_static_paths_enter_a_method_once_on_ladders_of_diamonds(spark):
+    rungs = [(f"m{i}", f"m{i + step}", step, 0) for i in range(12) for step in (1, 2)]
+    calls = spark.createDataFrame(rungs, "caller string, target string, line int, call_index int")
+    handlers = spark.createDataFrame([("GET /", "m0")], "route string, handler string")
+    rows = extractors.static_paths(handlers, calls).orderBy("position").collect()
+    assert [r.target for r in rows[:8]] == [f"m{i}" for i in range(1, 9)]
+    assert rows[7].stopped == "depth-limit" and max(r.depth for r in rows) == 8
+    # m8 is first met at the limit and entered from m6, the deepest method that is not at the limit.
+    entered = [r.target for r in rows if r.stopped is None]
+    assert len(entered) == len(set(entered)) and len(rows) < 30
+
+
+def test_publish_only_on_change_and_diffs_verify(spark):
+    from tessera.operators import diff, reconcile
+
+    members = spark.createDataFrame([("a", "k1", "x"), ("b", "k1", "x"), ("c", "k1", "x")], "model string, key string, content string")
+    none = spark.createDataFrame([], "model string, version int, content_hash string")
+    first = reconcile.publish(members, none, "model", "key", F.col("content"))
+    assert {(r.model, r.version) for r in first.collect()} == {("a", 1), ("b", 1), ("c", 1)}
+    later = members.where("model <> 'b'").unionByName(spark.createDataFrame([("b", "k1", "y")], members.schema))
+    again = reconcile.publish(later, first, "model", "key", F.col("content"))
+    assert [(r.model, r.version) for r in again.collect()] == [("b", 2)]
+    changes = spark.createDataFrame([("k", "modified", ["f"])], "key string, change string, changed_fields array<string>")
+    kept = diff.stored(changes, "key", 1, 2)
+    other = diff.stored(changes.withColumn("change", F.lit("removed")), "key", 1, 2)
+    assert diff.verify(kept, kept).first().state == "valid" and diff.verify(kept, other).first().state == "corrupt"
+    assert diff.verify(kept, kept.limit(0)).first().state == "not-computed"
