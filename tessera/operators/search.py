@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +19,25 @@ def degrees(relationships: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return relationships.select(*keys, ends).groupBy(*keys, "entity_id").agg(F.count("*").alias("relationship_count"))
 
 
-def project_entities(entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """Entities of each publication with normalised name and degree."""
+def project_entities(entities: DataFrame, relationships: DataFrame, fold: Callable[[str], Column] = F.lower) -> DataFrame:
+    """Entities of each publication with normalised name and degree.
+
+    ``fold`` normalises a name inside the JVM; ``presentation.normalized`` also composes
+    compatibility characters, for names that are not plain letters, at the price of an Arrow batch.
+    """
     found = degrees(relationships, ("publication_id",))
     return (
         entities.join(found, ["publication_id", "entity_id"], "left")
         .withColumn("relationship_count", F.coalesce("relationship_count", F.lit(0)).cast("long"))
-        .withColumn("name_normalized", F.lower("name"))
+        .withColumn("name_normalized", fold(F.col("name")))
     )
 
 
-def project_relationships(relationships: DataFrame, entities: DataFrame) -> DataFrame:
+def project_relationships(relationships: DataFrame, entities: DataFrame, fold: Callable[[str], Column] = F.lower) -> DataFrame:
     """Relationships of each publication with the names and types of both ends, names also normalised."""
     out = relationships
     for end in ("source", "target"):
-        side = entities.select("publication_id", F.col("entity_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"), F.col("type").alias(f"{end}_type"), F.lower("name").alias(f"{end}_normalized"))
+        side = entities.select("publication_id", F.col("entity_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"), F.col("type").alias(f"{end}_type"), fold(F.col("name")).alias(f"{end}_normalized"))
         out = out.join(side, ["publication_id", f"{end}_id"])
     return out
 
@@ -57,7 +64,7 @@ def search_terms(documents: DataFrame, keys: tuple[str, ...], text: str) -> Data
 def match(column: Column, query: str, how: str = "contains") -> Column:
     if how not in MATCHES or not 1 <= len(query) <= 256:
         raise ValueError("match must be exact, prefix or contains, the query 1 to 256 characters")
-    text = F.lit(query.lower())
+    text = F.lit(unicodedata.normalize("NFKC", query).lower())
     return {"exact": column == text, "prefix": F.startswith(column, text), "contains": F.contains(column, text)}[how]
 
 
