@@ -89,11 +89,11 @@ def analysed_sources(spark, sf):
     return submissions.analysed_sources(docs)
 
 
-@query("SELECT t.doc_id AS version_id, t.quality AS evidence, d.source, sha256(d.text) AS content_hash FROM labels t JOIN documents d ON t.doc_id = d.doc_id WHERE d.doc_id % 3 <> 0")
+@query("SELECT t.doc_id AS version_id, t.quality AS evidence, d.source, sha256(d.text) AS content_hash FROM labels t JOIN documents d ON t.doc_id = d.doc_id")
 def evidence_explanation(spark, sf):
-    """Labels as evidence; two documents in three have a version that explains it."""
+    """Labels as evidence, documents as the versions that explain it."""
     evidence = table(spark, sf, "labels").select(F.col("doc_id").alias("version_id"), F.col("quality").alias("evidence"))
-    docs = table(spark, sf, "documents").where("doc_id % 3 <> 0")
+    docs = table(spark, sf, "documents")
     return submissions.explain(evidence, docs.select(F.col("doc_id").alias("version_id"), "source", fn.fingerprint(F.col("text")).alias("content_hash")))
 
 
