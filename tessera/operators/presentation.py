@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Parser packs in their order with the extractors and the processors of each (fixed values).
 PACKS = [
@@ -19,7 +20,7 @@ PACKS = [
 STEPS_SHOWN, PROVENANCE_SHOWN = 5, 3
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
     return pc.utf8_normalize(text, form="NFKC")
 
@@ -43,9 +44,14 @@ def locator_text(pointer: Column, line_start: Column, line_end: Column) -> Colum
     return F.when(pointer.isNotNull(), F.concat(F.lit("JSON pointer "), pointer)).otherwise(lines)
 
 
+def _url_base64(raw: Column) -> Column:
+    # Spark may break long output into lines.
+    return F.translate(F.rtrim(F.base64(raw), F.lit("=")), "+/\r\n", "-_")
+
+
 def encode_cursor(value: Column) -> Column:
     """Base64 with the URL alphabet and no padding."""
-    return F.translate(F.rtrim(F.base64(F.encode(value, "UTF-8")), F.lit("=")), "+/", "-_")
+    return _url_base64(F.encode(value, "UTF-8"))
 
 
 def decode_cursor(cursor: Column) -> Column:
@@ -53,8 +59,7 @@ def decode_cursor(cursor: Column) -> Column:
     wellformed = cursor.rlike("^[A-Za-z0-9_-]+$") & (F.char_length(cursor) % 4 != 1)
     padded = F.rpad(F.translate(cursor, "-_", "+/"), F.ceil(F.char_length(cursor) / 4) * 4, F.lit("="))
     raw = F.when(wellformed, F.unbase64(padded))
-    again = F.translate(F.rtrim(F.base64(raw), F.lit("=")), "+/", "-_")
-    return F.when((again == cursor) & F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+    return F.when((_url_base64(raw) == cursor) & F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
 
 
 def pack_of(extractor: Column, processor: Column, pointer: Column) -> Column:
