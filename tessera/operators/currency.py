@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import object_hash, row_json
+
 STATES = ("CURRENT", "UNKNOWN", "STALE")
+#: Fixed value: the schema version inside a basis.
+BASIS_VERSION = 1
 
 
 def classify_support(support: DataFrame, pointers: DataFrame, versions: DataFrame) -> DataFrame:
@@ -55,8 +59,16 @@ def details(objects: DataFrame, after: tuple[str, str] | None = None, limit: int
     return objects.orderBy("object_type", "object_id").limit(limit + 1)
 
 
-def basis(pointers: DataFrame, bucket: str) -> DataFrame:
-    """What a classification rests on: an order-free checksum of the pointers for each bucket."""
-    from .inventory import order_free_checksum
+def basis(pointers: DataFrame, versions: DataFrame, group: str) -> DataFrame:
+    """(group, documents, basis_hash): what the classification of each group of documents rests on.
 
-    return order_free_checksum(pointers, [bucket], F.concat_ws("|", "document_id", F.col("is_present").cast("string"), F.coalesce("current_version_id", F.lit("-"))))
+    The SHA-256 of the canonical JSON of every document's presence, pointer, revision and, if the pointer
+    leads to a known version, that version's document and content, ordered by document id.
+    ``pointers`` has (group, document_id, is_present, current_version_id, revision).
+    """
+    known = versions.select(F.col("version_id").alias("current_version_id"), F.struct(F.col("document_id").alias("documentId"), F.col("content_hash").alias("contentHash")).alias("currentVersion"))
+    rows = pointers.join(known, "current_version_id", "left")
+    item = row_json(rows, documentId="document_id", documentPresent="is_present", currentVersionId="current_version_id", revision="revision", currentVersion="currentVersion")
+    listed = rows.select(group, F.lit("documents").alias("field"), F.col("document_id").alias("at"), item.alias("item"))
+    found = object_hash(listed, group, "field", "at", "item", ["documents"], {"schemaVersion": str(BASIS_VERSION)})
+    return found.select(group, F.col("items").alias("documents"), F.col("hash").alias("basis_hash"))

@@ -26,10 +26,10 @@ def summary(changes: DataFrame, prefix: str = "") -> DataFrame:
 
 def stored(changes: DataFrame, key: str, before: object, after: object) -> DataFrame:
     """One row to keep for a compared pair: both publications, the counts and a hash of every change."""
-    from .reconcile import publication_hash
+    from .reconcile import tree_hash
 
     rows = changes.select(F.concat_ws("..", F.lit(str(before)), F.lit(str(after))).alias("diff_id"), key, "change", F.concat_ws("|", "change", F.array_join("changed_fields", ",")).alias("_said"))
-    hashed = publication_hash(rows, "diff_id", key, F.col("_said")).select("diff_id", "content_hash")
+    hashed = tree_hash(rows, "diff_id", key, F.col("_said")).select("diff_id", "content_hash")
     counts = [F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "modified", "unchanged")]
     return rows.groupBy("diff_id").agg(*counts).join(hashed, "diff_id")
 

@@ -6,9 +6,13 @@ key, compared with the current version by a content hash, and get a new version
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import object_hash, row_json
+
 #: Lifecycle states that a publication leaves out.
 RETIRED = ("superseded", "rejected")
 
@@ -89,26 +93,46 @@ def publish_members(objects: DataFrame, key: str) -> DataFrame:
     return objects.where(~F.col("status").isin(*RETIRED)).select(key, "version_number")
 
 
-def publication_hash(members: DataFrame, publication: str, key: str, content: Column, digits: int = 3) -> DataFrame:
-    """A content hash for each publication, in two levels so that no row holds all members.
+#: Fixed value: the schema version inside a publication's hash.
+CONTENT_VERSION = 2
+
+
+def content_rows(entities: DataFrame | None, relationships: DataFrame | None, publication: str, entity_fields: dict[str, str], relationship_fields: dict[str, str]) -> DataFrame:
+    """(publication, section, id, item): members of publications as canonical JSON objects; the field ``id`` orders them."""
+    parts = []
+    for section, rows, fields in (("entities", entities, entity_fields), ("relationships", relationships, relationship_fields)):
+        if rows is not None:
+            parts.append(rows.select(publication, F.lit(section).alias("section"), F.col(fields["id"]).cast("string").alias("id"), row_json(rows, **fields).alias("item")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def publication_hash(members: DataFrame, publication: str, schema_version: int = CONTENT_VERSION) -> DataFrame:
+    """(publication, members, content_hash) of ``content_rows``: the SHA-256 of the canonical JSON of
+    schema version, entities and relationships, both sorted by id.  Members stream through the digest."""
+    found = object_hash(members, publication, "section", "id", "item", ["entities", "relationships"], {"schemaVersion": str(schema_version)})
+    return found.select(publication, F.col("items").alias("members"), F.col("hash").alias("content_hash"))
+
+
+def tree_hash(members: DataFrame, group: str, key: str, content: Column, digits: int = 3) -> DataFrame:
+    """(group, members, content_hash) in two levels, for comparisons inside this library at any size: no task sees all members.
 
     Members fall into ranges by the first hex ``digits`` of their key's SHA-256.  A range's hash is
-    that of its members' hashes in key order, a publication's that of its ranges' hashes in order.
+    that of its members' hashes in key order, a group's that of its ranges' hashes in order.
     """
-    rows = members.select(publication, F.col(key).alias("k"), F.left(F.sha2(F.col(key).cast("string"), 256), F.lit(digits)).alias("range"), F.sha2(content, 256).alias("h"))
+    rows = members.select(group, F.col(key).alias("k"), F.left(F.sha2(F.col(key).cast("string"), 256), F.lit(digits)).alias("range"), F.sha2(content, 256).alias("h"))
     joined = lambda at, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value]), ""), 256)
-    ranges = rows.groupBy(publication, "range").agg(F.count("*").alias("n"), joined("k", "h").alias("r"))
-    return ranges.groupBy(publication).agg(F.sum("n").alias("members"), joined("range", "r").alias("content_hash"))
+    ranges = rows.groupBy(group, "range").agg(F.count("*").alias("n"), joined("k", "h").alias("r"))
+    return ranges.groupBy(group).agg(F.sum("n").alias("members"), joined("range", "r").alias("content_hash"))
 
 
-def publish(members: DataFrame, previous: DataFrame, model: str, key: str, content: Column) -> DataFrame:
+def publish(members: DataFrame, previous: DataFrame, model: str) -> DataFrame:
     """The publications that a step adds: (model, version, members, content_hash).
 
-    A model is published only if its members' hash differs from that of its latest publication in
+    ``members`` are ``content_rows``.  A model is published only if its content hash differs from that of its latest publication in
     ``previous`` (model, version, content_hash); its version is the latest one plus one, or 1.
     """
     last = previous.groupBy(model).agg(F.max_by(F.struct("version", "content_hash"), "version").alias("_last"))
-    now = publication_hash(members, model, key, content).join(last, model, "left")
+    now = publication_hash(members, model).join(last, model, "left")
     changed = now.where(~F.col("content_hash").eqNullSafe(F.col("_last.content_hash")))
     return changed.select(model, (F.coalesce("_last.version", F.lit(0)) + 1).cast("int").alias("version"), "members", "content_hash")
 

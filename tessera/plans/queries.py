@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import analytics, currency, diff, extractors, inventory, processors, publication, reconcile, search
+from ..functions import canonical
+from ..operators import analytics, authority, chunks, currency, diff, extractors, inventory, processors, publication, reconcile, search
 from ..streaming import assemblies, dedupe, newest, pending, split_invalid, supersede, with_subject
 from .roles import TYPES, ends_of, entities, latest_relationships, published_entities, published_relationships, relationships, sql, table
 
@@ -102,10 +103,25 @@ def registry_match(spark, sf):
     return inventory.preferred_definition(docs, _inline(spark, processors.DEFINITIONS, "match_kind string, match string, processor_id string, extraction_rule_id string"))
 
 
-@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderkey % 5, o_orderkey % 3, -o_orderkey)) AS version_id, max(o_orderkey % 5) AS processor_version, arg_max(o_orderkey % 3, (o_orderkey % 5, o_orderkey % 3, -o_orderkey)) AS rule_version FROM orders GROUP BY 1")
+_RESULTS = """s AS (SELECT o_custkey AS d, o_orderkey AS v, o_orderstatus AS c, o_orderkey % 5 AS p, o_orderkey % 3 AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n,
+   o_orderkey % 4 <> 0 AND CAST(o_custkey % 7 AS INTEGER) <> 5 OR o_orderkey % 4 = 0 AND o_custkey % 7 = 0 AS able FROM orders)"""
+
+
+@query(
+    f"WITH RECURSIVE {_RESULTS}, f AS (SELECT DISTINCT d, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS v, CAST(NULL AS VARCHAR) AS c, CAST(NULL AS BIGINT) AS p, CAST(NULL AS BIGINT) AS r, 0 AS revision FROM s UNION ALL "
+    "SELECT d, n, CASE WHEN goes THEN nv ELSE v END, CASE WHEN goes THEN nc ELSE c END, CASE WHEN goes THEN np ELSE p END, CASE WHEN goes THEN nr ELSE r END, CASE WHEN goes THEN revision + 1 ELSE revision END FROM ("
+    "SELECT f.d, s.n, f.v, f.c, f.p, f.r, f.revision, s.v AS nv, s.c AS nc, s.p AS np, s.r AS nr, s.able AND (f.v IS NULL OR f.c IS DISTINCT FROM s.c OR s.p > f.p OR (s.p = f.p AND s.r > f.r)) AS goes FROM f JOIN s ON s.d = f.d AND s.n = f.n + 1)) "
+    "SELECT d AS o_custkey, v AS version_id, revision FROM f WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY d ORDER BY n DESC) = 1"
+)
 def authority_advance(spark, sf):
-    results = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("version_id"), (F.col("o_orderkey") % 5).alias("processor_version"), (F.col("o_orderkey") % 3).alias("rule_version"))
-    return inventory.advance_authority(results, ["o_custkey"], F.col("version_id"))
+    """Orders as results for customers in the order of their dates: the status is the content; every fourth is a Markdown result."""
+    named = table(spark, sf, "customer").select("c_custkey", F.expr(_NAMES.replace("doc_id", "c_custkey")).alias("filename"))
+    chosen = inventory.preferred_definition(named, _inline(spark, processors.DEFINITIONS, "match_kind string, match string, processor_id string, extraction_rule_id string"))
+    results = table(spark, sf, "orders").join(chosen, F.col("o_custkey") == F.col("c_custkey"))
+    by = lambda given, own: F.when(F.col("o_orderkey") % 4 == 0, given).otherwise(F.col(own))
+    preferred = (by("markdown", "processor_id") == F.col("processor_id")) & (by("markdown-blocks", "extraction_rule_id") == F.col("extraction_rule_id"))
+    rows = results.withColumns({"p": F.col("o_orderkey") % 5, "r": F.col("o_orderkey") % 3})
+    return authority.fold_results(rows, "o_custkey", ["o_orderdate", "o_orderkey"], preferred, "o_orderstatus", ("p", "r"), "o_orderkey").withColumnRenamed("document", "o_custkey")
 
 
 @query("SELECT source, CAST(length(text) % 50 AS BIGINT) AS slot, count(*) AS results, count(DISTINCT sha256(text)) > 1 AS conflict FROM documents WHERE text IS NOT NULL GROUP BY 1, 2")
@@ -125,16 +141,29 @@ def idempotent_replay(spark, sf):
     return inventory.replay(both, "event_id", "h")
 
 
-@query("SELECT source, CAST(doc_id // 100 AS BIGINT) AS chunk_id, count(*) AS n_items, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id || ':' || sha256(text))) AS checksum FROM documents WHERE text IS NOT NULL GROUP BY 1, 2")
+@query(
+    """SELECT source, CAST(doc_id // 100 AS BIGINT) AS chunk_id, count(*) AS n_items, sha256('{"documents":[' || string_agg('{"extension":".txt","fingerprint":"' || sha256(text) || '","path":"docs/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '","sizeBytes":' || strlen(text) || '}', ',' ORDER BY doc_id) || '],"repositories":[]}') AS checksum """
+    "FROM documents WHERE text IS NOT NULL GROUP BY 1, 2"
+)
 def collection_checksum(spark, sf):
-    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("source", F.floor(F.col("doc_id") / 100).alias("chunk_id"), F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("item"))
-    return inventory.collection_checksum(docs, ["source", "chunk_id"], F.col("item"))
+    """Chunks of a hundred documents with the checksum of their canonical JSON, by path."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL")
+    path = F.concat(F.lit("docs/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    items = docs.select("source", F.floor(F.col("doc_id") / 100).alias("chunk_id"), path.alias("path"), fn.fingerprint(F.col("text")).alias("fingerprint"), F.octet_length("text").alias("sizeBytes"), F.lit(".txt").alias("extension"))
+    item = canonical.row_json(items, path="path", fingerprint="fingerprint", sizeBytes="sizeBytes", extension="extension")
+    return items.groupBy("source", "chunk_id").agg(F.count("*").alias("n_items"), canonical.list_hash(item, F.col("path"), "documents", repositories=F.lit("[]")).alias("checksum"))
 
 
-@query("SELECT source, doc_id, CAST(floor(coalesce(sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 65536) AS INTEGER) AS chunk FROM documents WHERE text IS NOT NULL")
+@query(
+    "WITH RECURSIVE d AS (SELECT source, doc_id, strlen(text) + 1 AS cost FROM documents WHERE text IS NOT NULL), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM d WHERE cost <= 65024), "
+    "g AS (SELECT source, doc_id, n, cost AS held, CAST(0 AS BIGINT) AS chunk FROM k WHERE n = 1 UNION ALL SELECT k.source, k.doc_id, k.n, CASE WHEN g.held + k.cost > 65024 THEN k.cost ELSE g.held + k.cost END, "
+    "CASE WHEN g.held + k.cost > 65024 THEN g.chunk + 1 ELSE g.chunk END FROM g JOIN k ON k.source IS NOT DISTINCT FROM g.source AND k.n = g.n + 1) "
+    "SELECT source, doc_id, chunk, false AS rejected FROM g UNION ALL SELECT source, doc_id, NULL, true FROM d WHERE cost > 65024"
+)
 def transfer_chunks(spark, sf):
+    """Documents of each source in chunks of at most 64 KiB with an envelope of 512 bytes; larger documents are rejected."""
     docs = table(spark, sf, "documents").where("text IS NOT NULL").select("source", "doc_id", F.octet_length("text").alias("bytes"))
-    return inventory.plan_chunks(docs, "source", "doc_id", F.col("bytes"), 65536).select("source", "doc_id", "chunk")
+    return chunks.plan_chunks(docs, "source", ["doc_id"], F.col("bytes"), 65536, 512).drop("bytes")
 
 
 _PATH = "regexp_replace(url, '^[a-z]+://', '')"
@@ -294,23 +323,31 @@ def version_append(spark, sf):
     return reconcile.append_versions(current, reconcile_upsert(spark, sf), "key")
 
 
-@query(sql("SELECT publication_id, CAST(sum(n) AS BIGINT) AS members, sha256(string_agg(r, '' ORDER BY part)) AS content_hash FROM (SELECT publication_id, left(sha256(relationship_id), 3) AS part, count(*) AS n, sha256(string_agg(sha256(CAST(n_lines AS VARCHAR)), '' ORDER BY relationship_id)) AS r FROM prel GROUP BY 1, 2) GROUP BY 1", "prel"))
+_CONTENT = """e AS (SELECT publication_id, string_agg('{"id":"' || entity_id || '","name":"' || name || '","type":"' || type || '"}', ',' ORDER BY entity_id) AS j, count(*) AS n FROM pent GROUP BY 1),
+ r AS (SELECT publication_id, string_agg('{"id":"' || relationship_id || '","lines":' || n_lines || ',"source":"' || source_id || '","target":"' || target_id || '"}', ',' ORDER BY relationship_id) AS j, count(*) AS n FROM prel GROUP BY 1)"""
+
+
+@query(_with("SELECT r.publication_id, e.n + r.n AS members, sha256('{\"entities\":[' || e.j || '],\"relationships\":[' || r.j || '],\"schemaVersion\":2}') AS content_hash FROM e JOIN r ON e.publication_id = r.publication_id", _CONTENT, "pent"))
 def publication_hash(spark, sf):
-    return reconcile.publication_hash(published_relationships(spark, sf), "publication_id", "relationship_id", F.col("n_lines").cast("string"))
+    """The content hash of every year's graph: entities and relationships by id in one canonical object."""
+    edges = published_relationships(spark, sf)
+    return reconcile.publication_hash(reconcile.content_rows(published_entities(spark, sf), edges, "publication_id", {"id": "entity_id", "name": "name", "type": "type"}, {"id": "relationship_id", "source": "source_id", "target": "target_id", "lines": "n_lines"}), "publication_id")
 
 
-_MODELS = "m AS (SELECT publication_id, source_id AS model_id, relationship_id AS k, sha256(CAST(n_lines AS VARCHAR)) AS h FROM prel WHERE publication_id IN (1996, 1997)), g AS (SELECT publication_id, model_id, left(sha256(k), 3) AS part, count(*) AS n, sha256(string_agg(h, '' ORDER BY k)) AS r FROM m GROUP BY 1, 2, 3), t AS (SELECT publication_id, model_id, CAST(sum(n) AS BIGINT) AS members, sha256(string_agg(r, '' ORDER BY part)) AS content_hash FROM g GROUP BY 1, 2), b AS (SELECT * FROM t WHERE publication_id = 1996), a AS (SELECT * FROM t WHERE publication_id = 1997 UNION ALL SELECT 1997, model_id, members, content_hash FROM b WHERE model_id LIKE '%3')"
+_MODELS = """m AS (SELECT publication_id, source_id AS model_id, count(*) AS members, sha256('{"entities":[],"relationships":[' || string_agg('{"id":"' || relationship_id || '","lines":' || n_lines || '}', ',' ORDER BY relationship_id) || '],"schemaVersion":2}') AS content_hash FROM prel WHERE publication_id IN (1996, 1997) GROUP BY 1, 2),
+ b AS (SELECT * FROM m WHERE publication_id = 1996), a AS (SELECT * FROM m WHERE publication_id = 1997)"""
 
 
 @query(_with("SELECT a.model_id, CASE WHEN b.model_id IS NULL THEN 1 ELSE 5 END AS version, a.members, a.content_hash FROM a LEFT JOIN b ON a.model_id = b.model_id WHERE a.content_hash IS DISTINCT FROM b.content_hash AND a.model_id NOT LIKE '%3'", _MODELS, "prel"))
 def publish_step(spark, sf):
     """Each supplier's edges of 1997 against its publication of 1996; those ending in 3 did not change."""
-    rows = published_relationships(spark, sf).withColumnRenamed("source_id", "model_id").withColumn("content", F.col("n_lines").cast("string"))
+    rows = published_relationships(spark, sf).withColumnRenamed("source_id", "model_id")
+    content = lambda edges: reconcile.content_rows(None, edges, "model_id", {}, {"id": "relationship_id", "lines": "n_lines"})
     before = rows.where("publication_id = 1996")
     now = rows.where("publication_id = 1997 AND model_id NOT LIKE '%3'").unionByName(before.where("model_id LIKE '%3'"))
-    last = reconcile.publication_hash(before, "model_id", "relationship_id", F.col("content")).select("model_id", F.lit(4).alias("version"), "content_hash")
+    last = reconcile.publication_hash(content(before), "model_id").select("model_id", F.lit(4).alias("version"), "content_hash")
     older = last.select("model_id", F.lit(3).alias("version"), F.lit("-").alias("content_hash"))
-    return reconcile.publish(now, older.unionByName(last), "model_id", "relationship_id", F.col("content"))
+    return reconcile.publish(content(now), older.unionByName(last), "model_id")
 
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0)")
@@ -446,11 +483,16 @@ def currency_details(spark, sf):
     return currency.details(rows, ("order", 100), 50, "STALE")
 
 
-@query(f"WITH {_SUPPORT} SELECT document_id % 16 AS bucket, count(*) AS n_items, CAST(sum(CAST(('0x' || sha256(document_id || '|' || CAST(is_present AS VARCHAR) || '|' || coalesce(CAST(cur AS VARCHAR), '-'))[1:15]) AS BIGINT)) AS VARCHAR) AS checksum FROM ptr GROUP BY 1")
+@query(
+    f"WITH {_SUPPORT}, b AS (SELECT ptr.document_id % 16 AS bucket, ptr.document_id AS d, '{{\"currentVersion\":' || CASE WHEN v.h IS NULL THEN 'null' ELSE '{{\"contentHash\":\"' || v.h || '\",\"documentId\":' || v.d || '}}' END || ',\"currentVersionId\":' || coalesce(CAST(cur AS VARCHAR), 'null') "
+    "|| ',\"documentId\":' || ptr.document_id || ',\"documentPresent\":' || CAST(is_present AS VARCHAR) || ',\"revision\":' || ptr.document_id % 5 || '}' AS j FROM ptr LEFT JOIN v ON v.version_id = cur) "
+    "SELECT bucket, count(*) AS documents, sha256('{\"documents\":[' || string_agg(j, ',' ORDER BY d) || '],\"schemaVersion\":1}') AS basis_hash FROM b GROUP BY 1"
+)
 def currency_basis(spark, sf):
-    _, pointers, _ = _support(spark, sf)
-    rows = pointers.select((F.col("document_id") % 16).alias("bucket"), F.col("document_id").cast("string").alias("document_id"), "is_present", F.col("current_version_id").cast("string").alias("current_version_id"))
-    return currency.basis(rows, "bucket")
+    """What the classification of 16 groups of documents rests on."""
+    _, pointers, versions = _support(spark, sf)
+    rows = pointers.withColumns({"group": F.col("document_id") % 16, "revision": F.col("document_id") % 5})
+    return currency.basis(rows, versions, "group").withColumnRenamed("group", "bucket")
 
 
 # ---------------------------------------------------------------- search
