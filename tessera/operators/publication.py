@@ -27,19 +27,56 @@ def latest(publications: DataFrame, model: str = "model_id", version: str = "ver
     return publications.groupBy(model).agg(F.max_by("publication_id", version).alias("publication_id"), F.max(version).alias(version))
 
 
-def integrity_violations(entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """(publication_id, object_id, problem): members listed twice, edges whose ends are not
-    published, self edges.  Sound publications give no rows."""
-    twice = entities.groupBy("publication_id", F.col("entity_id").alias("object_id")).count().where("count > 1")
-    out = twice.select("publication_id", "object_id", F.lit("duplicate-entity").alias("problem"))
-    again = relationships.groupBy("publication_id", F.col("relationship_id").alias("object_id")).count().where("count > 1")
-    out = out.unionByName(again.select("publication_id", "object_id", F.lit("duplicate-relationship").alias("problem")))
-    known = entities.select("publication_id", F.col("entity_id").alias("end")).distinct()
-    for side in ("source_id", "target_id"):
-        lost = relationships.withColumn("end", F.col(side)).join(known, ["publication_id", "end"], "left_anti")
-        out = out.unionByName(lost.select("publication_id", F.col("relationship_id").alias("object_id"), F.lit(f"missing-{side[:-3]}").alias("problem")))
-    own = relationships.where("source_id = target_id")
-    return out.unionByName(own.select("publication_id", F.col("relationship_id").alias("object_id"), F.lit("self-edge").alias("problem")))
+def integrity_violations(entities: DataFrame, relationships: DataFrame, evidence: DataFrame | None = None, provenance: DataFrame | None = None, stored: DataFrame | None = None, hashes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(publication_id, object_id, problem) of unsound publications; sound ones give no rows.
+
+    Members listed twice, edges whose ends are not published and self edges are told of ``entities`` and ``relationships``.
+    With ``evidence`` (publication_id, object_id, evidence_id: what objects list) and ``provenance`` (the same and ``lineage``: what
+    describes it): evidence listed twice, described but not listed, listed but not described.  With ``stored`` (evidence_id,
+    lineage): provenance whose evidence is not stored or is stored with another lineage (object_id is the evidence).  With
+    ``hashes``, two tables of (publication_id, content_hash), declared and computed: publications whose hashes differ or of which one lacks.
+
+    Every statement is a tagged row; one aggregation, which combines before its shuffle, tells all faults.  Only keys found faulty meet
+    the edges again.
+    """
+    fact = lambda section, key, **counts: F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), *[F.lit(counts.get(c, 0)).alias(c) for c in ("said", "cited")], counts.get("text", F.lit(None)).cast("string").alias("text"))
+    rows = [entities.select("publication_id", fact("entity", F.col("entity_id"), said=1).alias("f"))]
+    edge = F.array(fact("relationship", F.col("relationship_id"), said=1), fact("entity", F.col("source_id"), cited=1), fact("entity", F.col("target_id"), cited=1))
+    rows.append(relationships.select("publication_id", F.explode(edge).alias("f")))
+    kind = rows[0].schema["publication_id"].dataType
+    pair = F.to_json(F.array(F.col("object_id").cast("string"), F.col("evidence_id").cast("string")))
+    if evidence is not None:
+        rows.append(evidence.select("publication_id", fact("evidence", pair, said=1).alias("f")))
+    if provenance is not None:
+        described = fact("evidence", pair, cited=1)
+        told = F.array(described, fact("lineage", F.col("evidence_id"), cited=1, text=F.col("lineage"))) if stored is not None else F.array(described)
+        rows.append(provenance.select("publication_id", F.explode(told).alias("f")))
+    if stored is not None:
+        rows.append(stored.select(F.lit(None).cast(kind).alias("publication_id"), fact("lineage", F.col("evidence_id"), said=1, text=F.col("lineage")).alias("f")))
+    if hashes is not None:
+        for table, tag in zip(hashes, ("said", "cited"), strict=True):
+            rows.append(table.select("publication_id", fact("hash", F.lit(""), text=F.col("content_hash"), **{tag: 1}).alias("f")))
+    # A lineage is the same for all publications, so its rows meet without one.
+    whose = F.when(F.col("f.section") != "lineage", F.col("publication_id"))
+    facts = reduce(DataFrame.unionByName, rows).select(whose.alias("publication_id"), "f.*")
+    found = facts.groupBy("publication_id", "section", "key").agg(F.sum("said").alias("said"), F.sum("cited").alias("cited"), F.min("text").alias("low"), F.max("text").alias("high"), F.count("text").alias("texts"))
+    section, said, cited = F.col("section"), F.col("said"), F.col("cited")
+    differs = (F.col("low") != F.col("high")) | (F.col("texts") < said + cited)
+    problem = (
+        F.when(section.isin("entity", "relationship") & (said > 1), F.concat(F.lit("duplicate-"), section))
+        .when((section == "entity") & (said == 0), "missing")
+        .when(section == "evidence", F.when(cited == 0, "evidence-not-described").when(said == 0, "evidence-not-listed").when(said > 1, "evidence-listed-twice"))
+        .when((section == "lineage") & (cited > 0), F.when(said == 0, "lineage-not-stored").when(differs, "lineage-different"))
+        .when(section == "hash", F.when((said == 0) | (cited == 0), "hash-missing").when(differs, "hash-different"))
+    )
+    faults = found.withColumn("problem", problem).where("problem IS NOT NULL").select("publication_id", "key", "problem")
+    object_id = F.when(F.startswith("problem", F.lit("evidence")), F.concat_ws("#", F.from_json("key", "array<string>"))).when(F.startswith("problem", F.lit("hash")), F.col("publication_id").cast("string")).otherwise(F.col("key"))
+    out = faults.where("problem <> 'missing'").select("publication_id", object_id.alias("object_id"), "problem")
+    lost = faults.where("problem = 'missing'").select("publication_id", F.col("key").alias("end"))
+    sides = F.explode(F.array(*[F.struct(F.col(f"{s}_id").cast("string").alias("end"), F.lit(f"missing-{s}").alias("problem")) for s in ("source", "target")]))
+    dangling = relationships.select("publication_id", F.col("relationship_id").cast("string").alias("object_id"), sides.alias("s")).select("publication_id", "object_id", "s.*").join(lost, ["publication_id", "end"], "left_semi")
+    own = relationships.where("source_id = target_id").select("publication_id", F.col("relationship_id").cast("string").alias("object_id"), F.lit("self-edge").alias("problem"))
+    return out.unionByName(dangling.select("publication_id", "object_id", "problem")).unionByName(own)
 
 
 def same_set(a: Column, b: Column) -> Column:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ancestors, extension, filename, fingerprint
+from .repositories import read_repositories
+
+__all__ = ["VersionedTable", "config_rows", "glob_regex", "matches_rules", "read_chunk", "read_files", "read_repositories"]
 
 
 def read_files(spark: SparkSession, root: str, extensions: list[str] | None = None, excluded_folders: tuple[str, ...] = (), max_bytes: int = 16 << 20) -> DataFrame:
@@ -36,37 +39,6 @@ def read_files(spark: SparkSession, root: str, extensions: list[str] | None = No
     )
 
 
-def read_repositories(spark: SparkSession, root: str, depth: int = 4) -> DataFrame:
-    """(path, head, fingerprint) of the git repositories at most ``depth`` folders below ``root``.
-
-    HEAD is followed to a loose ref, then to packed-refs; the fingerprint is the SHA-256 of path,
-    NUL and commit.  Spark's listing skips hidden folders, so the .git folders are named by glob.
-    """
-    jvm = spark._jvm
-    found = []
-    for level in range(depth + 1):
-        pattern = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/*" * level + "/.git")
-        fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-        for entry in fs.globStatus(pattern) or []:
-            names = [jvm.org.apache.hadoop.fs.Path(entry.getPath(), n) for n in ("HEAD", "packed-refs", "refs")]
-            found += [n.toString() for n in names if fs.exists(n)]
-    if not found:
-        return spark.createDataFrame([], "path string, head string, fingerprint string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(found)
-    inside = files.where(F.col("path").rlike(r"/\.git/(HEAD|packed-refs|refs/)")).select(
-        F.regexp_extract("path", r"^(?:[a-z]+:)?/*(/.*)/\.git/(.*)$", 1).alias("repo"),
-        F.regexp_extract("path", r"^(.*)/\.git/(.*)$", 2).alias("name"),
-        F.decode("content", "UTF-8").alias("text"),
-    )
-    heads = inside.where("name = 'HEAD'").select("repo", F.trim("text").alias("head"), F.regexp_extract("text", r"^ref:\s*(\S+)", 1).alias("ref"))
-    loose = inside.where("name LIKE 'refs/%'").select("repo", F.col("name").alias("ref"), F.trim("text").alias("loose"))
-    packed = inside.where("name = 'packed-refs'").select("repo", F.explode(F.split("text", "\n")).alias("line"))
-    packed = packed.select("repo", F.regexp_extract("line", r"^([0-9a-f]{40,64}) (\S+)", 2).alias("ref"), F.regexp_extract("line", r"^([0-9a-f]{40,64}) (\S+)", 1).alias("packed")).where("ref <> ''")
-    found = heads.join(loose, ["repo", "ref"], "left").join(packed, ["repo", "ref"], "left")
-    commit = F.when(F.col("ref") == "", F.col("head")).otherwise(F.coalesce(F.regexp_replace("loose", r"\s+$", ""), "packed"))
-    return found.select(F.col("repo").alias("path"), commit.alias("head"), F.sha2(F.concat("repo", F.lit("\x00"), F.coalesce(commit, F.lit(""))), 256).alias("fingerprint"))
-
-
 def glob_regex(pattern: str) -> str:
     """A discovery glob as a regular expression: ``**/`` any folders, ``**`` anything, ``*`` and ``?`` inside a segment."""
     out, i = "", 0
