@@ -5,12 +5,15 @@ hash of their id; MAX_WINDOWS windows of each class).  ``zstandard.train_diction
 windows of the toxic texts and on windows of the ordinary texts; words that only one or two texts
 of a class hold are left out, as no other text can be recognised by them.  Both compressors begin
 with one trained base of ordinary text, so they parse ordinary words alike, and end with what was
-trained on toxic or on further ordinary text, as many characters of each.
+trained on toxic text, without the words that ordinary text shares, or on further ordinary text, as
+many characters of each.
 
 A scored window is one word with its neighbouring blanks, each character written as a fixed
 four-byte code: a shared passage then saves several times the cost of a match.  Its distance is
-the length under the ordinary dictionary minus that under the toxic one; a logistic curve, fitted
-on texts that trained no dictionary, turns the numbers of windows beyond several cuts into a score.
+the length under the ordinary dictionary minus that under the toxic one; a logistic curve turns the
+numbers of windows beyond several cuts into a score.  The curve is fitted by cross-fitting: each half of the sample
+is measured with dictionaries trained on the other; texts are scored with those trained on all.
+Everything is ordered by hashes of ids and places, so a model depends on neither partitions nor reruns.
 
 All documents, whole texts, are scored; distances of frequent words are remembered per task.
 """
@@ -21,7 +24,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +37,11 @@ from .common import hash128, pack, settle, small_batches, unpack
 #: Bounds of the training sample, in rows of each class.
 MAX_TOXIC, MAX_ORDINARY = 6_000, 14_000
 #: Windows of each class that train a dictionary, words in one, and the word forms kept as recurring.
-MAX_WINDOWS, WINDOW, MAX_FORMS = 200_000, 2, 100_000
-#: A word must occur in so many sampled texts of its class to take part.
-RECURS = 3
+MAX_WINDOWS, WINDOW, MAX_FORMS = 200_000, 2, 60_000
+#: A word must occur in so many sampled texts of its class to take part, and in so many times the ordinary texts' share to count as toxic text's own.
+RECURS, MARKS = 3, 4
 #: Bytes of trained text in the common base and in the part of each class; segment and match length of the training.
-BASE_BYTES, CLASS_BYTES, SEGMENT, MATCH = 100_000, 16_384, 24, 6
+BASE_BYTES, CLASS_BYTES, SEGMENT, MATCH = 100_000, 16_384, 40, 8
 #: How much more a toxic text of the sample weighs when the curve is fitted.
 TOXIC_WEIGHT = 3.0
 #: Distances remembered per task.
@@ -154,51 +157,64 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # texts have the same words, or that share an id, one is learned from.
     same = hash128(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "))
     joined = joined.withColumns({"s1": same[0], "s2": same[1]}).groupBy("s1", "s2", "toxic").agg(F.min_by(F.struct("id", "text"), F.struct("id", "text")).alias("r")).select("r.*", "toxic")
-    rows = settle(joined.dropDuplicates(["id"]).select("id", "text", "toxic", words.alias("words"), (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2)) == 0).alias("first")))
+    joined = joined.groupBy("id").agg(F.min_by(F.struct("text", "toxic"), F.struct("text", "toxic")).alias("r")).select("id", "r.*")
+    rows = settle(joined.select("id", "text", "toxic", words.alias("words"), (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2)) == 0).alias("first")))
     counts = {(r.toxic, r.first): r.n for r in rows.groupBy("toxic", "first").agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_ordinary = counts.get((True, True), 0), counts.get((False, True), 0)
     positives, everything = sum(n for (t, _), n in counts.items() if t), sum(counts.values())
     share = positives / everything if everything else 0.0
-    if not (n_toxic and n_ordinary and counts.get((True, False)) and counts.get((False, False))):
+    if len(counts) < 4:
         return {"prior": share}
-    learn = rows.where("first")
-    forms = learn.select("toxic", F.explode("words").alias("w")).groupBy("toxic", "w").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS)
-    # At most MAX_FORMS words of each class, the most frequent ones, so they may go to every task.
-    recurring = {c: {r.w for r in forms.where(F.col("toxic") == c).orderBy(F.desc("n"), "w").limit(MAX_FORMS).collect()} for c in (True, False)}
+    # Three sets of training texts: either half, and all.
+    of_set = {"first": F.col("first"), "second": ~F.col("first"), "all": F.lit(True)}
+    sets = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in of_set.items()]))
+    sizes = {(n, t): sum(k for (u, f), k in counts.items() if u == t and n in ("all", "first" if f else "second")) for n in of_set for t in (True, False)}
+    size = F.create_map(*[F.lit(x) for (n, t), k in sizes.items() for x in (f"{n}{t}", k)])
+    forms = rows.select(F.explode(sets).alias("set"), "toxic", F.explode("words").alias("w")).groupBy("set", "w").agg(*[F.count_if(c).alias(n) for n, c in (("t", F.col("toxic")), ("o", ~F.col("toxic")))])
+    rate = lambda n, t: F.col(n) / size[F.concat("set", F.lit(str(t)))]
+    parts = {
+        "ordinary": (F.col("o") >= RECURS, F.col("o")),
+        "toxic": ((F.col("t") >= RECURS) & (rate("t", True) > MARKS * rate("o", False)), F.col("t")),
+    }
+    forms = settle(forms.where((F.col("t") >= RECURS) | (F.col("o") >= RECURS)))
+    # At most MAX_FORMS words a set and part, the most frequent ones, so they may go to every task.
+    kept = {(n, part): {r.w for r in forms.where((F.col("set") == n) & test).orderBy(many.desc(), "w").limit(MAX_FORMS).collect()} for n in of_set for part, (test, many) in parts.items()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, windows = [], []
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = [w for w in _WORD.findall(text.lower()) if w in recurring[toxic]]
-                made = [f" {' '.join(words[i : i + WINDOW])} " for i in range(0, len(words), WINDOW)]
-                windows += made
-                classes += [toxic] * len(made)
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.bool_()), pa.array(windows, pa.string())], names=["toxic", "window"])
-
-    cuts = settle(learn.select("toxic", "text").mapInArrow(cut, "toxic boolean, window string").withColumn("h", F.xxhash64("window", F.monotonically_increasing_id())))
-
-    def of_class(toxic: bool) -> DataFrame:
-        return cuts.where(F.col("toxic") == toxic).orderBy("h", "window").limit(MAX_WINDOWS)
-
-    sizes = {"toxic": CLASS_BYTES, "base": BASE_BYTES, "contrast": CLASS_BYTES}
+            out: list[tuple] = []
+            for row, toxic, text, names in zip(*[batch.column(n).to_pylist() for n in ("row", "toxic", "text", "sets")], strict=True):
+                found = _WORD.findall(text.lower())
+                part = "toxic" if toxic else "ordinary"
+                for name in names:
+                    some = [w for w in found if w in kept[name, part]]
+                    out += [(name, part, row, i, f" {' '.join(some[i : i + WINDOW])} ") for i in range(0, len(some), WINDOW)]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["set", "part", "row", "place", "window"])
+
+    small_batches(rows.sparkSession)
+    cuts = rows.select(F.xxhash64("id").alias("row"), "toxic", "text", sets.alias("sets")).mapInArrow(cut, "set string, part string, row long, place long, window string")
+    cuts = settle(cuts.select("set", "part", F.xxhash64("row", "place").alias("h"), "window"))
+    bytes_of = {"toxic": CLASS_BYTES, "base": BASE_BYTES, "contrast": CLASS_BYTES}
 
     def train(key: tuple, table: pa.Table) -> pa.Table:
         """One dictionary from at most MAX_WINDOWS windows, inside a task."""
         windows = [w for _, w in sorted(zip(table.column("h").to_pylist(), table.column("window").to_pylist(), strict=True))]
-        part = key[0].as_py()
-        return pa.table({"part": [part], "text": [trained_text(windows, sizes[part])]})
+        name, part = (k.as_py() for k in key)
+        return pa.table({"set": [name], "part": [part], "text": [trained_text(windows, bytes_of[part])]})
 
+    chosen = [cuts.where((F.col("set") == n) & (F.col("part") == part)).orderBy("h", "window").limit(MAX_WINDOWS) for n in of_set for part in parts]
     # Ordinary windows train the base and the ordinary part by turns of their hash.
-    other = of_class(False).withColumn("part", F.when(F.pmod("h", F.lit(2)) == 0, "base").otherwise("contrast"))
-    windows = other.unionByName(of_class(True).withColumn("part", F.lit("toxic"))).select("part", "h", "window")
-    texts = {r.part: r.text for r in windows.groupBy("part").applyInArrow(train, "part string, text string").collect()}
-    model = {**{name: texts.get(name, "") for name in sizes}, "prior": share}
-    measured = _measure(rows.where("not first").select("toxic", "text"), model).collect()
+    part = F.when(F.col("part") == "toxic", "toxic").when(F.pmod("h", F.lit(2)) == 0, "base").otherwise("contrast")
+    windows = reduce(DataFrame.unionByName, chosen).withColumn("part", part)
+    texts = {(r.set, r.part): r.text for r in windows.groupBy("set", "part").applyInArrow(train, "set string, part string, text string").collect()}
+    models = {n: {part: texts.get((n, part), "") for part in bytes_of} for n in of_set}
+    measured = []
+    for name, other in (("first", ~F.col("first")), ("second", F.col("first"))):
+        measured += _measure(rows.where(other).select("id", "toxic", "text"), models[name]).select(F.xxhash64("id").alias("h"), "toxic", "features").collect()
+    measured.sort(key=lambda r: (r.h, r.features))
     x = np.array([r.features for r in measured], float)
     y = np.array([r.toxic for r in measured], float)
-    model["curve"] = _logistic(x, y).tolist()
-    return model
+    return {**models["all"], "prior": share, "curve": _logistic(x, y).tolist()}
 
 
 @lru_cache(maxsize=1)

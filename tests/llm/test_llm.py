@@ -152,6 +152,22 @@ def test_toxicity_null_ids_and_repeated_labels(spark):
     assert [r.h for r in docs.where("doc_id IS NULL").select(toxicity.is_held_out(F.col("doc_id")).alias("h")).collect()] == [False]
 
 
+def test_toxicity_is_the_same_for_any_partitioning(spark):
+    docs = spark.createDataFrame(toxic_rows(), DOCS)
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    before, coalesce = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.adaptive.coalescePartitions.enabled"
+    models = []
+    try:
+        spark.conf.set(coalesce, "false")
+        for parts in (1, 4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            models.append(toxicity.fit(docs.repartition(parts), labels.repartition(8 - parts)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(coalesce)
+    assert models[0] == models[1] == models[2] and "curve" in models[0]
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.fit(documents(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(odd(spark), model).collect()} == {0.0}
