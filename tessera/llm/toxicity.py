@@ -37,7 +37,7 @@ from .common import hash128, pack, settle, small_batches, unpack
 #: Bounds of the training sample, in rows of each class.
 MAX_TOXIC, MAX_ORDINARY = 6_000, 14_000
 #: Windows of each class that train a dictionary, words in one, and the word forms kept as recurring.
-MAX_WINDOWS, WINDOW, MAX_FORMS = 200_000, 2, 60_000
+MAX_WINDOWS, WINDOW, MAX_FORMS = 100_000, 2, 60_000
 #: A word must occur in so many sampled texts of its class to take part, and in so many times the ordinary texts' share to count as toxic text's own.
 RECURS, MARKS = 3, 4
 #: Bytes of trained text in the common base and in the part of each class; segment and match length of the training.
@@ -45,7 +45,9 @@ BASE_BYTES, CLASS_BYTES, SEGMENT, MATCH = 100_000, 16_384, 40, 8
 #: How much more a toxic text of the sample weighs when the curve is fitted.
 TOXIC_WEIGHT = 3.0
 #: Distances remembered per task.
-CACHE = 100_000
+CACHE = 300_000
+#: How both compressors search: optimal parsing, by strategy, in which a match of four characters ends a search.
+PARAMETERS = {"window_log": 20, "hash_log": 19, "chain_log": 19, "search_log": 7, "min_match": 4, "target_length": 16, "write_checksum": 0, "write_content_size": 0, "write_dict_id": 0}
 _WORD = re.compile(r"[^\W_]+")
 _CUTS = (4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16)
 #: The end of a trained dictionary's tables: its three repeat offsets, before the content.
@@ -83,10 +85,7 @@ class Distance:
         length = min(len(toxic), len(contrast))
         start = self.expand(base)
         ends, other = self.expand(toxic[len(toxic) - length :]), self.expand(contrast[len(contrast) - length :])
-        params = zs.ZstdCompressionParameters(
-            window_log=20, hash_log=19, chain_log=20, search_log=9, min_match=4, target_length=64,
-            strategy=zs.STRATEGY_BTOPT, write_checksum=0, write_content_size=0, write_dict_id=0,
-        )
+        params = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_BTOPT, **PARAMETERS)
         self._lengths = []
         for end in (other, ends):
             words = zs.ZstdCompressionDict(start + end or b"\0" * 8, dict_type=zs.DICT_TYPE_RAWCONTENT)

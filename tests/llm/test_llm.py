@@ -130,9 +130,7 @@ def test_toxicity_scores_equal_plain_python(spark):
     assert "blighter" in model["toxic"] and "blighter" not in model["base"] + model["contrast"]
     code = lambda t: b"".join(hashlib.md5(c.encode()).digest()[:4] for c in t)
     n = min(len(model["toxic"]), len(model["contrast"]))
-    params = zs.ZstdCompressionParameters(
-        window_log=20, hash_log=19, chain_log=20, search_log=9, min_match=4, target_length=64, strategy=zs.STRATEGY_BTOPT, write_checksum=0, write_content_size=0, write_dict_id=0
-    )
+    params = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_BTOPT, **toxicity.PARAMETERS)
     ways = []
     for end in (model["contrast"], model["toxic"]):
         ways.append(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(code(model["base"] + end[len(end) - n :]), dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=params))
