@@ -125,12 +125,14 @@ def tree_hash(members: DataFrame, group: str, key: str, content: Column, digits:
     return ranges.groupBy(group).agg(F.sum("n").alias("members"), joined("range", "r").alias("content_hash"))
 
 
-def publish(members: DataFrame, previous: DataFrame, model: str) -> DataFrame:
+def publish(members: DataFrame, previous: DataFrame, model: str, key: str | None = None, content: Column | None = None) -> DataFrame:
     """The publications that a step adds: (model, version, members, content_hash).
 
-    ``members`` are ``content_rows``.  A model is published only if its content hash differs from that of its latest publication in
+    ``members`` are ``content_rows``, or, with ``key`` and ``content``, rows that count as relationships of that id and content.  A model is published only if its content hash differs from that of its latest publication in
     ``previous`` (model, version, content_hash); its version is the latest one plus one, or 1.
     """
+    if key is not None:
+        members = content_rows(None, members.select(model, key, content.alias("content")), model, {}, {"id": key, "content": "content"})
     last = previous.groupBy(model).agg(F.max_by(F.struct("version", "content_hash"), "version").alias("_last"))
     now = publication_hash(members, model).join(last, model, "left")
     changed = now.where(~F.col("content_hash").eqNullSafe(F.col("_last.content_hash")))
