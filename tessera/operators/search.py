@@ -74,6 +74,26 @@ def search(projection: DataFrame, query: str, how: str = "contains", field: str
     return page(projection.where(match(F.col(field), query, how)), key, after, limit)
 
 
+def search_entities(
+    projection: DataFrame, query: str | None = None, how: str = "contains", types: list[str] | None = None, statuses: list[str] | None = None, publication: object = None, after: str | None = None, limit: int = 50,
+) -> DataFrame:
+    """A page of projected entities by publication, type, status and a text in the normalised name; without a query all match.
+
+    An empty list of types or statuses is an error: it could only find nothing.
+    """
+    from .publication import page
+
+    wanted = [F.col("publication_id") == F.lit(publication)] if publication is not None else []
+    for column, given in (("type", types), ("status", statuses)):
+        if given is not None:
+            if not given or not all(isinstance(g, str) and g for g in given):
+                raise ValueError(f"{column} filters must be non-empty texts")
+            wanted.append(F.col(column).isin(*given))
+    if query is not None:
+        wanted.append(match(F.col("name_normalized"), query, how))
+    return page(projection, "entity_id", after, limit, wanted)
+
+
 def search_text(subjects: DataFrame, term_rows: DataFrame, keys: list[str], query: str, how: str = "exact") -> DataFrame:
     """Subjects with a matching term: exact and prefix look at single terms."""
     return subjects.join(term_rows.where(match(F.col("term"), query, how)), keys, "left_semi")

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_dir
-from ..operators import diff_store, publication
-from .queries import _with, query
+from ..operators import diff_store, publication, search
+from .queries import _PROJECTED, _projection, _with, query
 from .roles import published_entities, published_relationships, table
 
 # ---------------------------------------------------------------- integrity
@@ -82,3 +82,12 @@ def diff_store_repair(spark, sf):
     damaged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("from_id", "to_id").parquet(path)
     state = diff_store.settle(store.verified().select("from_id", "to_id", "state"))
     return state.join(store.save(pairs).select("from_id", "to_id", "action"), ["from_id", "to_id"])
+
+
+# ---------------------------------------------------------------- search
+
+
+@query(_with("SELECT * FROM proj WHERE publication_id = 1996 AND type IN ('part', 'supplier') AND contains(name_normalized, 'e') AND entity_id > 'part:1' ORDER BY entity_id LIMIT 31", _PROJECTED, "pent"))
+def search_entities_filtered(spark, sf):
+    """A page of a year's entities by type and a text in the name."""
+    return search.search_entities(_projection(spark, sf), "E", types=["part", "supplier"], publication=1996, after="part:1", limit=30)

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import diff_store, publication
+from tessera.operators import diff_store, publication, search
 from tessera.sources import read_repositories
 from tessera.sources.repositories import fingerprint_of
 
@@ -108,3 +108,13 @@ def test_differences_are_reused_replaced_and_verified(spark, tmp_path):
     assert [r.diff_id for r in page + rest] == sorted(i for i, _ in mended.values())
     with pytest.raises(ValueError):
         kept.comparisons("1", limit=102)
+
+
+def test_entities_by_type_status_and_name(spark):
+    rows = spark.createDataFrame([(1, "a", "api", "active", "alpha"), (1, "b", "module", "active", "beta"), (1, "c", "api", "stale", "alphabet"), (2, "a", "api", "active", "alpha")], "publication_id long, entity_id string, type string, status string, name_normalized string")
+    ids = lambda **given: [r.entity_id for r in search.search_entities(rows, publication=1, **given).collect()]
+    assert ids() == ["a", "b", "c"] and ids(types=["api"]) == ["a", "c"] and ids(types=["api"], statuses=["active"]) == ["a"]
+    assert ids(query="ALPHA", how="prefix") == ["a", "c"] and ids(query="alpha", how="exact") == ["a"] and ids(after="a", limit=1) == ["b", "c"]
+    for given in ({"types": []}, {"statuses": [""]}, {"query": ""}, {"limit": 0}):
+        with pytest.raises(ValueError):
+            ids(**given)
