@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import checks, graphs, intake, streams, transfer  # noqa: F401  (they register their queries)
+from .plans import checks, graphs, intake, reads, streams, transfer  # noqa: F401  (they register their queries)
 from .plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
