@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from ..functions.canonical import object_hash, row_json
 STATES = ("CURRENT", "UNKNOWN", "STALE")
 #: Fixed value: the schema version inside a basis.
 BASIS_VERSION = 1
+CURSOR_KIND = "publication-currency"
 
 
 def classify_support(support: DataFrame, pointers: DataFrame, versions: DataFrame) -> DataFrame:
@@ -59,6 +64,50 @@ def details(objects: DataFrame, after: tuple[str, str] | None = None, limit: int
     return objects.orderBy("object_type", "object_id").limit(limit + 1)
 
 
+class BasisChanged(ValueError):
+    """The current versions moved between two pages: the listing must start again."""
+
+
+def details_page(objects: DataFrame, publication_id: str, basis_hash: str, cursor: str | None = None, object_type: str | None = None, state: str | None = None, limit: int = 50) -> DataFrame:
+    """A page of a publication's objects by type and id with one row more, and for each row the ``cursor`` that goes on after it.
+
+    A cursor holds the publication, the filters and the ``basis_hash`` that it was made under.  A cursor that is not well formed or
+    belongs to another publication or other filters is an error, one of another basis ``BasisChanged``.
+    """
+    from .presentation import encode_cursor
+
+    if state is not None and state not in STATES:
+        raise ValueError(f"state must be one of {STATES}")
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be within 1 and 100")
+    scope = {"version": 1, "kind": CURSOR_KIND, "publicationId": publication_id, **{k: v for k, v in (("objectType", object_type), ("state", state)) if v is not None}}
+    if object_type is not None:
+        objects = objects.where(F.col("object_type") == object_type)
+    if state is not None:
+        objects = objects.where(F.col("state") == state)
+    if cursor is not None:
+        last_type, last_id = _after(cursor, scope, basis_hash)
+        objects = objects.where((F.col("object_type") > last_type) | ((F.col("object_type") == last_type) & (F.col("object_id") > F.lit(last_id))))
+    at = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in scope.items()], F.lit(basis_hash).alias("currencyBasisHash"), F.col("object_type").alias("afterObjectType"), F.col("object_id").alias("afterId")))
+    return objects.orderBy("object_type", "object_id").limit(limit + 1).withColumn("cursor", encode_cursor(at))
+
+
+def _after(cursor: str, scope: dict, basis_hash: str) -> tuple[str, object]:
+    """Where a cursor of this scope goes on."""
+    try:
+        text = base64.b64decode(cursor + "=" * (-len(cursor) % 4), altchars=b"-_", validate=True)
+        found = json.loads(text)
+    except (binascii.Error, ValueError) as error:
+        raise ValueError("the cursor is not well formed") from error
+    if base64.urlsafe_b64encode(text).rstrip(b"=").decode() != cursor or not isinstance(found, dict) or set(found) != {*scope, "currencyBasisHash", "afterObjectType", "afterId"}:
+        raise ValueError("the cursor is not well formed or of other filters")
+    if any(found[k] != v for k, v in scope.items()):
+        raise ValueError("the cursor belongs to another listing")
+    if found["currencyBasisHash"] != basis_hash:
+        raise BasisChanged("the current versions changed since the page before; start again")
+    return found["afterObjectType"], found["afterId"]
+
+
 def basis(pointers: DataFrame, versions: DataFrame, group: str) -> DataFrame:
     """(group, documents, basis_hash): what the classification of each group of documents rests on.
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import object_hash, row_json
+from ..functions.canonical import object_hash, row_json, stable_json
 
 #: Lifecycle states that a publication leaves out.
 RETIRED = ("superseded", "rejected")
@@ -27,6 +27,31 @@ def merge_candidates(candidates: DataFrame, key: str) -> DataFrame:
     )
 
 
+def merge_provenance(candidates: DataFrame, key: str, provenance: str = "provenance") -> tuple[DataFrame, DataFrame]:
+    """(described, conflicts): what describes each evidence of each key, one row for each, and evidence described in different ways.
+
+    ``provenance`` is an array of structs with ``evidence_id``; descriptions are the same if their canonical JSON is.  Equal ones
+    become one before the shuffle, so a key that many candidates share is not gathered.  A null list describes nothing.
+    """
+    rows = candidates.select(key, F.explode(provenance).alias("p"))
+    told = rows.select(key, F.col("p.evidence_id").alias("evidence_id"), "p", F.sha2(stable_json(F.col("p"), rows.schema["p"].dataType), 256).alias("h"))
+    found = told.groupBy(key, "evidence_id").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.any_value("p").alias(provenance))
+    return found.where("low = high").select(key, "evidence_id", provenance), found.where("low <> high").select(key, "evidence_id")
+
+
+def merge_described(candidates: DataFrame, key: str, provenance: str = "provenance") -> tuple[DataFrame, DataFrame]:
+    """(merged, conflicts): ``merge_candidates`` with the union of provenance, ordered by evidence; keys with a conflict are left out.
+
+    Keys without any provenance get an empty list.
+    """
+    described, conflicts = merge_provenance(candidates, key, provenance)
+    by_evidence = lambda x, y: F.when(x["evidence_id"] < y["evidence_id"], -1).when(x["evidence_id"] > y["evidence_id"], 1).otherwise(0)
+    lists = described.groupBy(key).agg(F.array_sort(F.collect_list(provenance), by_evidence).alias(provenance))
+    sound = merge_candidates(candidates, key).join(conflicts.select(key).distinct(), key, "left_anti").join(lists, key, "left")
+    none = F.array().cast(f"array<{described.schema[provenance].dataType.simpleString()}>")
+    return sound.withColumn(provenance, F.coalesce(provenance, none)), conflicts
+
+
 def provenance_conflicts(provenance: DataFrame, keys: list[str], content: str) -> DataFrame:
     """Keys whose evidence is described in more than one way."""
     return provenance.groupBy(*keys).agg(F.count_distinct(content).alias("variants")).where("variants > 1")

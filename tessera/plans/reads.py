@@ -1,4 +1,4 @@
-"""Queries of published journeys and of merged candidates, each with its DuckDB SQL.
+"""Queries of published journeys, currency pages, merged provenance and guarded upserts, each with its DuckDB SQL.
 
 Every document stands for a journey of one of four publications: its lines are the steps, and some of the
 models are damaged in the ways that a read must tell.
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import journeys
-from .queries import query
+from ..operators import currency, journeys, presentation, reconcile, upserts
+from .queries import _SUPPORT, currency_basis, currency_states, query
 from .roles import table
 
 _PARTS = """SELECT doc_id, doc_id % 4 AS publication_id, 'journey:' || doc_id AS entity_id, CASE WHEN doc_id % 17 = 0 THEN sha256('shared') ELSE sha256(CAST(doc_id AS VARCHAR)) END AS journey_id, 'J' || doc_id AS name,
@@ -96,3 +96,52 @@ def journey_compact(spark, sf):
     about = lambda e: F.concat(F.coalesce(e["entityId"], e["entityKey"]), F.lit("@"), F.coalesce(e["publicationId"], F.lit("")))
     subjects = F.array_join(F.transform("step_preview", lambda s: about(s["subject"])), ",")
     return seen.select("publication_id", "journey_entity_id", "step_count", "steps_truncated", F.sha2(F.array_join(line, "\n"), 256).alias("shown_sha256"), subjects.alias("subjects"), "evidence_count", "diagnostic_count", F.array_join(F.transform("entity_references", about), ",").alias("reference"))
+
+
+# ---------------------------------------------------------------- currency
+
+
+@query(f"WITH {_SUPPORT} SELECT object_type, object_id, state, CAST(object_id AS VARCHAR) AS after_id, true AS same_basis FROM st WHERE state = 'STALE' ORDER BY object_id LIMIT 21 OFFSET 20")
+def currency_second_page(spark, sf):
+    """The second page of stale orders, reached by the cursor of the first, with the cursor that each row offers."""
+    basis = currency_basis(spark, sf).where("bucket = 3").first().basis_hash
+    rows = currency_states(spark, sf).select("object_type", "object_id", "state")
+    first = currency.details_page(rows, "p", basis, state="STALE", limit=20).collect()
+    second = currency.details_page(rows, "p", basis, first[19].cursor, state="STALE", limit=20)
+    said = presentation.decode_cursor(F.col("cursor"))
+    return second.select("object_type", "object_id", "state", F.get_json_object(said, "$.afterId").alias("after_id"), (F.get_json_object(said, "$.currencyBasisHash") == basis).alias("same_basis"))
+
+
+# ---------------------------------------------------------------- candidates
+
+_DESCRIBED = """e AS (SELECT l_partkey AS k, 'o' || (l_orderkey % 3000) AS e, min(l_returnflag || l_linestatus) AS lo, max(l_returnflag || l_linestatus) AS hi FROM lineitem GROUP BY 1, 2),
+ m AS (SELECT k, string_agg(e || '=' || lo, ',' ORDER BY e) AS p, string_agg(e, ',' ORDER BY e) FILTER (lo <> hi) AS x FROM e GROUP BY 1)"""
+
+
+@query(f"WITH {_DESCRIBED} SELECT 'part:' || k AS entity_key, CASE WHEN x IS NULL THEN 'merged' ELSE 'conflict' END AS state, coalesce(x, p) AS evidence, (SELECT max(l_linenumber / 10.0) FROM lineitem WHERE l_partkey = k AND x IS NULL) AS confidence FROM m")
+def provenance_union(spark, sf):
+    """Parts with the union of what orders say of them; evidence said to be two things keeps a part back."""
+    line = F.struct(F.concat(F.lit("o"), (F.col("l_orderkey") % 3000).cast("string")).alias("evidence_id"), F.create_map(F.lit("flag"), "l_returnflag", F.lit("status"), "l_linestatus").alias("facts"))
+    rows = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("entity_key"), F.lit("part").alias("type"), F.lit("n").alias("name"), F.array(line["evidence_id"]).alias("evidence_ids"), (F.col("l_linenumber") / 10.0).alias("confidence"), F.array(line).alias("provenance"),
+    )
+    merged, conflicts = reconcile.merge_described(rows, "entity_key")
+    said = F.transform("provenance", lambda p: F.concat(p["evidence_id"], F.lit("="), p["facts"]["flag"], p["facts"]["status"]))
+    held = conflicts.groupBy("entity_key").agg(F.array_join(F.array_sort(F.collect_list("evidence_id")), ",").alias("evidence"))
+    return merged.select("entity_key", F.lit("merged").alias("state"), F.array_join(said, ",").alias("evidence"), "confidence").unionByName(held.select("entity_key", F.lit("conflict").alias("state"), "evidence", F.lit(None).cast("double").alias("confidence")))
+
+
+# ---------------------------------------------------------------- upserts
+
+
+@query(
+    "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL OR a.s IS NOT DISTINCT FROM b.s AND a.k IS NOT NULL THEN a.s ELSE b.s END AS status, CASE WHEN b.k IS NULL OR a.s IS NOT DISTINCT FROM b.s AND a.k IS NOT NULL THEN 1 ELSE 2 END AS scan, "
+    "CASE WHEN b.k IS NULL THEN 'kept' WHEN a.k IS NULL THEN 'inserted' WHEN a.s IS DISTINCT FROM b.s THEN 'updated' ELSE 'unchanged' END AS change FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderstatus END AS s FROM orders WHERE o_orderkey % 3 <> 0) a "
+    "FULL OUTER JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' WHEN o_orderkey % 26 <> 0 THEN o_orderstatus END AS s FROM orders WHERE o_orderkey % 5 <> 0) b ON a.k = b.k"
+)
+def guarded_upsert(spark, sf):
+    """Two scans of orders: a row is written only if its status differs, nulls included."""
+    orders, key = table(spark, sf, "orders"), F.col("o_orderkey")
+    stored = orders.where(key % 3 != 0).select(key.alias("k"), F.when(key % 13 != 0, F.col("o_orderstatus")).alias("status"), F.lit(1).alias("scan"))
+    rows = orders.where(key % 5 != 0).select(key.alias("k"), F.when(key % 7 == 0, "X").when(key % 26 != 0, F.col("o_orderstatus")).alias("status"), F.lit(2).alias("scan"))
+    return upserts.upserted(stored, rows, ["k"], ["status"])

@@ -1,4 +1,4 @@
-"""Published journeys at their edges, and currency pages whose basis moves."""
+"""Published journeys, currency pages, merged provenance and upserts at their edges."""
 
 import hashlib
 import json
@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import journeys
+from tessera.operators import currency, journeys, reconcile, upserts
 
 SCHEMA = "publication_id long, entity_id string, type string, name string, evidence_ids array<string>, provenance array<struct<facts:map<string,string>>>"
 ID = hashlib.sha256(b"j").hexdigest()
@@ -119,3 +119,53 @@ def test_previews_show_the_first_and_count_all(spark):
     known, legacy = long.entity_references
     assert (known.entityId, known.label, known.publicationId) == ("e1", None, "1") and (legacy.entityKey, legacy.label, legacy.publicationId) == ("k", "L", None)
     assert short.step_count == 1 and not short.steps_truncated and short.step_preview[0].subject is None and short.evidence_count == 0 and short.evidence_preview == []
+
+
+def test_currency_pages_refuse_other_bases_and_listings(spark):
+    rows = spark.createDataFrame([(t, i, s) for t in ("entity", "relationship") for i, s in (("a", "STALE"), ("b", "CURRENT"), ("c", "STALE"))], "object_type string, object_id string, state string")
+    page = lambda cursor=None, **given: [(r.object_type, r.object_id, r.cursor) for r in currency.details_page(rows, given.pop("publication", "p"), given.pop("basis", "h"), cursor, **given).collect()]
+    seen, cursor = [], None
+    while True:
+        found = page(cursor, limit=2)
+        seen += [f[:2] for f in found[:2]]
+        if len(found) < 3:
+            break
+        cursor = found[1][2]
+    assert seen == [(t, i) for t in ("entity", "relationship") for i in "abc"]
+    (_, first, *_), stale = (r[2] for r in page()), page(state="STALE", object_type="relationship")
+    assert [r[:2] for r in stale] == [("relationship", "a"), ("relationship", "c")] and [r[1] for r in page(stale[0][2], state="STALE", object_type="relationship")] == ["c"]
+    with pytest.raises(currency.BasisChanged):
+        page(first, basis="moved")
+    for cursor, given in ((first, {"publication": "q"}), (first, {"state": "STALE"}), (stale[0][2], {}), (stale[0][2], {"state": "CURRENT", "object_type": "relationship"}), (first + "=", {}), ("e30", {}), ("!", {}), (first[:-1], {}), ("", {})):
+        with pytest.raises(ValueError):
+            page(cursor, **given)
+    for given in ({"limit": 0}, {"limit": 101}, {"state": "OLD"}):
+        with pytest.raises(ValueError):
+            page(**given)
+
+
+def test_provenance_is_united_unless_it_conflicts(spark):
+    schema = "key string, type string, name string, evidence_ids array<string>, confidence double, provenance array<struct<evidence_id:string,facts:map<string,string>>>"
+    said = lambda *pairs: [{"evidence_id": e, "facts": f} for e, f in pairs]
+    rows = [
+        ("a", "t", "n2", ["y"], 0.2, said(("y", {"p": "1", "q": "2"}))), ("a", "t", "n1", ["x", "y"], 0.9, said(("y", {"q": "2", "p": "1"}), ("x", None))),
+        ("b", "t", "n", ["y"], 0.1, said(("y", {"p": "1"}))), ("b", "t", "n", ["y"], 0.1, said(("y", {"p": "2"}))), ("c", "t", "n", [], 0.5, None),
+    ]
+    merged, conflicts = reconcile.merge_described(spark.createDataFrame(rows, schema), "key")
+    found = {r.key: r for r in merged.collect()}
+    assert set(found) == {"a", "c"} and found["a"].name == "n1" and found["a"].evidence_ids == ["x", "y"] and found["a"].confidence == 0.9
+    assert [(p.evidence_id, p.facts) for p in found["a"].provenance] == [("x", None), ("y", {"p": "1", "q": "2"})] and found["c"].provenance == []
+    assert [tuple(r) for r in conflicts.collect()] == [("b", "y")]
+    assert reconcile.merge_described(spark.createDataFrame([], schema), "key")[0].count() == 0
+
+
+def test_upserts_change_only_what_differs(spark):
+    schema = "id int, part string, v string, at int"
+    stored = spark.createDataFrame([(1, "a", "x", 1), (1, "b", None, 1), (2, "a", "y", 1), (3, "a", None, 1), (None, "a", "n", 1)], schema)
+    rows = spark.createDataFrame([(1, "a", "x", 2), (1, "b", None, 2), (2, "a", "z", 2), (3, "a", "w", 2), (4, "a", None, 2), (None, "a", "n", 2)], schema)
+    told = lambda compare: sorted(((r.id, r.part, r.v, r.at, r.change) for r in upserts.upserted(stored, rows, ["id", "part"], compare).collect()), key=str)
+    guarded = [(1, "a", "x", 1, "unchanged"), (1, "b", None, 1, "unchanged"), (2, "a", "z", 2, "updated"), (3, "a", "w", 2, "updated"), (4, "a", None, 2, "inserted"), (None, "a", "n", 1, "kept"), (None, "a", "n", 2, "inserted")]
+    assert told(["v"]) == sorted(guarded, key=str)
+    assert set(told(None)) == {(i, p, v, 2 if c == "unchanged" else t, "updated" if c == "unchanged" else c) for i, p, v, t, c in guarded}
+    assert [(r.id, r.part, r.n) for r in upserts.repeated_keys(rows.unionByName(rows.where("id = 4")), ["id", "part"]).collect()] == [(4, "a", 2)]
+    assert upserts.upserted(stored, rows.limit(0), ["id", "part"]).where("change <> 'kept'").count() == 0
