@@ -117,8 +117,21 @@ def _with_spans(df: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return df.drop(*[f"{x}_{n}" for x in "mgnbtos" for n in names])
 
 
-def _clash(spans: Column, c: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+def _with_blocks(df: DataFrame, spans: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the spans (structs that begin with start, end) by start, in blocks of _BLOCK with their reach.
+
+    What meets a span is looked for only in blocks that reach it, so that texts with many spans stay cheap.
+    """
+    sorted_ = df.withColumn("_sorted", F.array_sort(spans))
+    cut = F.expr(f"transform(sequence(0, cast(greatest(size(_sorted) - 1, 0) div {_BLOCK} AS int)), k -> slice(_sorted, k * {_BLOCK} + 1, {_BLOCK}))")
+    reach = F.transform(cut, lambda b: F.struct(F.get(b, F.lit(0))["start"].alias("low"), F.array_max(F.transform(b, lambda s: s["end"])).alias("high"), b.alias("items")))
+    return sorted_.withColumn(name, reach).drop("_sorted")
+
+
+def _meets(blocks: str, start: Column, end: Column, also=lambda s: F.lit(True)) -> Column:
+    """Whether a span of the blocks for which ``also`` holds overlaps [start, end); an empty block has no reach and meets nothing."""
+    inside = lambda b: F.exists(b["items"], lambda s: (s["start"] < end) & (start < s["end"]) & also(s))
+    return F.exists(blocks, lambda b: F.coalesce((b["low"] < end) & (start < b["high"]), F.lit(False)) & inside(b))
 
 
 def _side(char: Column) -> Column:
@@ -173,7 +186,7 @@ def _is_valid(kind: str):
 
 def _candidate(kind: str):
     def describe(c: Column) -> Column:
-        taken = reduce(lambda x, y: x | y, [_clash(F.col(f"base_{k}"), c) for k in KINDS])
+        taken = _meets("_bases", c["start"], c["end"])
         named = [f.cast("int").alias(n) for n, f in zip(FEATURES, _features(kind, c), strict=True)]
         return F.struct(c["start"].alias("start"), c["end"].alias("end"), _check(kind, c).alias("right"), taken.alias("taken"), *named)
 
@@ -191,7 +204,9 @@ def _spotted(texts: DataFrame) -> DataFrame:
     df = df.withColumns({f"base_{k}": F.filter(f"base_{k}", _is_valid(k)) for k in KINDS})
     proposed = {k: F.array_distinct(F.concat(*[n for n in wide if n.startswith(f"wide_{k}_")])) for k in KINDS}
     base = F.concat(*[F.transform(f"base_{k}", _as_span(k)) for k in KINDS])
-    return df.withColumns({"base": base, "found": F.concat(*[F.transform(proposed[k], _candidate(k)) for k in KINDS])})
+    df = df.withColumn("_ends", F.concat(*[F.transform(f"base_{k}", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))) for k in KINDS]))
+    df = _with_blocks(df, "_ends", "_bases").drop("_ends")
+    return df.withColumns({"base": base, "found": F.concat(*[F.transform(proposed[k], _candidate(k)) for k in KINDS])}).drop("_bases")
 
 
 def _tree(node, at: list[Column]) -> Column:
@@ -258,9 +273,11 @@ def _chosen(spotted: DataFrame, model) -> DataFrame:
     )
     rows = spotted.withColumn("_passed", F.array_distinct(F.filter(rated, lambda c: c["p"] >= F.get(least, -c["kind"]))))
     # Of overlapping candidates the one with the better score stays, then the longer, then the earlier kind and start.
-    beaten = lambda c: F.exists("_passed", lambda d: (d > c) & (-d["start"] < c["end"]) & (-c["start"] < d["end"]))
+    rows = _with_blocks(rows.withColumn("_placed", F.transform("_passed", lambda c: F.struct((-c["start"]).alias("start"), c["end"].alias("end"), c.alias("c")))), "_placed", "_rivals")
+    beaten = lambda c: _meets("_rivals", -c["start"], c["end"], lambda d: d["c"] > c)
     spans = F.transform(F.filter("_passed", lambda c: ~beaten(c)), lambda c: F.struct(F.get(names, -c["kind"]).alias("kind"), (-c["start"]).alias("start"), c["end"].alias("end")))
-    return rows.withColumn("more", spans).drop("_passed")
+    # The size is a second use of the blocks: a column used once would be moved into the lambda and made again for each span.
+    return rows.withColumn("more", F.when(F.size("_rivals") > 0, spans)).drop("_passed", "_placed", "_rivals")
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
