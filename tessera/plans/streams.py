@@ -48,10 +48,11 @@ def _transfers(spark, sf):
 )
 def staged_transfer_stream(spark, sf):
     """The ends of all transfers, by state, after their events came in hashed order over several micro-batches."""
-    stored = settle(_transfers(spark, sf).repartition(4, F.xxhash64("event_id", "kind")))
+    files = 4 * max(1, spark.sparkContext.defaultParallelism // 4)
+    stored = settle(_transfers(spark, sf).repartition(files, F.xxhash64("event_id", "kind")))
     source = stored.inputFiles()[0].rsplit("/", 1)[0]
     folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files // 2).parquet(source)
     outcomes = assembly.staged_transfers(stream, delay="2 hours")
     run = outcomes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -1,8 +1,8 @@
 """Staged transfers as a stateful stream: parts in any order, one commit, expiry by timers.
 
 A transfer (source, scan) is announced by a ``started`` event, carried by ``chunk`` events and closed by
-a ``completed`` event.  State of a transfer: one row of declared facts and a map of its chunks;
-counters in the row tell when the map has to be read.  Event-time timers expire transfers that nothing touched and, later, forget closed ones.
+a ``completed`` event.  State of a transfer: one row of declared facts and a map of blocks of its chunks.  Each access of state
+is a call to the JVM, so a micro-batch reads and writes a transfer's row and the blocks it touches once.  Event-time timers expire transfers that nothing touched and, later, forget closed ones.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: What the stream reads; ``received_at`` is the event time.
@@ -26,6 +25,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 EXPIRY_HOURS = 24
 _HEAD = "status string, discovered_at string, expected_repositories long, expected_documents long, expected_chunks int, repository_count long, document_count long, checksum string, received int, repositories long, documents long, highest int, timer long"
 _FIELDS = [part.split()[0] for part in _HEAD.split(", ")]
+#: Chunks of one entry of the map; entries held in memory at most before they are written.
+BLOCK, HELD = 64, 1024
+_OUTCOME = Row(*[part.split()[0] for part in OUTCOMES.split(", ")])
 
 
 class Transfer(StatefulProcessor):
@@ -37,13 +39,38 @@ class Transfer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.head = handle.getValueState("head", _HEAD)
-        self.chunks = handle.getMapState("chunks", "chunk_index int", "checksum string, repositories long, documents long")
+        self.chunks = handle.getMapState("chunks", "block int", "places array<int>, checksums array<string>, repositories array<bigint>, documents array<bigint>")
 
     def _load(self) -> dict:
-        if self.head.exists():
-            return dict(zip(_FIELDS, self.head.get(), strict=True))
+        self.held: dict[int, dict[int, tuple]] = {}
+        self.changed: set[int] = set()
+        known = self.head.get()
+        self.stored = known is not None and known[_FIELDS.index("received")] > 0
+        if known is not None:
+            return dict(zip(_FIELDS, known, strict=True))
         return dict.fromkeys(_FIELDS) | {"status": "assembling", "received": 0, "repositories": 0, "documents": 0, "highest": -1, "timer": 0}
 
+    def _block(self, index: int) -> dict[int, tuple]:
+        """The known chunks of an index's block: (checksum, repositories, documents) by index."""
+        block = index // BLOCK
+        if block not in self.held:
+            if len(self.held) >= HELD:
+                self._write()
+            found = self.chunks.getValue((block,)) if self.stored else None
+            self.held[block] = self._unpack(found) if found else {}
+        return self.held[block]
+
+    @staticmethod
+    def _unpack(value: tuple) -> dict[int, tuple]:
+        return {place: said for place, *said in zip(*value, strict=True)}
+
+    def _write(self) -> None:
+        """Store the changed blocks and forget all that are held."""
+        for block in self.changed:
+            self.chunks.updateValue((block,), tuple(zip(*[(i, *said) for i, said in self.held[block].items()], strict=True)))
+        self.stored = self.stored or bool(self.changed)
+        self.held, self.changed = {}, set()
+
     @staticmethod
     def _declare(head: dict, given: dict) -> str | None:
         """Take over what an event declares; the first field that was declared otherwise, if any."""
@@ -76,16 +103,18 @@ class Transfer(StatefulProcessor):
             return "rejected", "unknown kind"
         if head["expected_chunks"] is not None and not 0 <= e["chunk_index"] < head["expected_chunks"]:
             return self._conflict(head, "chunk outside the range")
-        index, said = (e["chunk_index"],), (e["checksum"], e["repository_count"], e["document_count"])
-        if self.chunks.containsKey(index):
-            return ("duplicate", None) if tuple(self.chunks.getValue(index)) == said else self._conflict(head, "chunk")
+        index, said = e["chunk_index"], [e["checksum"], e["repository_count"], e["document_count"]]
+        block = self._block(index)
+        if index in block:
+            return ("duplicate", None) if block[index] == said else self._conflict(head, "chunk")
         if head["status"] != "assembling":
             return "rejected", head["status"]
-        self.chunks.updateValue(index, said)
+        block[index] = said
+        self.changed.add(index // BLOCK)
         head["received"] += 1
         head["repositories"] += said[1]
         head["documents"] += said[2]
-        head["highest"] = max(head["highest"], index[0])
+        head["highest"] = max(head["highest"], index)
         return "staged", None
 
     @staticmethod
@@ -103,43 +132,48 @@ class Transfer(StatefulProcessor):
         counts = (head["repositories"], head["documents"])
         if counts != (head["expected_repositories"], head["expected_documents"]) or counts != (head["repository_count"], head["document_count"]):
             return "corrupt", "count"
-        found = hashlib.sha256("".join(v[0] for _, v in sorted((k[0], v) for k, v in self.chunks.iterator())).encode()).hexdigest()
+        chunks = {i: said for block in self.held.values() for i, said in block.items()}
+        if len(chunks) < head["received"]:
+            self._write()
+            chunks = {i: said for _, value in self.chunks.iterator() for i, said in self._unpack(value).items()}
+        found = hashlib.sha256("".join(chunks[i][0] for i in sorted(chunks)).encode()).hexdigest()
         return ("committed", None) if found == head["checksum"] else ("corrupt", "checksum")
 
     def _touch(self, head: dict, at: int) -> None:
-        if head["timer"]:
-            self.handle.deleteTimer(head["timer"])
         head["timer"] = max(head["timer"], at + (self.expiry if head["status"] == "assembling" else self.retention))
-        self.handle.registerTimer(head["timer"])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         head, out, latest = self._load(), [], timerValues.getCurrentWatermarkInMs()
-        if head["status"] == "assembling" and head["timer"] and head["timer"] <= latest:
+        timer = head["timer"]
+        if head["status"] == "assembling" and timer and timer <= latest:
             out.append(self._expire(key, head))
-        for batch in rows:
-            for e in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-                e |= {f: int(e[f]) for f in ("chunk_index", "expected_chunks", "repository_count", "document_count", "expected_repositories", "expected_documents") if e[f] is not None}
-                before = head["status"]
-                outcome, reason = self._apply(head, e)
-                out.append((*key, e["event_id"], outcome, reason, head["received"]))
-                if before == "assembling" and head["status"] == "conflict":
-                    out.append((*key, None, "conflict", reason, head["received"]))
-                end = self._end(head) if outcome != "rejected" else None
-                if end:
-                    head["status"] = end[0]
-                    out.append((*key, None, *end, head["received"]))
-                if outcome != "rejected" or before != head["status"]:
-                    self._touch(head, int(e["received_at"].timestamp() * 1000))
+        for row in rows:
+            e, before = row.asDict(), head["status"]
+            outcome, reason = self._apply(head, e)
+            out.append(_OUTCOME(*key, e["event_id"], outcome, reason, head["received"]))
+            if before == "assembling" and head["status"] == "conflict":
+                out.append(_OUTCOME(*key, None, "conflict", reason, head["received"]))
+            end = self._end(head) if outcome != "rejected" else None
+            if end:
+                head["status"] = end[0]
+                out.append(_OUTCOME(*key, None, *end, head["received"]))
+            if outcome != "rejected" or before != head["status"]:
+                self._touch(head, int(e["received_at"].timestamp() * 1000))
+        if head["timer"] != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(head["timer"])
+        self._write()
         self.head.update(tuple(head[f] for f in _FIELDS))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTCOMES.split(", ")])
+        return iter(out)
 
-    def _expire(self, key, head: dict) -> tuple:
+    def _expire(self, key, head: dict) -> Row:
         """Forget the chunks; the row stays so that late events are refused."""
         head["status"] = "expired"
         self.chunks.clear()
-        return (*key, None, "expired", None, head["received"])
+        return _OUTCOME(*key, None, "expired", None, head["received"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         head, out = self._load(), []
         if expiredTimerInfo.getExpiryTimeInMs() == head["timer"]:
             if head["status"] == "assembling":
@@ -150,7 +184,7 @@ class Transfer(StatefulProcessor):
             else:
                 self.chunks.clear()
                 self.head.clear()
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTCOMES.split(", ")])
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -167,7 +201,7 @@ def staged_transfers(events: DataFrame, expiry_hours: float = EXPIRY_HOURS, dela
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = events.withWatermark("received_at", delay)
-    return timed.groupBy("source_id", "scan_id").transformWithStateInPandas(statefulProcessor=Transfer(expiry_hours, retention_hours), outputStructType=OUTCOMES, outputMode="Append", timeMode="EventTime")
+    return timed.groupBy("source_id", "scan_id").transformWithState(statefulProcessor=Transfer(expiry_hours, retention_hours), outputStructType=OUTCOMES, outputMode="Append", timeMode="EventTime")
 
 
 def ends(outcomes: DataFrame) -> DataFrame:

@@ -123,3 +123,31 @@ def test_projections_are_built_once(spark, tmp_path):
     assert {(r.publication_id, r.entity_id): r.built_at for r in done if r.publication_id < 3} == first
     told = sorted((r.publication_id, r.event_type) for r in spark.read.parquet(f"{path}/events").collect())
     assert told == sorted((p, e) for p in (1, 1, 2, 3) for e in ("SearchProjectionRequested", "SearchProjectionBuilt"))
+
+
+def test_chunks_of_many_blocks_over_many_batches(spark, tmp_path):
+    """Blocks are written and read again: repeats and contradictions are told whatever block they lie in."""
+    assert assembly.BLOCK < 150
+    whole = transfer("whole", [f"c{i}" for i in range(150)])
+    torn = transfer("torn", [f"c{i}" for i in range(150)])
+    other = [(*torn[100][:2], "torn-x", *torn[100][3:9], "other", *torn[100][10:])]
+    draw = random.Random(5)
+    draw.shuffle(whole)
+    out = run(spark, str(tmp_path), [whole[:70] + torn[:-1], whole[60:] + other, whole[:3]], delay="10 hours")
+    assert sorted((r.scan_id, r.outcome) for r in out if r.event_id is None) == [("torn", "conflict"), ("whole", "committed")]
+    assert sum(r.outcome == "duplicate" for r in out) == 13
+
+
+def test_state_is_touched_once_a_batch():
+    """A transfer's events of one batch cost a fixed number of calls, not some for each event."""
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *given: calls.append(name)
+
+    transfers = assembly.Transfer()
+    transfers.handle = transfers.head = transfers.chunks = Store()
+    rows = [type("Event", (), {"asDict": lambda self, e=e: dict(zip([f.split()[0] for f in assembly.EVENTS.split(", ")], e, strict=True))})() for e in transfer("t", ["a"] * 40)]
+    out = list(transfers.handleInputRows(("s", "t"), iter(rows), type("Timers", (), {"getCurrentWatermarkInMs": lambda self: 0})()))
+    assert out[-1].outcome == "committed" and len(out) == 43 and len(calls) == 4
