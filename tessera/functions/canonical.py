@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,8 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import settle
+
 #: Control characters that have a short escape; the others are written in four hex digits.
 _SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+#: Characters of items that ``object_hash`` packs into one row; a longer item is a row of its own.
+PIECE = 1 << 16
 _ESCAPES = [(chr(i), _SHORT.get(chr(i), f"\\u{i:04x}")) for i in range(32)]
 
 
@@ -103,13 +108,14 @@ def object_hash(rows: DataFrame, key: str, field: str, order: str, item: str, li
 
     A row belongs to the list named by its column ``field``; ``item`` is its JSON, ``order`` its place, as
     text or number.  Every object has all of ``lists``, empty ones too, and the ``constants``: JSON
-    texts by field name, the same for all keys.  Rows go to one task by key, sorted there, and
-    stream through the digest: its memory does not grow with a key's rows, only its time does, as
-    a SHA-256 cannot be taken in parts.  Rows of other fields are an error; null keys are one key.
+    texts by field name, the same for all keys.  Rows are written once, sorted by ranges in many tasks and packed there
+    into compressed pieces of ``PIECE`` characters; only pieces go to one task by key and stream through the digest, as a
+    SHA-256 cannot be taken in parts.  Rows of other fields are an error; null keys are one key.
     """
     constants = constants or {}
     names = sorted([*lists, *constants])
     out = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("items", T.LongType()), T.StructField("hash", T.StringType())])
+    pieces = T.StructType([T.StructField("key", rows.schema[key].dataType)] + [T.StructField(n, t) for n, t in (("field", T.StringType()), ("part", T.IntegerType()), ("place", T.LongType()), ("items", T.LongType()), ("body", T.BinaryType()))])
 
     class Object:
         """Writes the fields in order; a list stays open until a row of another field comes."""
@@ -131,32 +137,67 @@ def object_hash(rows: DataFrame, key: str, field: str, order: str, item: str, li
                 self.digest.update((b"," if self.at else b"") + json.dumps(now).encode() + b":" + (b"[" if now in lists else constants[now].encode()))
                 self.first = True
 
-        def add(self, name: str, text: str) -> None:
+        def add(self, name: str, items: int, body: bytes) -> None:
             self.advance(name)
-            self.digest.update((b"" if self.first else b",") + text.encode())
-            self.first, self.items = False, self.items + 1
+            self.digest.update(b"" if self.first else b",")
+            self.digest.update(zlib.decompress(body))
+            self.first, self.items = False, self.items + items
 
         def row(self) -> tuple:
             self.advance(None)
             self.digest.update(b"}")
             return self.key, self.items, self.digest.hexdigest()
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Consecutive items of one key and field as (key, field, part, place, items, body)."""
+        now, texts, size, place = None, [], 0, 0
+        done: list[tuple] = []
+
+        def close() -> None:
+            nonlocal place, texts, size
+            if texts:
+                done.append((*now, place, len(texts), zlib.compress(",".join(texts).encode(), 6)))
+                place, texts, size = place + 1, [], 0
+
+        def made(kind: pa.DataType) -> pa.RecordBatch:
+            types = (kind, pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=pieces.names)
+            done.clear()
+            return batch
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for value, name, part, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if now != (value, name, part) or size + len(text) > PIECE:
+                    close()
+                    now = (value, name, part)
+                texts.append(text)
+                size += len(text) + 1
+            if done:
+                yield made(kind)
+        close()
+        if done:
+            yield made(kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kind = None, None
         made = lambda done: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (kind, pa.int64(), pa.string()), strict=True)], names=out.names)
         for batch in batches:
             kind, done = batch.schema.field(0).type, []
-            for value, name, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for value, name, items, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if now is None or now.key != value:
                     if now is not None:
                         done.append(now.row())
                     now = Object(value)
-                now.add(name, text)
+                now.add(name, items, body)
             if done:
                 yield made(done)
         if now is not None:
             yield made([now.row()])
 
-    dealt = rows.select(F.col(key).alias("key"), F.col(field).alias("field"), F.col(order).alias("at"), F.col(item).alias("item"))
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "field", "at", "item")
-    return dealt.select("key", "field", "item").mapInArrow(run, out)
+    dealt = settle(rows.select(F.col(key).alias("key"), F.col(field).alias("field"), F.col(order).alias("at"), F.col(item).alias("item")))
+    ranged = dealt.repartitionByRange("key", "field", "at", "item").sortWithinPartitions("key", "field", "at", "item")
+    packed = ranged.select("key", "field", F.spark_partition_id().alias("part"), "item").mapInArrow(pack, pieces)
+    packed = packed.repartition("key").sortWithinPartitions("key", "field", "part", "place")
+    return packed.select("key", "field", "items", "body").mapInArrow(run, out)

@@ -29,3 +29,33 @@ def test_static_paths_of_cut_and_repeated_documents(spark, tmp_path, where):
     """Documents that lack their neighbours, and one id on two rows, give all their steps."""
     docs = f"SELECT * FROM '{SF}/documents.parquet' WHERE {where} UNION ALL SELECT * FROM '{SF}/documents.parquet' WHERE doc_id = 8"
     assert same_as_sql(spark, "static_path_steps", tmp_path, documents=docs) > 200
+
+
+def test_hashes_of_long_lists_come_from_packed_pieces(spark, monkeypatch):
+    """One task by key gets pieces of many items, in order over all ranges."""
+    import hashlib
+
+    from tessera.functions import canonical
+
+    monkeypatch.setattr(canonical, "PIECE", 200, raising=False)
+    df = spark.range(5000).selectExpr("CAST(id % 2 AS INT) AS k", "'a' AS f", "format_string('%05d', 5000 - id) AS at", "concat('{\"i\":', id, '}') AS item")
+    found = canonical.object_hash(df.repartition(7), "k", "f", "at", "item", ["a"])
+    assert "rangepartitioning" in found._jdf.queryExecution().toString()
+    for row in found.collect():
+        items = ",".join(f'{{"i":{i}}}' for i in range(4999, -1, -1) if i % 2 == row.k)
+        assert (row["items"], row.hash) == (2500, hashlib.sha256(f'{{"a":[{items}]}}'.encode()).hexdigest())
+
+
+def test_compared_objects_never_gather_by_pair(spark):
+    """Pairs come to the objects: no shuffle deals objects by their publication alone."""
+    from tessera.operators import diff_store
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        objects = spark.range(100).selectExpr("id % 2 AS publication_id", "id AS key", "'v' AS version_id", "'c' AS content_hash", "'n' AS name")
+        pairs = spark.createDataFrame([("0", "1")], "from_id string, to_id string")
+        plan = diff_store.compare_pairs(pairs, objects, "entity", "key", ["name"])._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
