@@ -21,9 +21,10 @@ def compare_pairs(pairs: DataFrame, objects: DataFrame, section: str, key: str,
     """(from_id, to_id, section, key, change, changed_fields) of every object of every pair (from_id, to_id).
 
     ``objects`` has (publication_id, key, version_id, content_hash, fields..).  Objects are unchanged if version or content
-    agree.  A pair's objects meet by (pair, key): many pairs are compared in one join.
+    agree.  A pair's objects meet by (pair, key): many pairs are compared in one join.  The pairs are broadcast (a store keeps a
+    folder for each), so that a publication's objects never gather in one task.
     """
-    side = lambda end, tag: pairs.join(objects.select(F.col("publication_id").cast("string").alias(f"{end}_id"), F.col(key).cast("string").alias("key"), F.struct("version_id", "content_hash", *fields).alias(tag)), f"{end}_id")
+    side = lambda end, tag: F.broadcast(pairs).join(objects.select(F.col("publication_id").cast("string").alias(f"{end}_id"), F.col(key).cast("string").alias("key"), F.struct("version_id", "content_hash", *fields).alias(tag)), f"{end}_id")
     joined = side("from", "a").join(side("to", "b"), [*_PAIR, "key"], "full_outer")
     same = (F.col("a.version_id") == F.col("b.version_id")) | (F.col("a.content_hash") == F.col("b.content_hash"))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(same, "unchanged").otherwise("modified")
@@ -44,12 +45,13 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 def content(pairs: DataFrame, changes: DataFrame) -> DataFrame:
     """The rows to store for ``pairs``: a summary each, zeros too, and all changes but unchanged objects, with the content hash."""
+    changes = settle(changes)
     counts = changes.groupBy(*_PAIR).agg(*[F.count_if(F.col("change") == c).alias(c) for c in _CHANGES])
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in _CHANGES]
     none = lambda *typed: [F.lit(None).cast(t).alias(n) for n, t in typed]
     summary = pairs.join(counts, _PAIR, "left").select(*_PAIR, F.lit("summary").alias("section"), *none(("key", "string"), ("change", "string"), ("changed_fields", "array<string>")), *zero)
     rows = changes.where("change <> 'unchanged'").select(*_PAIR, "section", "key", "change", "changed_fields", *none(*[(c, "long") for c in _CHANGES])).unionByName(summary)
-    return rows.join(_hashed(rows).withColumnRenamed("fresh_hash", "content_hash"), _PAIR)
+    return rows.join(F.broadcast(_hashed(rows).withColumnRenamed("fresh_hash", "content_hash")), _PAIR)
 
 
 class DiffStore:
@@ -83,16 +85,16 @@ class DiffStore:
         A stored difference that is sound and equal to the new one is ``reused``, id and time with it; one that is corrupt or
         out of date is ``replaced`` as a whole; a new one is ``created``.
         """
-        pairs = pairs.select(*[F.col(c).cast("string").alias(c) for c in _PAIR]).distinct()
+        pairs = settle(pairs.select(*[F.col(c).cast("string").alias(c) for c in _PAIR]).distinct())
         fresh = settle(content(pairs, self.compare(pairs)))
-        old = self.check(self.rows().join(pairs, _PAIR, "left_semi")).select(*_PAIR, F.col("diff_id").alias("old_id"), F.col("content_hash").alias("old_hash"), "sound")
+        old = self.check(self.rows().join(F.broadcast(pairs), _PAIR, "left_semi")).select(*_PAIR, F.col("diff_id").alias("old_id"), F.col("content_hash").alias("old_hash"), "sound")
         now = fresh.where("section = 'summary'").select(*_PAIR, "content_hash").join(old, _PAIR, "left")
         reused = F.coalesce(F.col("sound") & (F.col("old_hash") == F.col("content_hash")), F.lit(False))
         action = F.when(reused, "reused").when(F.col("sound").isNotNull(), "replaced").otherwise("created")
         stamped = now.withColumn("generated_at", self.now())
         new_id = F.left(F.sha2(F.concat_ws("\x00", *_PAIR, "content_hash", F.col("generated_at").cast("string")), 256), F.lit(26))
         told = settle(stamped.select(*_PAIR, F.when(reused, F.col("old_id")).otherwise(new_id).alias("diff_id"), action.alias("action"), "generated_at"))
-        write = fresh.join(told.where("action <> 'reused'").select(*_PAIR, "diff_id", "generated_at"), _PAIR)
+        write = fresh.join(F.broadcast(told.where("action <> 'reused'").select(*_PAIR, "diff_id", "generated_at")), _PAIR)
         columns = [part.split()[0] for part in STORED.split(", ")]
         write.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PAIR).parquet(self.path)
         return told.drop("generated_at")
