@@ -55,7 +55,7 @@ def _year_pairs(spark, sf):
     version = lambda key: F.concat_ws("@", key, F.col("publication_id").cast("string")).alias("version_id")
     relations = edges.select("publication_id", F.col("relationship_id").alias("key"), version("relationship_id"), F.concat_ws("|", F.col("n_lines").cast("string"), "flag").alias("content_hash"), "n_lines", "flag")
     objects = published_entities(spark, sf).select("publication_id", F.col("entity_id").alias("key"), version("entity_id"), F.concat_ws("|", "name", "type").alias("content_hash"), "name", "type")
-    years = edges.select("publication_id").distinct()
+    years = table(spark, sf, "lineitem").select(F.year("l_shipdate").cast("long").alias("publication_id")).distinct()
     pairs = years.join(years.select((F.col("publication_id") - 1).alias("publication_id")), "publication_id").select(F.col("publication_id").cast("string").alias("from_id"), (F.col("publication_id") + 1).cast("string").alias("to_id"))
     compare = lambda wanted: diff_store.compare_pairs(wanted, objects, "entity", "key", ["name", "type"]).unionByName(diff_store.compare_pairs(wanted, relations, "relationship", "key", ["n_lines", "flag"]))
     return pairs, compare
