@@ -117,8 +117,11 @@ def journey_previews(steps: DataFrame, key: str, order: list[str], label: str, m
 
 
 def missing_projections(projected: DataFrame, *members: DataFrame) -> list[DataFrame]:
-    """The member tables without the publications that ``projected`` already holds: what a rebuild reads."""
-    built = projected.select("publication_id").distinct()
+    """The member tables without the publications that ``projected`` already holds: what a rebuild reads.
+
+    The built publications, one row each, are broadcast: members stay where they are, none gather by publication.
+    """
+    built = F.broadcast(projected.select("publication_id").distinct())
     return [rows.join(built, "publication_id", "left_anti") for rows in members]
 
 

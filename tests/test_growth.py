@@ -59,3 +59,17 @@ def test_compared_objects_never_gather_by_pair(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+
+
+def test_members_of_missing_projections_never_gather_by_publication(spark):
+    from tessera.operators import presentation
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        members = spark.range(100).selectExpr("id % 5 AS publication_id", "id AS entity_id")
+        (missing,) = presentation.missing_projections(members.where("publication_id = 2"), members)
+        assert "SortMergeJoin" not in missing._jdf.queryExecution().toString()
+        assert {r.publication_id for r in missing.collect()} == {0, 1, 3, 4}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
