@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filename, first_sentence, folder, normal_path, unescape_pointer
+from ..functions.shared import settle
 
 
 def _entity(kind: str, name: Column, scope: Column, **facts: Column) -> list[Column]:
@@ -150,8 +151,10 @@ def resolve_calls(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(resolved, diagnostics): calls joined to the one method of the receiver's injected type.
 
     A receiver is a constructor parameter of the calling class or the class itself; types and
-    methods that exist more than once, or never, give diagnostics instead.
+    methods that exist more than once, or never, give diagnostics instead.  The rows that count are written once, so that
+    texts are read once for calls, parameters and methods.
     """
+    evidence = settle(evidence.where("locator.value_kind IN ('call', 'parameter', 'def')").select("document_id", "locator"))
     detail = lambda name: F.col("locator.detail")[name]
     calls = evidence.where("locator.value_kind = 'call'").select("document_id", F.col("locator.line_start").alias("line"), detail("index").cast("int").alias("call_index"), detail("owner").alias("owner"), detail("method").alias("method"), detail("receiver").alias("receiver"), detail("called").alias("called"))
     injected = evidence.where("locator.value_kind = 'parameter'").select(F.col("locator.symbol").alias("owner"), detail("name").alias("receiver"), detail("type").alias("target_type")).distinct()

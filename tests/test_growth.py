@@ -73,3 +73,18 @@ def test_members_of_missing_projections_never_gather_by_publication(spark):
         assert {r.publication_id for r in missing.collect()} == {0, 1, 3, 4}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_texts_are_read_once_to_resolve_calls(spark):
+    from tessera.operators import extractors, processors
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(path, text):
+        seen.add(1)
+        yield from processors.read_scala(path, text)
+
+    texts = [(i, "C.scala", f"package p\nclass C{i}(next: C{i + 1}) {{\n  def run(id: String) = {{\n    next.run(id)\n  }}\n}}") for i in range(5)]
+    docs = spark.createDataFrame(texts, "document_id long, path string, text string")
+    resolved, lost = extractors.resolve_calls(processors.per_document(docs, read, bounded=True))
+    assert resolved.count() == 4 and lost.count() == 1 and seen.value == 5
