@@ -88,3 +88,29 @@ def test_texts_are_read_once_to_resolve_calls(spark):
     docs = spark.createDataFrame(texts, "document_id long, path string, text string")
     resolved, lost = extractors.resolve_calls(processors.per_document(docs, read, bounded=True))
     assert resolved.count() == 4 and lost.count() == 1 and seen.value == 5
+
+
+def test_evidence_leaves_in_small_batches(spark):
+    from tessera.operators import processors
+
+    def read(path, text):
+        yield from ((f"k{i}", "paragraph", "x", {}) for i in range(1000))
+
+    docs = spark.range(50).selectExpr("id AS document_id", "'a' AS path", "'t' AS text").coalesce(1)
+    assert processors.per_document(docs, read).count() == 50_000
+    assert max(b.num_rows for b in _run_locally(processors, read)) <= 2000
+
+
+def _run_locally(processors, read):
+    """The batches that one task yields for 50 texts."""
+    import pyarrow as pa
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            texts = {"document_id": pa.array(range(50), pa.int64()), "path": pa.array(["a"] * 50), "text": pa.array(["t"] * 50)}
+            return list(run(iter([pa.RecordBatch.from_pydict(texts)])))
+
+    return processors.per_document(Docs(), read)
