@@ -15,6 +15,8 @@ from ..functions.canonical import object_hash, row_json, stable_json
 
 #: Lifecycle states that a publication leaves out.
 RETIRED = ("superseded", "rejected")
+#: Partitions of described candidates for each of the session's shuffle partitions.
+WIDE = 4
 
 
 def merge_candidates(candidates: DataFrame, key: str) -> DataFrame:
@@ -42,8 +44,11 @@ def merge_provenance(candidates: DataFrame, key: str, provenance: str = "provena
 def merge_described(candidates: DataFrame, key: str, provenance: str = "provenance") -> tuple[DataFrame, DataFrame]:
     """(merged, conflicts): ``merge_candidates`` with the union of provenance, ordered by evidence; keys with a conflict are left out.
 
-    Keys without any provenance get an empty list.
+    Keys without any provenance get an empty list.  The merged row of a key is made in one task in any case, so candidates are
+    dealt by key once; the groups by key and evidence, the lists and the joins find them there and shuffle nothing again.
+    Rows widen when they are sorted, so they are dealt to WIDE times the usual number of partitions.
     """
+    candidates = candidates.repartition(WIDE * int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     described, conflicts = merge_provenance(candidates, key, provenance)
     by_evidence = lambda x, y: F.when(x["evidence_id"] < y["evidence_id"], -1).when(x["evidence_id"] > y["evidence_id"], 1).otherwise(0)
     lists = described.groupBy(key).agg(F.array_sort(F.collect_list(provenance), by_evidence).alias(provenance))

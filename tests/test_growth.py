@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import catalog
 
@@ -114,3 +115,27 @@ def _run_locally(processors, read):
             return list(run(iter([pa.RecordBatch.from_pydict(texts)])))
 
     return processors.per_document(Docs(), read)
+
+
+def _shuffles(df):
+    """The different shuffles of a plan as it is before it runs."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sorted(re.findall(r"Exchange (\w+partitioning\([^\n]*?), \w+, \[plan_id", plan))
+
+
+def test_described_candidates_are_dealt_by_key_alone(spark):
+    """Neither lists nor joins of provenance shuffle again."""
+    from tessera.operators import reconcile
+
+    rows = spark.range(40).selectExpr("concat('k', id % 5) AS k", "'t' AS type", "'n' AS name", "array(concat('e', id % 7)) AS evidence_ids", "0.5D AS confidence", "array(named_struct('evidence_id', concat('e', id % 7), 'facts', map('f', 'v'))) AS provenance")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged, conflicts = reconcile.merge_described(rows, "k")
+        kinds = _shuffles(merged)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert kinds and all(k.startswith("hashpartitioning(k#") and "evidence_id" not in k for k in kinds) and len(kinds) <= 3
+    assert {len(r.provenance) for r in merged.collect()} == {7} and conflicts.count() == 0
