@@ -66,9 +66,11 @@ def assemblies(chunks: DataFrame, announced: DataFrame, keys: list[str]) -> Data
     """The state of each staged transfer, whatever order its parts came in.
 
     ``chunks`` has (keys.., chunk_index, checksum), ``announced`` (keys.., expected_chunks,
-    checksum).  Equal repeats are idempotent; one index with two checksums is a conflict.
+    checksum).  Equal repeats are idempotent; one index with two checksums is a conflict.  A transfer's digest is made in one
+    task in any case, so its chunks are dealt by transfer once and are grouped by index there.
     """
-    one = chunks.groupBy(*keys, "chunk_index").agg(F.min("checksum").alias("c"), (F.count_distinct("checksum") > 1).alias("torn"))
+    torn = F.coalesce(F.min("checksum") < F.max("checksum"), F.lit(False))
+    one = chunks.repartition(*keys).groupBy(*keys, "chunk_index").agg(F.min("checksum").alias("c"), torn.alias("torn"))
     got = one.groupBy(*keys).agg(
         F.count("*").alias("received"), F.min("chunk_index").alias("low"), F.max("chunk_index").alias("high"), F.bool_or("torn").alias("torn"),
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "c"))), lambda x: x["c"]), ""), 256).alias("found"),

@@ -158,3 +158,13 @@ def test_projected_ends_are_the_projected_entities(spark):
     before = search.project_entities(ends, edges).select("publication_id", "entity_id", "type", "name", "relationship_count", "name_normalized")
     after = search.project_ends(edges, known)
     assert sorted(map(tuple, after.collect()), key=str) == sorted(map(tuple, before.collect()), key=str) and after.count() == 6
+
+
+def test_staged_chunks_are_dealt_once(spark):
+    """By transfer, not by transfer, index and checksum as well."""
+    from tessera.streaming import assemblies
+
+    chunks = spark.createDataFrame([(1, 0, "a"), (1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 0, "c"), (3, 0, None)], "scan long, chunk_index int, checksum string")
+    found = assemblies(chunks, chunks.groupBy("scan").agg(F.lit(2).alias("expected_chunks"), F.sha2(F.lit("ab"), 256).alias("checksum")), ["scan"])
+    assert all("chunk_index" not in k for k in _shuffles(found)) and len(_shuffles(found)) == 2
+    assert {(r.scan, r.received, r.state) for r in found.collect()} == {(1, 2, "complete"), (2, 1, "conflict"), (3, 1, "assembling")}
