@@ -168,3 +168,20 @@ def test_staged_chunks_are_dealt_once(spark):
     found = assemblies(chunks, chunks.groupBy("scan").agg(F.lit(2).alias("expected_chunks"), F.sha2(F.lit("ab"), 256).alias("checksum")), ["scan"])
     assert all("chunk_index" not in k for k in _shuffles(found)) and len(_shuffles(found)) == 2
     assert {(r.scan, r.received, r.state) for r in found.collect()} == {(1, 2, "complete"), (2, 1, "conflict"), (3, 1, "assembling")}
+
+
+def test_routes_read_texts_once(spark):
+    """Mounts, routes, repeats and the limit of a document's facts come from one pass over the texts."""
+    from tessera.operators import processors
+
+    many = "\n".join(["GET /a x.Y"] * (processors.MAX_FACTS + 1))
+    texts = [(1, "-> /p q.Routes\nGET /a x.Y\n# no\nGET /a x.Y\nPUT /b\n\nget no"), (2, many), (None, many), (3, "GET /c z"), (3, "GET /c z"), (4, None)]
+    docs = spark.createDataFrame([(i, "conf/app.routes", t) for i, t in texts], "document_id long, path string, text string")
+    found = processors.play_routes(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and len(_shuffles(found)) == 1
+    rows = [(r.document_id, r.key.replace("\0", " "), r.kind, r.excerpt) for r in found.collect()]
+    tail = "route:conf/app.routes:app:"
+    assert sorted(r[1:] for r in rows if r[0] == 1) == sorted([("mount:conf/app.routes:1:/p:q.Routes", "structured-value", "-> /p q.Routes"), (tail + "GET /a x.Y:1", "structured-value", "GET /a x.Y"), (tail + "GET /a x.Y:2", "structured-value", "GET /a x.Y"), (tail + "PUT /b :1", "structured-value", "PUT /b")])
+    assert [r[1:] for r in rows if r[0] == 2] == [("rejected", "rejected", "too much evidence")]
+    assert sum(r[0] is None for r in rows) == processors.MAX_FACTS + 2 and sum(r[0] == 3 for r in rows) == 2 and all(r[0] != 4 for r in rows)
