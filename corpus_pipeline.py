@@ -49,8 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of every copy, their number, and digests of ids and decoded bytes; null text has no tokens."""
-    vocabulary = bpe.default_vocabulary()
-    both = bpe.decode(bpe.encode(docs, *vocabulary).drop("text"), *vocabulary)
+    both = bpe.round_trip(docs, *bpe.default_vocabulary())
     return both.select("doc_id", "lang", "source", "ids", *[c.alias(n) for n, c in bpe.digests(both).items()])
 
 

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pack, small_batches, unpack
+from .common import held, pack, small_batches, unpack
 
 #: Distinct pre-tokens that one task remembers.
 CACHE = 150_000
@@ -99,11 +98,6 @@ class Codec:
         return b"".join([tokens[i] for i in memoryview(packed).cast("I")])
 
 
-@lru_cache(maxsize=1)
-def _codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
-
-
 def _append(batch: pa.RecordBatch, start: int, values: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.slice(start, len(values)).columns, pa.array(values, schema.field(len(schema) - 1).type)], schema=schema)
 
@@ -141,7 +135,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     packed = pack(docs).withColumn("text", F.coalesce(F.col("row").getField(text_col), F.lit("")))
 
     def make():
-        return _codec(path, pattern).encode
+        return held(Codec, path, pattern).encode
 
     done = _with_column(packed, "ids", T.BinaryType(), "text", make)
     return unpack(done, names, **{out_col: F.col("ids")})
@@ -153,12 +147,38 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", ou
     packed = pack(encoded).withColumn("ids", F.coalesce(F.col("row").getField(ids_col), F.lit(b"")))
 
     def make():
-        return _codec(path, pattern).decode
+        return held(Codec, path, pattern).decode
 
     done = _with_column(packed, "out", T.BinaryType(), "ids", make)
     return unpack(done, names, **{out_col: F.col("out")})
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``docs`` without the text, with its packed ids as ``encode`` gives them and the bytes that ``decode`` makes of those ids.
+
+    One Python worker a task does both with one codec, and texts do not come back from it.
+    """
+    small_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = held(Codec, path, pattern)
+        for batch in batches:
+            rows, texts, at, size, ids = batch.column("row"), batch.column("text"), 0, 0, []
+            arrow = pa.schema([batch.schema.field("row"), pa.field("ids", pa.binary()), pa.field("out", pa.binary())])
+            for text in texts:
+                ids.append(codec.encode(text.as_py()))
+                size += len(ids[-1])
+                if size >= BATCH_BYTES or at + len(ids) == batch.num_rows:
+                    decoded = pa.array(map(codec.decode, ids), pa.binary())
+                    yield pa.RecordBatch.from_arrays([rows.slice(at, len(ids)), pa.array(ids, pa.binary()), decoded], schema=arrow)
+                    at, size, ids = at + len(ids), 0, []
+
+    done = packed.mapInArrow(run, T.StructType([packed.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("out", T.BinaryType())]))
+    return unpack(done, names, **{ids_col: F.col("ids"), decoded_col: F.col("out")})
+
+
 def digests(encoded: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> dict:
     return {
         "n_tokens": (F.octet_length(ids_col) / 4).cast("long"),
@@ -176,5 +196,5 @@ def default_vocabulary() -> tuple[str, str]:
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
     vocabulary = default_vocabulary()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, *vocabulary).drop("text"), *vocabulary)
+    both = round_trip(docs, *vocabulary)
     return both.select("doc_id", *[c.alias(n) for n, c in digests(both).items()])

@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+_HELD: list = []
+
+
+def held(make, *args):
+    """``make(*args)``, which a Python worker keeps for its next tasks until another one is asked for.
+
+    Spark hands workers on from stage to stage; with one such value at a time a worker does not carry the models of stages before.
+    """
+    if not _HELD or _HELD[0] != (make, args):
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[:] = [(make, args), make(*args)]
+    return _HELD[1]
+
+
 def hash128(*columns: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of the same columns; together collisions are negligible."""
     return F.xxhash64(*columns), F.xxhash64(F.lit(0x5EED), *reversed(columns))

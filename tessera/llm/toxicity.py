@@ -24,7 +24,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash128, pack, settle, small_batches, unpack
+from .common import hash128, held, pack, settle, small_batches, unpack
 
 #: Bounds of the training sample, in rows of each class.
 MAX_TOXIC, MAX_ORDINARY = 6_000, 14_000
@@ -216,11 +216,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return {**models["all"], "prior": share, "curve": _logistic(x, y).tolist()}
 
 
-@lru_cache(maxsize=1)
-def _distance(base: str, toxic: str, contrast: str) -> Distance:
-    return Distance(base, toxic, contrast)
-
-
 def _measure(df: DataFrame, model: dict) -> DataFrame:
     """``df`` without ``text``, with ``features`` of the whole text."""
     small_batches(df.sparkSession)
@@ -228,7 +223,7 @@ def _measure(df: DataFrame, model: dict) -> DataFrame:
     schema = T.StructType([*[f for f in df.schema.fields if f.name != "text"], T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = _distance(*words)
+        distance = held(Distance, *words)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             rest = [i for i in range(batch.num_columns) if i != at]

@@ -103,3 +103,21 @@ def test_pipeline_on_no_rows(spark, tmp_path):
     empty(spark).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_workers_keep_one_model_and_tokens_take_one_worker(spark):
+    """Encoding and decoding share a Python worker, which forgets the model of the stage before."""
+    import corpus_pipeline
+    from tessera.llm import bpe, common
+
+    rows = [(1, "a b c  d", "en", "x", 8), (2, None, "en", "x", 0), (3, "\u00e9\u4e2d\n", None, "y", 3), (1, "", "en", "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.tokenize(spark, docs, "")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    vocabulary = bpe.default_vocabulary()
+    both = bpe.decode(bpe.encode(docs, *vocabulary).drop("text"), *vocabulary)
+    parts = both.select("doc_id", "lang", "source", "ids", *[c.alias(n) for n, c in bpe.digests(both).items()])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, parts.collect()), key=str)
+    made = []
+    first, second = (lambda x: made.append(x) or [x]), (lambda x: made.append(-x) or [-x])
+    assert common.held(first, 1) is common.held(first, 1) and common.held(second, 1) == [-1] and common.held(first, 1) == [1] and made == [1, -1, 1]
