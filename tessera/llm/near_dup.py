@@ -6,7 +6,7 @@ shingles labelled with their occurrence and keeps their order in the text: it ag
 the smaller the edit distance; the tables follow from the recall at the threshold.  Short texts
 have too few shingles for that and add exact segments (``short_keys``).  Classes that agree in a table share a bucket; there each is
 compared with one hub, the bucket's least node.  Buckets that then still hold several components
-are cut into blocks, which meet pairwise: every pair of different components is compared unless its
+are cut into blocks, which meet pairwise unless both belong to the bucket's largest component: every pair of different components is compared unless its
 lengths or words rule a link out.  A pair is linked if the edit similarity of the whole texts, 1 - distance / longer length in words, is at least SIMILARITY; the alignment runs
 bit-parallel inside the band that such a similarity allows.
 """
@@ -284,21 +284,38 @@ def _merged(named: DataFrame, new: DataFrame) -> DataFrame:
     return settle(named.unionByName(fresh).join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("merged", "component").alias("component")))
 
 
+def _dealt(parts: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Rows of the parts with several components, with ``block`` and, for each block that it meets, ``other``.
+
+    A part of more than ``size`` rows has blocks of its largest component and blocks of the rest.  The former
+    meet the latter only, as their own rows are joined already; the latter meet all.  So a part of one large
+    component and a few other rows grows by those few, not by its square.
+    """
+    counts = parts.groupBy("bucket", "part", "component").agg(F.count("*").alias("m"))
+    mixed = counts.groupBy("bucket", "part").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("components")).where("components > 1")
+    split = F.col("n") > size
+    among = F.ceil(F.when(split, F.col("n") - F.col("most.m")).otherwise(F.col("n")) / size).cast("int")
+    mixed = mixed.select("bucket", "part", F.when(split, F.col("most.component")).alias("largest"), among.alias("rest"), F.when(split, F.ceil(F.col("most.m") / size)).otherwise(0).cast("int").alias("more"))
+    blocks = parts.join(mixed, ["bucket", "part"]).withColumn("inside", F.coalesce(F.col("component") == F.col("largest"), F.lit(False)))
+    hashed = F.xxhash64("node")
+    block = F.when(F.col("inside"), F.col("rest") + F.pmod(hashed, F.greatest("more", F.lit(1)))).otherwise(F.pmod(hashed, F.col("rest"))).cast("int")
+    last = F.col("rest") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("more"))
+    blocks = blocks.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return blocks.drop("largest", "rest", "more", "inside")
+
+
 def _further(members: DataFrame, named: DataFrame, classes: DataFrame, codes: DataFrame, least: float) -> DataFrame:
     """(a, b): further links, enough to join all classes of a bucket that similar pairs connect.
 
     A bucket splits by length into overlapping pairs of neighbouring bands, as lengths further
-    apart rule a link out, and a part into blocks of about BLOCK classes that meet pairwise.  A pair
+    apart rule a link out, and a part into blocks of about BLOCK classes (``_dealt``).  A pair
     is aligned in its least common bucket only, unless it was tested with the hub, is joined already
     or has too few words in common.  Links leave a task, never pairs: fewer than a block has classes.
     """
     band = F.floor(F.log(F.col("n_words").cast("double")) / F.log(F.lit(1 / least + 1e-4))).cast("int")
     joined = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("band", band)
     parts = settle(joined.withColumn("part", F.explode(F.array(F.col("band") - 1, F.col("band")))))
-    mixed = parts.groupBy("bucket", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    mixed = mixed.select("bucket", "part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    blocks = parts.join(mixed, ["bucket", "part"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = _dealt(parts)
     blocks = blocks.select(
         F.xxhash64("bucket", "part", F.least("block", "other"), F.greatest("block", "other")).alias("at"),
         (F.col("block") < F.col("other")).alias("first"),

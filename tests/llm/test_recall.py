@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -90,3 +91,23 @@ def test_vector_links_with_production_parameters_reach_recall(spark, tmp_path):
     assert linked.sum() > 100
     assert all(found[i] <= int(linked[i].sum()) for i in found)
     assert sum(found.values()) >= 0.98 * linked.sum()
+
+
+def test_blocks_of_one_large_component_meet_the_other_rows_only(spark):
+    """F-pipeline: copies joined already are not dealt to each other, and every pair of two components meets once."""
+    size = 8
+    for sizes in ([400, 1, 2], [30, 30, 25, 1], [5, 2], [1] * 40):
+        placed = [(7, 3, node, c) for c, n in enumerate(sizes) for node in range(1000 * c, 1000 * c + n)]
+        got = near_dup._dealt(spark.createDataFrame([*placed, (8, 3, 5, 5), (8, 3, 6, 5)], "bucket long, part int, node long, component long"), size).collect()
+        assert {r.bucket for r in got} == {7}
+        rest = sum(sizes) - max(sizes)
+        assert len(got) <= 2 * sum(sizes) * -(-max(rest, 1) // size)
+        tasks = defaultdict(list)
+        for r in got:
+            tasks[min(r.block, r.other), max(r.block, r.other)].append(r)
+        met = Counter()
+        for (low, high), held in tasks.items():
+            left, right = [r for r in held if r.block == low], [r for r in held if r.block == high]
+            met.update({frozenset((a.node, b.node)) for a in left for b in right if a.component != b.component})
+        wanted = {frozenset((a[2], b[2])) for a in placed for b in placed if a[3] < b[3]}
+        assert met == Counter(wanted)
