@@ -39,6 +39,11 @@ _AT = ["source_id", "repository"]
 _ids = lambda *columns: F.array_distinct(F.array_compact(F.array(*columns)))
 
 
+def wide(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that is sorted: facts are small as files, but many times larger once broadcast through the driver."""
+    return rows.hint("merge")
+
+
 def _entities(rows: DataFrame, kind: str, name: Column, scope: Column, role: Column, evidence: Column) -> DataFrame:
     key = entity_key(F.lit(kind), F.col("source_id"), scope, name)
     return rows.select(key.alias("key"), F.lit(kind).alias("type"), name.alias("name"), "source_id", "repository", role.alias("role"), F.explode(evidence).alias("evidence_id"))
@@ -80,11 +85,11 @@ def resolve_values(starts: DataFrame, symbols: DataFrame, dependencies: DataFram
         named = F.col("expression").rlike(_REFERENCE)
         ended.append(now.where(~named))
         parts = now.where(named).withColumns({"head": F.regexp_extract("expression", _REFERENCE, 1), "tail": F.regexp_extract("expression", _REFERENCE, 2)})
-        parts = parts.join(injected, [*_AT, "owner", "head"], "left")
+        parts = parts.join(wide(injected), [*_AT, "owner", "head"], "left")
         # A name without a dot is the owner's own; with one, its head must be injected exactly once.
         target = F.when(F.col("tail") == "", F.col("owner")).otherwise(F.col("injected"))
         parts = parts.withColumn("at", target).where("at IS NOT NULL").withColumn("symbol", F.concat_ws(".", "at", F.when(F.col("tail") == "", F.col("head")).otherwise(F.col("tail"))))
-        met = parts.where(~F.array_contains("seen", F.col("symbol"))).join(values, [*_AT, "symbol"])
+        met = parts.where(~F.array_contains("seen", F.col("symbol"))).join(wide(values), [*_AT, "symbol"])
         now = met.select(
             "id", *_AT, F.col("at").alias("owner"), plain(F.coalesce("signature", F.lit(""))).alias("expression"), F.array_append("seen", F.col("symbol")).alias("seen"),
             F.concat("evidence", F.array_compact(F.array("value_evidence", F.when(F.col("tail") != "", F.col("injected_evidence"))))).alias("evidence"),
@@ -96,19 +101,19 @@ def resolve_values(starts: DataFrame, symbols: DataFrame, dependencies: DataFram
     last = reduce(DataFrame.unionByName, [*ended, now.where(~F.col("expression").rlike(_REFERENCE))])
     config = symbols.where("kind = 'constructor-parameter'").where(F.trim("signature").rlike(_CONFIG)).groupBy(*_AT, "owner", F.col("symbol").alias("receiver")).agg(F.min("evidence_id").alias("config_evidence"))
     looked = last.select("*", F.regexp_extract("expression", _LOOKUP, 1).alias("receiver"), F.regexp_extract("expression", _LOOKUP, 2).alias("name")).where("name <> ''")
-    looked = looked.join(config, [*_AT, "owner", "receiver"]).select("id", "name", F.concat("evidence", F.array("config_evidence")).alias("evidence"))
+    looked = looked.join(wide(config), [*_AT, "owner", "receiver"]).select("id", "name", F.concat("evidence", F.array("config_evidence")).alias("evidence"))
 
     # A wrapper: the owner's only baseUrl, whose parameter is handed to a configuration's baseUrl in exactly one call.
     method = one(symbols.where("kind = 'method'").select(*_AT, "symbol", "signature", "evidence_id"), ["symbol"], "signature", "evidence_id").where(F.endswith("symbol", F.lit(".baseUrl")))
     method = method.select(*_AT, F.col("symbol").alias("enclosing"), F.regexp_extract(F.trim("signature"), _WRAPPER, 1).alias("given"), F.col("evidence_id").alias("method_evidence")).where("given <> ''")
     squeezed = F.regexp_replace("excerpt", r"\s+", "")
-    sites = call_sites.where(F.col("target_text") == F.concat("receiver", F.lit(".baseUrl"))).join(method, [*_AT, "enclosing"])
+    sites = call_sites.where(F.col("target_text") == F.concat("receiver", F.lit(".baseUrl"))).join(wide(method), [*_AT, "enclosing"])
     sites = sites.where(squeezed == F.concat("receiver", F.lit(".baseUrl("), "given", F.lit(")")))
     sites = sites.groupBy(*_AT, "enclosing", "given", "method_evidence").agg(F.count("*").alias("n"), F.min("receiver").alias("receiver"), F.min("evidence_id").alias("site_evidence"))
     shadows = symbols.where("kind = 'value'").select(*_AT, F.col("symbol").alias("shadow")).distinct()
-    sites = sites.where("n = 1 AND receiver <> given").withColumn("shadow", F.concat_ws(".", "enclosing", "receiver")).join(shadows, [*_AT, "shadow"], "left_anti")
-    sites = sites.withColumn("owner", owner_of_method(F.col("enclosing"))).join(config, [*_AT, "owner", "receiver"])
-    wrapped = last.withColumn("name", F.regexp_extract("expression", _WRAPPED, 1)).where("name <> ''").join(sites, [*_AT, "owner"])
+    sites = sites.where("n = 1 AND receiver <> given").withColumn("shadow", F.concat_ws(".", "enclosing", "receiver")).join(wide(shadows), [*_AT, "shadow"], "left_anti")
+    sites = sites.withColumn("owner", owner_of_method(F.col("enclosing"))).join(wide(config), [*_AT, "owner", "receiver"])
+    wrapped = last.withColumn("name", F.regexp_extract("expression", _WRAPPED, 1)).where("name <> ''").join(wide(sites), [*_AT, "owner"])
     wrapped = wrapped.select("id", "name", F.concat("evidence", F.array("method_evidence", "site_evidence", "config_evidence")).alias("evidence"))
     return looked.unionByName(wrapped)
 
@@ -122,7 +127,7 @@ def publish_analysis(facts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame,
     settings, components, symbols = facts["settings"], facts["components"], facts["symbols"]
     entities, edges, told = [], [], []
     module = components.select(*_AT, "symbol", entity_key(F.lit("module"), F.col("source_id"), F.col("repository"), F.col("symbol")).alias("module_key")).distinct()
-    of = lambda symbol, key: module.withColumnsRenamed({"symbol": symbol, "module_key": key})
+    of = lambda symbol, key: wide(module.withColumnsRenamed({"symbol": symbol, "module_key": key}))
     entities.append(_entities(components, "module", F.col("symbol"), F.col("repository"), F.col("role"), F.array("evidence_id")))
 
     # Services that a repository declares: exactly one name makes an api, several are told.
@@ -132,7 +137,7 @@ def publish_analysis(facts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame,
     declared = known.where(F.size("names") == 1).select(*_AT, F.get("names", F.lit(0)).alias("service"), "declared_by")
     declared = declared.withColumn("service_key", entity_key(F.lit("api"), F.col("source_id"), F.col("repository"), F.col("service")))
     entities.append(_entities(declared, "api", F.col("service"), F.col("repository"), F.lit("declared-service"), F.col("declared_by")))
-    several = names.join(known.where(F.size("names") > 1), _AT)
+    several = names.join(wide(known.where(F.size("names") > 1)), _AT)
     told.append(_diagnostics(several, "provider-appName-declaration-ambiguous", F.array_join("names", ", ")))
 
     # Components: injection and resolved calls.
@@ -142,7 +147,7 @@ def publish_analysis(facts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame,
     calls = facts["calls"].withColumns({"caller_owner": owner_of_method(F.col("caller")), "target_owner": owner_of_method(F.col("target"))})
     calls = calls.join(of("caller_owner", "source_key"), [*_AT, "caller_owner"]).join(of("target_owner", "target_key"), [*_AT, "target_owner"])
     via = tied.select("source_key", "target_key", F.col("evidence_id").alias("injection")).distinct()
-    cited = calls.join(methods, [*_AT, "target"], "left").join(via, ["source_key", "target_key"], "left")
+    cited = calls.join(wide(methods), [*_AT, "target"], "left").join(wide(via), ["source_key", "target_key"], "left")
     edges.append(_edges(cited, "USES", "source_key", "target_key", "CALLS", _ids("evidence_id", "declaration", "injection")))
 
     # Routes of the application: operations, exposed by the declared service, implemented by the handler's component.
@@ -150,10 +155,10 @@ def publish_analysis(facts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame,
     scope = F.concat_ws("/", "repository", "document", "route_set", *[percent_encode(F.col(c)) for c in ("method", "path", "handler")])
     routes = routes.withColumn("scope", scope).withColumn("route_key", entity_key(F.lit("operation"), F.col("source_id"), F.col("scope"), F.col("name")))
     entities.append(_entities(routes, "operation", F.col("name"), F.col("scope"), F.lit("route"), F.array("evidence_id")))
-    exposed = routes.join(declared, _AT)
+    exposed = routes.join(wide(declared), _AT)
     edges.append(_edges(exposed, "EXPOSES", "service_key", "route_key", "DECLARED_SERVICE_ROUTE", F.array_union("declared_by", F.array("evidence_id"))))
     handled = routes.withColumn("handler_owner", owner_of_method(F.col("resolved"))).join(of("handler_owner", "controller_key"), [*_AT, "handler_owner"])
-    handled = handled.join(methods.withColumnRenamed("target", "resolved"), [*_AT, "resolved"], "left")
+    handled = handled.join(wide(methods.withColumnRenamed("target", "resolved")), [*_AT, "resolved"], "left")
     edges.append(_edges(handled, "USES", "route_key", "controller_key", "IMPLEMENTED_BY", _ids("evidence_id", "declaration")))
     edges.append(_edges(handled, "EXPOSES", "controller_key", "route_key", "EXPOSES_ENDPOINT", _ids("evidence_id", "declaration")))
 
@@ -162,16 +167,16 @@ def publish_analysis(facts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame,
     http = http.withColumn("expression", F.regexp_extract("excerpt", _ARGUMENT, 1)).withColumn("root", F.regexp_extract("expression", r"^[^.]*", 0))
     http = settle(http)
     local = symbols.where("kind = 'value'").select(*_AT, F.col("symbol").alias("hidden")).distinct()
-    hidden = http.where("expression <> ''").withColumn("hidden", F.concat_ws(".", "enclosing", "root")).join(local, [*_AT, "hidden"], "left_semi").select("evidence_id")
+    hidden = http.where("expression <> ''").withColumn("hidden", F.concat_ws(".", "enclosing", "root")).join(wide(local), [*_AT, "hidden"], "left_semi").select("evidence_id")
     signed = symbols.where("kind = 'method'").select(*_AT, F.col("symbol").alias("enclosing"), "signature")
-    given = http.where("expression <> ''").join(signed, [*_AT, "enclosing"]).where(F.regexp_like("signature", F.concat(F.lit(r"\b"), F.replace("root", F.lit("$"), F.lit(r"\$")), F.lit(r"\s*:")))).select("evidence_id")
-    starts = http.where("expression <> ''").join(hidden.union(given).distinct(), "evidence_id", "left_anti")
+    given = http.where("expression <> ''").join(wide(signed), [*_AT, "enclosing"]).where(F.regexp_like("signature", F.concat(F.lit(r"\b"), F.replace("root", F.lit("$"), F.lit(r"\$")), F.lit(r"\s*:")))).select("evidence_id")
+    starts = http.where("expression <> ''").join(wide(hidden.union(given).distinct()), "evidence_id", "left_anti")
     found = resolve_values(starts.withColumn("id", F.col("evidence_id")), symbols, facts["dependencies"], facts["call_sites"]).withColumnsRenamed({"id": "evidence_id", "name": "service", "evidence": "named_by"})
     found = settle(found)
-    told.append(_diagnostics(http.join(found, "evidence_id", "left_anti"), "http-downstream-not-exactly-resolved", "target_text"))
+    told.append(_diagnostics(http.join(wide(found), "evidence_id", "left_anti"), "http-downstream-not-exactly-resolved", "target_text"))
     hosts = settings.select(*_AT, F.regexp_extract("key", r"^microservice\.services\.([a-z][a-z0-9-]*)\.host$", 1).alias("service"), "evidence_id").where("service <> ''")
     hosts = hosts.groupBy(*_AT, "service").agg(F.array_sort(F.collect_set("evidence_id")).alias("hosts"))
-    bound = http.join(found, "evidence_id").join(hosts, [*_AT, "service"], "left")
+    bound = http.join(wide(found), "evidence_id").join(wide(hosts), [*_AT, "service"], "left")
     told.append(_diagnostics(bound.where("hosts IS NULL"), "downstream-hocon-host-not-found", "service"))
     bound = bound.withColumn("support", F.array_distinct(F.concat("named_by", F.coalesce("hosts", F.array().cast("array<string>")))))
     bound = settle(bound).withColumn("api_key", entity_key(F.lit("api"), F.col("source_id"), F.col("repository"), F.col("service")))
@@ -181,7 +186,8 @@ def publish_analysis(facts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame,
 
     # Providers by name: one is referred to, several are ambiguous, none is no error.
     providers = declared.select(F.col("service"), F.col("service_key").alias("provider_key"), "declared_by").groupBy("service").agg(F.count("*").alias("n"), F.min("provider_key").alias("provider_key"), F.min("declared_by").alias("declared_by"))
-    matched = bound.join(providers, "service")
+    # Names are few and some are frequent: written, they are broadcast as long as they are few.
+    matched = bound.join(settle(providers), "service")
     edges.append(_edges(matched.where("n = 1"), "REFERENCES", "api_key", "provider_key", "CONFIGURED_SERVICE_TARGET", F.array_union(whole, "declared_by")))
     told.append(_diagnostics(matched.where("n > 1"), "downstream-provider-declaration-ambiguous", "service"))
     union = lambda frames: reduce(DataFrame.unionByName, frames).distinct()
