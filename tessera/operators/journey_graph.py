@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import entity_key, filename
+from ..functions.shared import settle
+from .graph import wide
 
 #: Bounds of a published journey (fixed values): characters of its model, bytes of the whole candidate.
 MAX_CHARS, MAX_BYTES = 850_000, 800_000
@@ -40,48 +42,53 @@ def link_journeys(
     # First round: documents and steps.
     sources = evidence.withColumn("document_key", document_key(F.col("source_id"), F.col("path")))
     made = [sources.select(F.col("document_key").alias("key"), F.lit("document").alias("type"), filename(F.col("path")).alias("name"), "source_id", F.lit("source-document").alias("role"), "evidence_id")]
-    told = steps.join(journeys.select("journey_key", "name", "source_id", "scope"), "journey_key")
+    told = steps.join(wide(journeys.select("journey_key", "name", "source_id", "scope")), "journey_key")
     name = F.concat(F.col("name"), F.lit(" ["), F.col("position").cast("string"), F.lit("] "), F.col("step_type"))
     scope = F.concat(F.col("scope"), F.lit("/step/"), (F.col("position") - 1).cast("string"))
     told = told.withColumns({"step_name": name, "step_key": entity_key(F.lit("operation"), F.col("source_id"), scope, name)})
-    cited = told.join(step_evidence, ["journey_key", "position"])
+    cited = told.join(wide(step_evidence), ["journey_key", "position"])
     made.append(cited.select(F.col("step_key").alias("key"), F.lit("operation").alias("type"), F.col("step_name").alias("name"), "source_id", F.lit("journey-step").alias("role"), "evidence_id"))
     edges = [edge(sources, "DERIVED_FROM", "journey_key", "document_key", "JOURNEY_SOURCE_EVIDENCE"), edge(cited, "CONTAINS", "journey_key", "step_key", "JOURNEY_CONTAINS_STEP")]
-    placed = cited.join(sources.select("journey_key", "evidence_id", "document_key"), ["journey_key", "evidence_id"], "left")
+    placed = cited.join(wide(sources.select("journey_key", "evidence_id", "document_key")), ["journey_key", "evidence_id"], "left")
     edges.append(edge(placed.where("document_key IS NOT NULL"), "DERIVED_FROM", "step_key", "document_key", "STEP_SOURCE_EVIDENCE"))
 
     # Second round: subjects among the journey's references, its documents included.
     allowed = references.select("journey_key", "entity_key").union(sources.select("journey_key", "document_key")).distinct().withColumn("known", F.lit(True))
-    subjects = cited.where("entity_key IS NOT NULL").join(allowed, ["journey_key", "entity_key"], "left")
+    subjects = cited.where("entity_key IS NOT NULL").join(wide(allowed), ["journey_key", "entity_key"], "left")
     edges.append(edge(subjects.where("known"), "REFERENCES", "step_key", "entity_key", "STEP_REFERENCES"))
 
     # Third round: published HTTP edges with a step's evidence, and the providers behind their APIs.
     apis = entities.where("type = 'api'").select(F.col("key").alias("api_key")).distinct()
-    http = relationships.where("type = 'CONSUMES' AND relation = 'HTTP'").select(F.col("source_key").alias("caller"), F.col("target_key").alias("api_key"), "evidence_id").join(apis, "api_key", "left_semi")
-    hit = cited.where(F.col("step_type") == HTTP_STEP).join(http, "evidence_id").select("journey_key", "position", "step_key", "caller", "api_key").distinct()
-    consumed = hit.join(http, ["caller", "api_key"])
+    http = relationships.where("type = 'CONSUMES' AND relation = 'HTTP'").select(F.col("source_key").alias("caller"), F.col("target_key").alias("api_key"), "evidence_id").join(wide(apis), "api_key", "left_semi")
+    http = settle(http.distinct())
+    hit = cited.where(F.col("step_type") == HTTP_STEP).join(wide(http), "evidence_id").select("journey_key", "position", "step_key", "caller", "api_key").distinct()
+    hit = settle(hit)
+    consumed = hit.join(wide(http), ["caller", "api_key"])
     edges += [edge(consumed, "CONSUMES", "journey_key", "api_key", "JOURNEY_CALLS_API"), edge(consumed, "CONSUMES", "step_key", "api_key", "STEP_CALLS_API")]
     binding = relationships.where("type = 'REFERENCES' AND relation = 'CONFIGURED_SERVICE_TARGET'").select(F.col("source_key").alias("api_key"), F.col("target_key").alias("provider_key"), "evidence_id")
-    provided = hit.select("journey_key", "position", "api_key").join(binding, "api_key")
+    provided = hit.select("journey_key", "position", "api_key").join(wide(binding), "api_key")
     edges.append(edge(provided, "REFERENCES", "journey_key", "provider_key", "JOURNEY_REFERENCES_PROVIDER"))
 
     # The journey's own references cite all its evidence.
-    used = references.select("journey_key", "entity_key", "role").distinct().join(evidence.select("journey_key", "evidence_id"), "journey_key")
     relation = F.when(F.col("role") == "service", "JOURNEY_PARTICIPATES_IN_SERVICE").otherwise("JOURNEY_REFERENCES")
-    edges.append(used.select(F.lit("USES").alias("type"), F.col("journey_key").alias("source_key"), F.col("entity_key").alias("target_key"), relation.alias("relation"), "evidence_id"))
+    used = references.select("journey_key", "entity_key", relation.alias("relation")).distinct().join(wide(evidence.select("journey_key", "evidence_id").distinct()), "journey_key")
+    used = used.select(F.lit("USES").alias("type"), F.col("journey_key").alias("source_key"), F.col("entity_key").alias("target_key"), "relation", "evidence_id")
 
     only = hit.groupBy("journey_key", "position").agg(F.count_distinct("api_key").alias("apis"), F.min("api_key").alias("only_api"))
-    with_subject = told.join(only, ["journey_key", "position"], "left").select("journey_key", "position", F.coalesce("entity_key", F.when(F.col("apis") == 1, F.col("only_api"))).alias("subject"))
+    with_subject = told.join(wide(only), ["journey_key", "position"], "left").select("journey_key", "position", F.coalesce("entity_key", F.when(F.col("apis") == 1, F.col("only_api"))).alias("subject"))
     role = lambda rows, key, label: rows.select("journey_key", "position", F.col(key).alias("entity_key"), F.lit(label).alias("role"))
     listed = [role(told, "step_key", "step"), role(placed.where("document_key IS NOT NULL"), "document_key", "document"), role(hit, "api_key", "api"), role(provided, "provider_key", "api")]
-    own = subjects.where("known").join(references.select("journey_key", "entity_key", "role").distinct(), ["journey_key", "entity_key"]).select("journey_key", "position", "entity_key", "role")
-    step_references = reduce(DataFrame.unionByName, [*listed, own]).distinct().join(with_subject, ["journey_key", "position"])
+    own = subjects.where("known").join(wide(references.select("journey_key", "entity_key", "role").distinct()), ["journey_key", "entity_key"]).select("journey_key", "position", "entity_key", "role")
+    step_references = reduce(DataFrame.unionByName, [*listed, own]).distinct().join(wide(with_subject), ["journey_key", "position"])
     step_references = step_references.withColumn("is_subject", F.coalesce(F.col("entity_key") == F.col("subject"), F.lit(False))).drop("subject")
     lost = subjects.where("known IS NULL").select("journey_key", "position", F.lit("unknown-subject").alias("problem"), F.col("entity_key").alias("object"))
     homeless = placed.where("document_key IS NULL").select("journey_key", "position", F.lit("unknown-source").alias("problem"), F.col("evidence_id").alias("object"))
-    bare = told.join(step_evidence, ["journey_key", "position"], "left_anti").select("journey_key", "position", F.lit("no-evidence").alias("problem"), F.col("step_id").alias("object"))
+    bare = told.join(wide(step_evidence), ["journey_key", "position"], "left_anti").select("journey_key", "position", F.lit("no-evidence").alias("problem"), F.col("step_id").alias("object"))
     violations = lost.unionByName(homeless).unionByName(bare).distinct()
-    return reduce(DataFrame.unionByName, made).distinct(), reduce(DataFrame.unionByName, edges).distinct(), step_references, violations
+    # No two producers share a relation, so each is made distinct by itself.  What a journey uses, evidence times references,
+    # is so by its two sides and is never held by an aggregation.
+    relationships = reduce(DataFrame.unionByName, [*[e.distinct() for e in edges], used])
+    return reduce(DataFrame.unionByName, made).distinct(), relationships, step_references, violations
 
 
 def resolve_references(references: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
