@@ -13,6 +13,7 @@ four-byte code: a shared passage then saves several times the cost of a match.
 the length under the ordinary dictionary minus that under the toxic one; a logistic curve turns the
 numbers of windows beyond several cuts into a score.  The curve is fitted by cross-fitting: each half of the sample
 is measured with dictionaries trained on the other; texts are scored with those trained on all.
+In the fit both classes weigh as among all labels, whatever the bounds left of each.
 Everything is ordered by hashes of ids and places, so a model depends on neither partitions nor reruns.
 
 All documents, whole texts, are scored; distances of frequent words are remembered per task.
@@ -119,9 +120,13 @@ class Distance:
         return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: float = TOXIC_WEIGHT) -> np.ndarray:
-    """Newton's method for a ridge logistic regression with an intercept in the last place; rows of class 1 weigh ``weight``."""
-    many = np.where(y > 0, weight, 1.0)
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, weight: float = TOXIC_WEIGHT, rates: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
+    """Newton's method for a ridge logistic regression with an intercept in the last place; rows of class 1 weigh ``weight``.
+
+    ``rates`` are labelled rows for each sampled one, of class 1 and of class 0: the classes weigh as among the labels, their sum stays.
+    """
+    many = np.where(y > 0, rates[0], rates[1])
+    many = np.where(y > 0, weight, 1.0) * many * len(y) / many.sum()
     x = np.hstack([x, np.ones((len(x), 1))])
     weights = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge * len(x) ** 0.5)
@@ -147,6 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).alias("toxic"))
     order = [F.xxhash64("id"), F.col("id")]
+    known = settle(known)
+    labelled = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # Both bounds cut the classes differently; without this a larger table would move the curve towards the scarcer class.
+    rates = tuple(max(1.0, labelled.get(toxic, 0) / most) for toxic, most in ((True, MAX_TOXIC), (False, MAX_ORDINARY)))
     sample = known.where("toxic").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("not toxic").orderBy(*order).limit(MAX_ORDINARY))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # The sample has at most MAX_TOXIC + MAX_ORDINARY rows of two short columns.
@@ -213,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     measured.sort(key=lambda r: (r.h, r.features))
     x = np.array([r.features for r in measured], float)
     y = np.array([r.toxic for r in measured], float)
-    return {**models["all"], "prior": share, "curve": _logistic(x, y).tolist()}
+    return {**models["all"], "prior": share, "curve": _logistic(x, y, rates=rates).tolist()}
 
 
 def _measure(df: DataFrame, model: dict) -> DataFrame:

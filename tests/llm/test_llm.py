@@ -166,6 +166,17 @@ def test_toxicity_is_the_same_for_any_partitioning(spark):
     assert models[0] == models[1] == models[2] and "curve" in models[0]
 
 
+def test_toxicity_bounded_sample_keeps_the_labels_share(spark, monkeypatch):
+    """F-pipeline: bounds that leave as many toxic rows as ordinary ones must not make most texts toxic."""
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 60)
+    monkeypatch.setattr(toxicity, "MAX_ORDINARY", 60)
+    random.seed(5)
+    words = [f"{a}{b}" for a in "bdfgklmn" for b in ("asto", "ire", "ulan", "emi", "ov")]
+    docs = spark.createDataFrame([(i, " ".join(random.choices(words, k=40))) for i in range(800)], "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic")))
+    assert toxicity.score(docs, model).where("predicted = 1").count() < 200
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.fit(documents(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(odd(spark), model).collect()} == {0.0}
