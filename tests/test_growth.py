@@ -185,3 +185,17 @@ def test_routes_read_texts_once(spark):
     assert sorted(r[1:] for r in rows if r[0] == 1) == sorted([("mount:conf/app.routes:1:/p:q.Routes", "structured-value", "-> /p q.Routes"), (tail + "GET /a x.Y:1", "structured-value", "GET /a x.Y"), (tail + "GET /a x.Y:2", "structured-value", "GET /a x.Y"), (tail + "PUT /b :1", "structured-value", "PUT /b")])
     assert [r[1:] for r in rows if r[0] == 2] == [("rejected", "rejected", "too much evidence")]
     assert sum(r[0] is None for r in rows) == processors.MAX_FACTS + 2 and sum(r[0] == 3 for r in rows) == 2 and all(r[0] != 4 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["snapshot_evidence_integrity", "snapshot_integrity"])
+def test_integrity_of_a_year_with_repeated_lines(spark, tmp_path, name):
+    lines = f"SELECT * FROM '{SF}/lineitem.parquet' UNION ALL SELECT * FROM '{SF}/lineitem.parquet' WHERE l_orderkey % 3 = 0"
+    assert same_as_sql(spark, name, tmp_path, lineitem=lines) > 50
+
+
+def test_rows_of_a_year_stay_in_all_tasks(spark):
+    """Small compressed rows are not gathered in few tasks."""
+    from tessera.plans import roles
+
+    for rows in roles.published_year(spark, SF, 1996):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == 4
