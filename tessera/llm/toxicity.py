@@ -11,8 +11,10 @@ many characters of each.
 A scored window is one word with its neighbouring blanks, each character written as a fixed
 four-byte code: a shared passage then saves several times the cost of a match.  Its distance is
 the length under the ordinary dictionary minus that under the toxic one; a logistic curve turns the
-numbers of windows beyond several cuts into a score.  The curve is fitted by cross-fitting: each half of the sample
-is measured with dictionaries trained on the other; texts are scored with those trained on all.
+numbers of windows beyond several cuts into a score.  The curve is fitted to a quarter of the sample that trains no
+dictionary, measured with the very dictionaries that score: other ones, trained on other rows, measure every text somewhat
+higher or lower, which moves the threshold.  If a quarter has fewer than APART rows of a class, the curve is cross-fitted:
+each half of the sample is measured with dictionaries trained on the other, texts are scored with those trained on all.
 In the fit both classes weigh as among all labels, whatever the bounds left of each.
 Everything is ordered by hashes of ids and places, so a model depends on neither partitions nor reruns.
 
@@ -43,6 +45,8 @@ MAX_WINDOWS, WINDOW, MAX_FORMS = 100_000, 2, 60_000
 RECURS, MARKS = 3, 4
 #: Bytes of trained text in the common base and in the part of each class; segment and match length of the training.
 BASE_BYTES, CLASS_BYTES, SEGMENT, MATCH = 100_000, 16_384, 40, 8
+#: Rows of each class that the quarter of the sample must have for a curve of its own.
+APART = 300
 #: How much more a toxic text of the sample weighs when the curve is fitted.
 TOXIC_WEIGHT = 3.0
 #: Distances remembered per task.
@@ -166,16 +170,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     same = hash128(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " "))
     joined = joined.withColumns({"s1": same[0], "s2": same[1]}).groupBy("s1", "s2", "toxic").agg(F.min_by(F.struct("id", "text"), F.struct("id", "text")).alias("r")).select("r.*", "toxic")
     joined = joined.groupBy("id").agg(F.min_by(F.struct("text", "toxic"), F.struct("text", "toxic")).alias("r")).select("id", "r.*")
-    rows = settle(joined.select("id", "text", "toxic", words.alias("words"), (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2)) == 0).alias("first")))
-    counts = {(r.toxic, r.first): r.n for r in rows.groupBy("toxic", "first").agg(F.count("*").alias("n")).collect()}
-    positives, everything = sum(n for (t, _), n in counts.items() if t), sum(counts.values())
+    rows = settle(joined.select("id", "text", "toxic", words.alias("words"), (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(2)) == 0).alias("first"), (F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(4)) == 0).alias("apart")))
+    drawn = rows.groupBy("toxic", "first", "apart").agg(F.count("*").alias("n")).collect()
+    positives, everything = sum(r.n for r in drawn if r.toxic), sum(r.n for r in drawn)
     share = positives / everything if everything else 0.0
-    if len(counts) < 4:
+    if len({(r.toxic, r.first) for r in drawn}) < 4:
         return {"prior": share}
-    # Three sets of training texts: either half, and all.
-    of_set = {"first": F.col("first"), "second": ~F.col("first"), "all": F.lit(True)}
-    sets = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in of_set.items()]))
-    sizes = {(n, t): sum(k for (u, f), k in counts.items() if u == t and n in ("all", "first" if f else "second")) for n in of_set for t in (True, False)}
+    if min(sum(r.n for r in drawn if r.apart and r.toxic == t) for t in (True, False)) >= APART:
+        of_set, measure_by = {"all": "not apart"}, {"all": "apart"}
+    else:  # three sets of training texts: either half, and all
+        of_set, measure_by = {"first": "first", "second": "not first", "all": "true"}, {"first": "not first", "second": "first"}
+    in_set = {"not apart": lambda r: not r.apart, "first": lambda r: r.first, "not first": lambda r: not r.first, "true": lambda r: True}
+    sizes = {(n, t): sum(r.n for r in drawn if r.toxic == t and in_set[c](r)) for n, c in of_set.items() for t in (True, False)}
+    sets = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in of_set.items()]))
     size = F.create_map(*[F.lit(x) for (n, t), k in sizes.items() for x in (f"{n}{t}", k)])
     forms = rows.select(F.explode(sets).alias("set"), "toxic", F.explode("words").alias("w")).groupBy("set", "w").agg(*[F.count_if(c).alias(n) for n, c in (("t", F.col("toxic")), ("o", ~F.col("toxic")))])
     rate = lambda n, t: F.col(n) / size[F.concat("set", F.lit(str(t)))]
@@ -217,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = {(r.set, r.part): r.text for r in windows.groupBy("set", "part").applyInArrow(train, "set string, part string, text string").collect()}
     models = {n: {part: texts.get((n, part), "") for part in bytes_of} for n in of_set}
     measured = []
-    for name, other in (("first", ~F.col("first")), ("second", F.col("first"))):
+    for name, other in measure_by.items():
         measured += _measure(rows.where(other).select("id", "toxic", "text"), models[name]).select(F.xxhash64("id").alias("h"), "toxic", "features").collect()
     measured.sort(key=lambda r: (r.h, r.features))
     x = np.array([r.features for r in measured], float)

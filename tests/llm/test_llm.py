@@ -177,6 +177,18 @@ def test_toxicity_bounded_sample_keeps_the_labels_share(spark, monkeypatch):
     assert toxicity.score(docs, model).where("predicted = 1").count() < 200
 
 
+def test_toxicity_curve_belongs_to_the_dictionaries_that_score(spark, monkeypatch):
+    """With many labels the curve is fitted to rows apart, measured with the dictionaries of the model itself."""
+    monkeypatch.setattr(toxicity, "APART", 5, raising=False)
+    used, measure = [], toxicity._measure
+    monkeypatch.setattr(toxicity, "_measure", lambda df, model: used.append((df, model)) or measure(df, model))
+    docs = spark.createDataFrame(toxic_rows(), DOCS)
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    assert {tuple(m[k] for k in ("base", "toxic", "contrast")) for _, m in used} == {tuple(model[k] for k in ("base", "toxic", "contrast"))}
+    assert 20 < sum(df.count() for df, _ in used) < 120
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in toxicity.score(docs, model).collect()]) > 0.9
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.fit(documents(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(odd(spark), model).collect()} == {0.0}
