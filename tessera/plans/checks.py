@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.shared import shared_dir
 from ..operators import diff_store, publication, search
 from .queries import _PROJECTED, _projection, _with, query
-from .roles import published_entities, published_relationships, published_year, table
+from .roles import published_entities, published_relationships, published_year, table, tasks_for
 
 # ---------------------------------------------------------------- integrity
 
@@ -32,9 +32,8 @@ def snapshot_evidence_integrity(spark, sf):
     edge = F.concat(F.lit("DEPENDS_ON:supplier:"), F.col("l_suppkey").cast("string"), F.lit("->part:"), F.col("l_partkey").cast("string"))
     cited = lines.select(F.lit(1996).cast("long").alias("publication_id"), edge.alias("object_id"), F.col("l_orderkey").alias("evidence_id"))
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("evidence_id"), F.col("o_orderstatus").alias("lineage"))
-    # Dealt to a fixed number of tasks, as ``published_year`` does.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    described = cited.where("evidence_id % 37 <> 0").repartition(tasks, "evidence_id").join(orders, "evidence_id").withColumn("lineage", F.when(F.col("evidence_id") % 43 == 0, "?").otherwise(F.col("lineage")))
+    # Dealt by the number of lines, as ``published_year`` does.
+    described = cited.where("evidence_id % 37 <> 0").repartition(tasks_for(table(spark, sf, "lineitem")), "evidence_id").join(orders, "evidence_id").withColumn("lineage", F.when(F.col("evidence_id") % 43 == 0, "?").otherwise(F.col("lineage")))
     objects, edges = published_year(spark, sf, 1996)
     return publication.integrity_violations(objects, edges, cited.where("evidence_id % 31 <> 0"), described, orders.where("evidence_id % 41 <> 0"))
 
