@@ -43,10 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives executors."""
+def settle(df: DataFrame, group_rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives executors.
+
+    Rows that hold long lists set ``group_rows``, the rows of a Parquet row group: readers decode up to 4,096 rows of one at a time.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

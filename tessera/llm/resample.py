@@ -25,8 +25,9 @@ from .common import settle, small_batches
 
 #: Buckets, longest run of words, least words of a document that may be drawn, share drawn, key of the noise.
 BUCKETS, LONGEST, MIN_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
-#: Non-zero counts after which a block is closed, and features whose bucket a task remembers.
-BLOCK_COUNTS, CACHE = 100_000, 500_000
+#: Non-zero counts after which a block is closed, blocks of a Parquet row group, and features whose bucket a task remembers.
+#: Readers decode up to a row group at a time and hand on an Arrow batch of blocks, so both are bounded, whatever a task reads.
+BLOCK_COUNTS, GROUP_BLOCKS, CACHE = 4096, 128, 500_000
 #: A word in UTF-8 bytes: ASCII digits and letters (lower case by then) and all bytes of other characters.
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -127,10 +128,13 @@ def weigh(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, words, features, ptr, at, counts = batch.columns
+            weights = []
             for i in range(batch.num_rows):
                 sums = np.concatenate([[0], np.cumsum(gain[_values(at, i)] * _values(counts, i))])
                 ends = _values(ptr, i)
-                yield pa.RecordBatch.from_arrays([ids[i].values, words[i].values, features[i].values, pa.array(sums[ends[1:]] - sums[ends[:-1]], pa.int64())], names=schema.names)
+                weights.append(sums[ends[1:]] - sums[ends[:-1]])
+            if weights:
+                yield pa.RecordBatch.from_arrays([ids.flatten(), words.flatten(), features.flatten(), pa.array(np.concatenate(weights), pa.int64())], names=schema.names)
 
     return matrix.mapInArrow(run, schema)
 
@@ -154,7 +158,7 @@ def resample(
     gives an empty table, an empty target a flat distribution.  The column sums that reach the
     driver have one row a bucket.
     """
-    matrix = settle(count_matrix(docs, id_col, text_col, buckets, longest))
+    matrix = settle(count_matrix(docs, id_col, text_col, buckets, longest), GROUP_BLOCKS)
     sums = [{r.bucket: r.n for r in column_sums(m, buckets).collect()} for m in (matrix, count_matrix(target, target_id, text_col, buckets, longest))]
     scored = weigh(matrix, gains(*sums, buckets)).withColumn("score", F.col("weight") + gumbel("id", seed))
     # A global order in range partitions: a row's place is its partition's offset and its place in it.

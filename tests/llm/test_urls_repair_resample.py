@@ -235,3 +235,19 @@ def test_matrix_blocks(spark):
         assert sorted(map(tuple, resample.weigh(cut, gain).collect())) == sorted(map(tuple, resample.weigh(whole, gain).collect()))
     finally:
         resample.BLOCK_COUNTS = resample_cut
+
+
+def test_stored_blocks_are_read_in_bounded_pieces(spark, tmp_path, monkeypatch):
+    """No row group and no Arrow batch of blocks grows with the documents of a task."""
+    import pyarrow.parquet as pq
+
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 199), i -> concat('w', id % 7, 'x', i)), ' ') AS text").coalesce(1)
+    out = resample.resample(docs, docs.limit(3).selectExpr("doc_id AS item_id", "text"))
+    assert out.count() == 12_000 and out.agg(F.sum("n_features")).first()[0] == 12_000 * 200 and out.where("rank IS NOT NULL").count() == 1200
+    files = [f for f in map(pq.ParquetFile, tmp_path.rglob("*.parquet")) if "ptr" in f.schema_arrow.names]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    held = [max(g.column(i).num_values for i in range(g.num_columns)) for g in groups]
+    assert sum(g.num_rows for g in groups) * 10_000 > sum(held) > 2_000_000 and max(held) <= 600_000
