@@ -12,7 +12,9 @@ import json
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,7 @@ from .shared import settle
 
 #: Control characters that have a short escape; the others are written in four hex digits.
 _SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
-#: Characters of items that ``object_hash`` packs into one row; a longer item is a row of its own.
+#: Bytes of items that ``object_hash`` packs into one row; a longer item is a row of its own.
 PIECE = 1 << 16
 _ESCAPES = [(chr(i), _SHORT.get(chr(i), f"\\u{i:04x}")) for i in range(32)]
 
@@ -109,7 +111,7 @@ def object_hash(rows: DataFrame, key: str, field: str, order: str, item: str, li
     A row belongs to the list named by its column ``field``; ``item`` is its JSON, ``order`` its place, as
     text or number.  Every object has all of ``lists``, empty ones too, and the ``constants``: JSON
     texts by field name, the same for all keys.  Rows are written once, sorted by ranges in many tasks and packed there
-    into compressed pieces of ``PIECE`` characters; only pieces go to one task by key and stream through the digest, as a
+    into compressed pieces of ``PIECE`` bytes; only pieces go to one task by key and stream through the digest, as a
     SHA-256 cannot be taken in parts.  Rows of other fields are an error; null keys are one key.
     """
     constants = constants or {}
@@ -149,36 +151,25 @@ def object_hash(rows: DataFrame, key: str, field: str, order: str, item: str, li
             return self.key, self.items, self.digest.hexdigest()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Consecutive items of one key and field as (key, field, part, place, items, body)."""
-        now, texts, size, place = None, [], 0, 0
-        done: list[tuple] = []
-
-        def close() -> None:
-            nonlocal place, texts, size
-            if texts:
-                done.append((*now, place, len(texts), zlib.compress(",".join(texts).encode(), 6)))
-                place, texts, size = place + 1, [], 0
-
-        def made(kind: pa.DataType) -> pa.RecordBatch:
-            types = (kind, pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=pieces.names)
-            done.clear()
-            return batch
-
-        kind = None
+        """Consecutive items of one key and field as (key, field, part, place, items, body): slices of a batch's own text."""
+        place = 0
         for batch in batches:
-            kind = batch.schema.field(0).type
-            for value, name, part, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if now != (value, name, part) or size + len(text) > PIECE:
-                    close()
-                    now = (value, name, part)
-                texts.append(text)
-                size += len(text) + 1
+            value, name, part, text = batch.columns
+            if text.null_count:
+                raise ValueError("an item is null")
+            text = text.cast(pa.large_string())
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            body, done = memoryview(text.buffers()[2] or b""), []
+            runs = np.unique(np.concatenate([pc.run_end_encode(c).run_ends.to_numpy() for c in (value, name)])) if len(text) else ()
+            begin = 0
+            for end in map(int, runs):
+                while begin < end:
+                    to = min(end, max(begin + 1, int(np.searchsorted(ends, ends[begin] + PIECE, "right")) - 1))
+                    done.append((value[begin].as_py(), name[begin].as_py(), part[begin].as_py(), place, to - begin, zlib.compress(body[ends[begin] : ends[to] - 1], 1)))
+                    begin, place = to, place + 1
             if done:
-                yield made(kind)
-        close()
-        if done:
-            yield made(kind)
+                types = (value.type, pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=pieces.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kind = None, None
@@ -198,6 +189,7 @@ def object_hash(rows: DataFrame, key: str, field: str, order: str, item: str, li
 
     dealt = settle(rows.select(F.col(key).alias("key"), F.col(field).alias("field"), F.col(order).alias("at"), F.col(item).alias("item")))
     ranged = dealt.repartitionByRange("key", "field", "at", "item").sortWithinPartitions("key", "field", "at", "item")
-    packed = ranged.select("key", "field", F.spark_partition_id().alias("part"), "item").mapInArrow(pack, pieces)
+    # Each item ends in its comma, so neighbours' texts are one text in an Arrow batch.
+    packed = ranged.select("key", "field", F.spark_partition_id().alias("part"), F.concat("item", F.lit(",")).alias("item")).mapInArrow(pack, pieces)
     packed = packed.repartition("key").sortWithinPartitions("key", "field", "part", "place")
     return packed.select("key", "field", "items", "body").mapInArrow(run, out)

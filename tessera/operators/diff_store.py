@@ -44,14 +44,23 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 
 def content(pairs: DataFrame, changes: DataFrame) -> DataFrame:
-    """The rows to store for ``pairs``: a summary each, zeros too, and all changes but unchanged objects, with the content hash."""
+    """The rows to store for ``pairs``: a summary each, zeros too, and all changes but unchanged objects, with the content hash.
+
+    The changes, the summaries and the hashes are written once: reading the result again compares and hashes nothing again.
+    """
     changes = settle(changes)
     counts = changes.groupBy(*_PAIR).agg(*[F.count_if(F.col("change") == c).alias(c) for c in _CHANGES])
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in _CHANGES]
     none = lambda *typed: [F.lit(None).cast(t).alias(n) for n, t in typed]
-    summary = pairs.join(counts, _PAIR, "left").select(*_PAIR, F.lit("summary").alias("section"), *none(("key", "string"), ("change", "string"), ("changed_fields", "array<string>")), *zero)
+    summary = settle(pairs.join(counts, _PAIR, "left").select(*_PAIR, F.lit("summary").alias("section"), *none(("key", "string"), ("change", "string"), ("changed_fields", "array<string>")), *zero))
     rows = changes.where("change <> 'unchanged'").select(*_PAIR, "section", "key", "change", "changed_fields", *none(*[(c, "long") for c in _CHANGES])).unionByName(summary)
-    return rows.join(F.broadcast(_hashed(rows).withColumnRenamed("fresh_hash", "content_hash")), _PAIR)
+    return rows.join(F.broadcast(settle(_hashed(rows).withColumnRenamed("fresh_hash", "content_hash"))), _PAIR)
+
+
+def _state(stored_hash: str, now_hash: str) -> Column:
+    """``corrupt`` (not what was stored), ``valid`` or ``outdated`` (not what its publications give); null if none is stored."""
+    agree = F.col(stored_hash).eqNullSafe(F.col(now_hash))
+    return F.when(~F.col("sound"), "corrupt").when(F.col("sound") & agree, "valid").when(F.col("sound"), "outdated")
 
 
 class DiffStore:
@@ -80,33 +89,33 @@ class DiffStore:
         return joined.select(*_PAIR, "diff_id", "generated_at", "content_hash", sound.alias("sound"))
 
     def save(self, pairs: DataFrame) -> DataFrame:
-        """Compare ``pairs`` and keep the result: (from_id, to_id, diff_id, action).
+        """Compare ``pairs`` and keep the result: (from_id, to_id, diff_id, action, state).
 
         A stored difference that is sound and equal to the new one is ``reused``, id and time with it; one that is corrupt or
-        out of date is ``replaced`` as a whole; a new one is ``created``.
+        out of date is ``replaced`` as a whole; a new one is ``created``.  ``state`` is what ``verified`` says of the difference as it
+        was found (null: none), for callers that mend: verifying before would compare the publications twice.
         """
         pairs = settle(pairs.select(*[F.col(c).cast("string").alias(c) for c in _PAIR]).distinct())
-        fresh = settle(content(pairs, self.compare(pairs)))
+        fresh = content(pairs, self.compare(pairs))
         old = self.check(self.rows().join(F.broadcast(pairs), _PAIR, "left_semi")).select(*_PAIR, F.col("diff_id").alias("old_id"), F.col("content_hash").alias("old_hash"), "sound")
         now = fresh.where("section = 'summary'").select(*_PAIR, "content_hash").join(old, _PAIR, "left")
-        reused = F.coalesce(F.col("sound") & (F.col("old_hash") == F.col("content_hash")), F.lit(False))
-        action = F.when(reused, "reused").when(F.col("sound").isNotNull(), "replaced").otherwise("created")
-        stamped = now.withColumn("generated_at", self.now())
+        stamped = now.withColumn("generated_at", self.now()).withColumn("state", _state("old_hash", "content_hash"))
+        reused = F.col("state").eqNullSafe("valid")
+        action = F.when(reused, "reused").when(F.col("state").isNotNull(), "replaced").otherwise("created")
         new_id = F.left(F.sha2(F.concat_ws("\x00", *_PAIR, "content_hash", F.col("generated_at").cast("string")), 256), F.lit(26))
-        told = settle(stamped.select(*_PAIR, F.when(reused, F.col("old_id")).otherwise(new_id).alias("diff_id"), action.alias("action"), "generated_at"))
+        told = settle(stamped.select(*_PAIR, F.when(reused, F.col("old_id")).otherwise(new_id).alias("diff_id"), action.alias("action"), "state", "generated_at"))
         write = fresh.join(F.broadcast(told.where("action <> 'reused'").select(*_PAIR, "diff_id", "generated_at")), _PAIR)
         columns = [part.split()[0] for part in STORED.split(", ")]
         write.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_PAIR).parquet(self.path)
         return told.drop("generated_at")
 
     def verified(self, pairs: DataFrame | None = None) -> DataFrame:
-        """(from_id, to_id, diff_id, generated_at, state) of stored pairs: ``valid``, ``corrupt`` (not what was stored) or ``outdated`` (not what its publications give)."""
+        """(from_id, to_id, diff_id, generated_at, state) of stored pairs, see ``_state``."""
         rows = self.rows() if pairs is None else self.rows().join(pairs.select(*[F.col(c).cast("string").alias(c) for c in _PAIR]), _PAIR, "left_semi")
         kept = settle(self.check(rows))
         wanted = kept.select(*_PAIR)
         fresh = content(wanted, self.compare(wanted)).where("section = 'summary'").select(*_PAIR, F.col("content_hash").alias("now_hash"))
-        state = F.when(~F.col("sound"), "corrupt").when(F.col("now_hash").eqNullSafe(F.col("content_hash")), "valid").otherwise("outdated")
-        return kept.join(fresh, _PAIR, "left").select(*_PAIR, "diff_id", "generated_at", state.alias("state"))
+        return kept.join(fresh, _PAIR, "left").select(*_PAIR, "diff_id", "generated_at", _state("content_hash", "now_hash").alias("state"))
 
     def comparisons(self, publication: str, after: str | None = None, limit: int = 50) -> DataFrame:
         """A page of the stored comparisons of a publication by id: 1 to 101 rows with their counts."""

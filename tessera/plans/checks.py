@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_dir
+from ..functions.shared import settle, shared_dir
 from ..operators import diff_store, publication, search
 from .queries import _PROJECTED, _projection, _with, query
-from .roles import published_entities, published_relationships, published_year, table, tasks_for
+from .roles import ends_of, entities, published_relationships, published_year, table, tasks_for
 
 # ---------------------------------------------------------------- integrity
 
@@ -51,11 +51,11 @@ _HASHED = """sha256('{"entity":[' || coalesce(e, '') || '],"relationship":[' ||
 
 
 def _year_pairs(spark, sf):
-    """(pairs of consecutive years, a comparison of both kinds of objects)."""
-    edges = published_relationships(spark, sf)
+    """(pairs of consecutive years, a comparison of both kinds of objects).  Both kinds are written once, for all comparisons."""
+    edges = settle(published_relationships(spark, sf).drop("type"))
     version = lambda key: F.concat_ws("@", key, F.col("publication_id").cast("string")).alias("version_id")
     relations = edges.select("publication_id", F.col("relationship_id").alias("key"), version("relationship_id"), F.concat_ws("|", F.col("n_lines").cast("string"), "flag").alias("content_hash"), "n_lines", "flag")
-    objects = published_entities(spark, sf).select("publication_id", F.col("entity_id").alias("key"), version("entity_id"), F.concat_ws("|", "name", "type").alias("content_hash"), "name", "type")
+    objects = settle(ends_of(edges, entities(spark, sf))).select("publication_id", F.col("entity_id").alias("key"), version("entity_id"), F.concat_ws("|", "name", "type").alias("content_hash"), "name", "type")
     years = table(spark, sf, "lineitem").select(F.year("l_shipdate").cast("long").alias("publication_id")).distinct()
     pairs = years.join(years.select((F.col("publication_id") - 1).alias("publication_id")), "publication_id").select(F.col("publication_id").cast("string").alias("from_id"), (F.col("publication_id") + 1).cast("string").alias("to_id"))
     compare = lambda wanted: diff_store.compare_pairs(wanted, objects, "entity", "key", ["name", "type"]).unionByName(diff_store.compare_pairs(wanted, relations, "relationship", "key", ["n_lines", "flag"]))
@@ -79,10 +79,9 @@ def diff_store_repair(spark, sf):
     store = diff_store.DiffStore(spark, path, compare)
     store.save(pairs)
     altered = store.rows().where("CAST(from_id AS INT) % 2 = 0").withColumn("added", F.col("added") + 1)
-    damaged = diff_store.settle(altered)
+    damaged = settle(altered)
     damaged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("from_id", "to_id").parquet(path)
-    state = diff_store.settle(store.verified().select("from_id", "to_id", "state"))
-    return state.join(store.save(pairs).select("from_id", "to_id", "action"), ["from_id", "to_id"])
+    return store.save(pairs).select("from_id", "to_id", "state", "action")
 
 
 # ---------------------------------------------------------------- search

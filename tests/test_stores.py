@@ -110,6 +110,31 @@ def test_differences_are_reused_replaced_and_verified(spark, tmp_path):
         kept.comparisons("1", limit=102)
 
 
+def test_saving_tells_what_verification_would_say(spark, tmp_path):
+    """States of stored differences come with the one comparison of a save: valid, corrupt, outdated, or none."""
+    clock = itertools.count(1)
+    kept = store(spark, str(tmp_path / "diffs"), snapshots(spark), clock)
+    assert {r.state for r in kept.save(spark.createDataFrame([("1", "2"), ("1", "1"), ("1", "3")], "from_id string, to_id string")).collect()} == {None}
+    rows = kept.rows().where("to_id = '3'").withColumn("removed", F.col("removed") + 1)
+    spark.createDataFrame(rows.collect(), rows.schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("from_id", "to_id").parquet(str(tmp_path / "diffs"))
+    changed = store(spark, str(tmp_path / "diffs"), snapshots(spark, "renamed").where("key <> 'k4'"), clock)
+    said = {(r.from_id, r.to_id): r.state for r in changed.verified().collect()}
+    found = {(r.from_id, r.to_id): (r.state, r.action) for r in changed.save(spark.createDataFrame([("1", "2"), ("1", "1"), ("1", "3"), ("2", "1")], "from_id string, to_id string")).collect()}
+    assert found == {("1", "1"): ("valid", "reused"), ("1", "2"): ("outdated", "replaced"), ("1", "3"): ("corrupt", "replaced"), ("2", "1"): (None, "created")}
+    assert said == {p: s for p, (s, _) in found.items() if s}
+
+
+def test_stored_differences_are_mended_by_two_comparisons(spark, monkeypatch):
+    """The query compares each publication once for a save and hashes stored rows once to verify them."""
+    from tessera import catalog
+
+    compared, hashed = [], []
+    monkeypatch.setattr(diff_store, "compare_pairs", lambda *a, f=diff_store.compare_pairs: compared.append(a[2]) or f(*a))
+    monkeypatch.setattr(diff_store, "_hashed", lambda rows, f=diff_store._hashed: hashed.append(rows) or f(rows))
+    assert catalog.QUERIES["diff_store_repair"](spark, "/root/testdata/sf0.001").count() == 6
+    assert len(compared) <= 4 and len(hashed) <= 4
+
+
 def test_entities_by_type_status_and_name(spark):
     rows = spark.createDataFrame([(1, "a", "api", "active", "alpha"), (1, "b", "module", "active", "beta"), (1, "c", "api", "stale", "alphabet"), (2, "a", "api", "active", "alpha")], "publication_id long, entity_id string, type string, status string, name_normalized string")
     ids = lambda **given: [r.entity_id for r in search.search_entities(rows, publication=1, **given).collect()]
