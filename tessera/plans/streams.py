@@ -53,7 +53,8 @@ def staged_transfer_stream(spark, sf):
     source = stored.inputFiles()[0].rsplit("/", 1)[0]
     folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", files // 2).parquet(source)
-    outcomes = assembly.staged_transfers(stream, delay="2 hours")
+    # A customer has about ten orders, so a bucket holds about a hundred transfers.
+    outcomes = assembly.staged_transfers(stream, delay="2 hours", buckets=1024 + table(spark, sf, "orders").count() // 1000)
     run = outcomes.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     found = assembly.ends(spark.read.schema(assembly.OUTCOMES).parquet(f"{folder}/out"))

@@ -3,14 +3,19 @@
 A transfer (source, scan) is announced by a ``started`` event, carried by ``chunk`` events and closed by
 a ``completed`` event.  State of a transfer: one row of declared facts and a map of blocks of its chunks.  Each access of state
 is a call to the JVM, so a micro-batch reads and writes a transfer's row and the blocks it touches once.  Event-time timers expire transfers that nothing touched and, later, forget closed ones.
+
+Many small transfers can share a key, a bucket: their rows and chunks are one value, read and written once a micro-batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: What the stream reads; ``received_at`` is the event time.
@@ -27,6 +32,10 @@ _HEAD = "status string, discovered_at string, expected_repositories long, expect
 _FIELDS = [part.split()[0] for part in _HEAD.split(", ")]
 #: Chunks of one entry of the map; entries held in memory at most before they are written.
 BLOCK, HELD = 64, 1024
+#: Chunks of a transfer that its bucket's value holds at most, and rows of a bucket that are sorted by transfer at a time.
+INLINE, SLICE = 256, 10_000
+_EMPTY = dict.fromkeys(part.split()[0] for part in EVENTS.split(", "))
+_CHUNKS = "places array<int>, checksums array<string>, repositories array<bigint>, documents array<bigint>"
 _OUTCOME = Row(*[part.split()[0] for part in OUTCOMES.split(", ")])
 
 
@@ -39,7 +48,7 @@ class Transfer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.head = handle.getValueState("head", _HEAD)
-        self.chunks = handle.getMapState("chunks", "block int", "places array<int>, checksums array<string>, repositories array<bigint>, documents array<bigint>")
+        self.chunks = handle.getMapState("chunks", "block int", _CHUNKS)
 
     def _load(self) -> dict:
         self.held: dict[int, dict[int, tuple]] = {}
@@ -190,7 +199,161 @@ class Transfer(StatefulProcessor):
         pass
 
 
-def staged_transfers(events: DataFrame, expiry_hours: float = EXPIRY_HOURS, delay: str = "1 hour", retention_hours: float = 30 * 24) -> DataFrame:
+class _Kept:
+    """One transfer in the value of its bucket: its row, and its chunks while they are few; the blocks of a large one are in the bucket's map."""
+
+    def __init__(self, name: tuple, shared, head: list | None = None, own: list = (), blocks: list | None = None):
+        self.name, self.shared, self.head = name, shared, head
+        self.own = {block: value for block, *value in own}
+        self.blocks = None if blocks is None else set(blocks)
+
+    def packed(self) -> list:
+        if self.blocks is None and sum(len(value[0]) for value in self.own.values()) > INLINE:
+            own, self.own, self.blocks = self.own, {}, set()
+            for block, value in own.items():
+                _KeptChunks(self).updateValue((block,), value)
+        return [*self.name, self.head, [[block, *value] for block, value in self.own.items()], None if self.blocks is None else sorted(self.blocks)]
+
+
+class _KeptHead:
+    """What ``Transfer`` calls as its row's state."""
+
+    def __init__(self, kept: _Kept):
+        self.kept = kept
+
+    def get(self) -> list | None:
+        return self.kept.head
+
+    def update(self, row: tuple) -> None:
+        self.kept.head = row
+
+    def clear(self) -> None:
+        self.kept.head = None
+
+
+class _KeptChunks:
+    """What ``Transfer`` calls as its map of blocks."""
+
+    def __init__(self, kept: _Kept):
+        self.kept = kept
+
+    def getValue(self, key: tuple) -> tuple | None:
+        kept = self.kept
+        return kept.own.get(key[0]) if kept.blocks is None else kept.shared.getValue((*kept.name, *key)) if key[0] in kept.blocks else None
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        if self.kept.blocks is None:
+            self.kept.own[key[0]] = value
+        else:
+            self.kept.blocks.add(key[0])
+            self.kept.shared.updateValue((*self.kept.name, *key), tuple(map(tuple, value)))
+
+    def iterator(self) -> Iterator[tuple]:
+        known = self.kept.own if self.kept.blocks is None else self.kept.blocks
+        return (((block,), self.getValue((block,))) for block in sorted(known))
+
+    def clear(self) -> None:
+        for block in self.kept.blocks or ():
+            self.kept.shared.removeKey((*self.kept.name, block))
+        self.kept.own, self.kept.blocks = {}, None
+
+
+class _NoTimers:
+    """A bucket has one timer, for the first of its transfers' times."""
+
+    def registerTimer(self, at: int) -> None:
+        pass
+
+    deleteTimer = registerTimer
+
+
+class _Event:
+    """An event that came as the JSON of its fields without nulls, and its time."""
+
+    __slots__ = ("fields",)
+
+    def __init__(self, packed: str, received_at):
+        self.fields = _EMPTY | json.loads(packed)
+        self.fields["received_at"] = received_at
+
+    def asDict(self) -> dict:
+        return self.fields
+
+
+class Bucket(StatefulProcessor):
+    """The state machines of the transfers of one bucket, each as ``Transfer`` has it.
+
+    Rows are (.., received_at, event), with an event's other fields as JSON, and results rows of one JSON list of outcomes: each column of each
+    row that passes between Spark and a stateful processor costs more than the step of the state machine.
+    """
+
+    def __init__(self, expiry_hours: float = EXPIRY_HOURS, retention_hours: float = 30 * 24):
+        self.transfer = Transfer(expiry_hours, retention_hours)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("transfers", "timer long, packed string")
+        self.blocks = handle.getMapState("blocks", "source_id string, scan_id string, block int", _CHUNKS)
+
+    def _open(self) -> tuple[dict[tuple, _Kept], int]:
+        found = self.value.get()
+        timer, packed = found or (0, "[]")
+        return {(source, scan): _Kept((source, scan), self.blocks, *rest) for source, scan, *rest in json.loads(packed)}, timer
+
+    def _of(self, kept: _Kept) -> Transfer:
+        self.transfer.handle, self.transfer.head, self.transfer.chunks = _NoTimers(), _KeptHead(kept), _KeptChunks(kept)
+        return self.transfer
+
+    def _close(self, known: dict[tuple, _Kept], timer: int) -> None:
+        """Store the transfers that are not forgotten; ``timer`` is the registered one, 0 if there is none."""
+        kept = [k for k in known.values() if k.head is not None]
+        at = _FIELDS.index("timer")
+        first = min((k.head[at] for k in kept if k.head[at]), default=0)
+        if first != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if first:
+                self.handle.registerTimer(first)
+        if kept:
+            self.value.update((first, json.dumps([k.packed() for k in kept], separators=(",", ":"))))
+        else:
+            self.value.clear()
+
+    @staticmethod
+    def _told(out: list[Row]) -> Iterator[Row]:
+        return iter([Row(told=json.dumps([o.asDict() for o in out]))] if out else [])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        (known, timer), told, rows = self._open(), [], iter(rows)
+        while some := list(itertools.islice(rows, SLICE)):
+            mine: dict[tuple, list] = {}
+            for row in some:
+                event = _Event(row[-1], row[-2])
+                mine.setdefault((event.fields["source_id"], event.fields["scan_id"]), []).append(event)
+            out: list[Row] = []
+            for name, events in mine.items():
+                kept = known.setdefault(name, _Kept(name, self.blocks))
+                out.extend(self._of(kept).handleInputRows(name, iter(events), timerValues))
+            told.extend(self._told(out))
+        self._close(known, timer)
+        return iter(told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        (known, timer), out, at = self._open(), [], _FIELDS.index("timer")
+        fired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        for name, kept in known.items():
+            due = kept.head[at]
+            if due and due <= max(fired, now):
+                info = type("Expired", (), {"getExpiryTimeInMs": lambda self, due=due: due})()
+                out.extend(self._of(kept).handleExpiredTimer(name, timerValues, info))
+        self._close(known, 0 if timer == fired else timer)
+        return self._told(out)
+
+    def close(self) -> None:
+        pass
+
+
+def staged_transfers(events: DataFrame, expiry_hours: float = EXPIRY_HOURS, delay: str = "1 hour", retention_hours: float = 30 * 24, buckets: int = 0) -> DataFrame:
     """A stream of ``OUTCOMES`` from a stream of ``EVENTS``, whatever order a transfer's events come in.
 
     A transfer commits once: when it is started and completed, every index from 0 to one less than the announced number has
@@ -198,15 +361,21 @@ def staged_transfers(events: DataFrame, expiry_hours: float = EXPIRY_HOURS, dela
     completed one's.  Equal repeats are duplicates and change nothing; two events that contradict each other end a transfer
     that is not committed yet.  A transfer that no accepted event touched for ``expiry_hours`` of event time expires, its later
     events are rejected; closed transfers are forgotten after ``retention_hours``.  Uses RocksDB state stores.
+
+    With ``buckets``, transfers are dealt to so many keys, a number that a checkpoint keeps: outcomes are the same, but the calls to the
+    JVM are those of a bucket, not of a transfer.  About a hundred open and remembered transfers in each are a good number.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = events.withWatermark("received_at", delay)
-    return timed.groupBy("source_id", "scan_id").transformWithState(statefulProcessor=Transfer(expiry_hours, retention_hours), outputStructType=OUTCOMES, outputMode="Append", timeMode="EventTime")
+    if not buckets:
+        return timed.groupBy("source_id", "scan_id").transformWithState(statefulProcessor=Transfer(expiry_hours, retention_hours), outputStructType=OUTCOMES, outputMode="Append", timeMode="EventTime")
+    fields = [f for f in _EMPTY if f != "received_at"]
+    packed = timed.select(F.pmod(F.xxhash64("source_id", "scan_id"), F.lit(buckets)).alias("bucket"), "received_at", F.to_json(F.struct(*fields)).alias("event"))
+    told = packed.groupBy("bucket").transformWithState(statefulProcessor=Bucket(expiry_hours, retention_hours), outputStructType="told string", outputMode="Append", timeMode="EventTime")
+    return told.select(F.inline(F.from_json("told", f"array<struct<{OUTCOMES}>>")))
 
 
 def ends(outcomes: DataFrame) -> DataFrame:
     """(source_id, scan_id, state, received) of every transfer in a table of ``OUTCOMES``: its end, or assembling."""
-    from pyspark.sql import functions as F
-
     end = F.when(F.col("event_id").isNull(), F.col("outcome"))
     return outcomes.groupBy("source_id", "scan_id").agg(F.coalesce(F.max(end), F.lit("assembling")).alias("state"), F.max("received").alias("received"))

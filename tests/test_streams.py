@@ -151,3 +151,53 @@ def test_state_is_touched_once_a_batch():
     rows = [type("Event", (), {"asDict": lambda self, e=e: dict(zip([f.split()[0] for f in assembly.EVENTS.split(", ")], e, strict=True))})() for e in transfer("t", ["a"] * 40)]
     out = list(transfers.handleInputRows(("s", "t"), iter(rows), type("Timers", (), {"getCurrentWatermarkInMs": lambda self: 0})()))
     assert out[-1].outcome == "committed" and len(out) == 43 and len(calls) == 4
+
+
+def test_buckets_tell_what_transfers_tell(spark, tmp_path):
+    """Any order, large transfers, expiry, forgetting and late events: the outcomes do not depend on buckets."""
+    from collections import Counter
+
+    events, whole, slow = sample(), transfer("whole", [f"c{i}" for i in range(2 * assembly.INLINE)]), transfer("slow", ["a", "b"])
+    random.Random(3).shuffle(events)
+    random.Random(4).shuffle(whole)
+    clock = lambda hours: transfer(f"clock{hours}", ["z"], start=T0 + dt.timedelta(hours=hours))
+    late = [(*slow[2][:4], T0 + dt.timedelta(hours=60), *slow[2][5:])]
+    again = [(*e[:2], e[2] + "-new", e[3], T0 + dt.timedelta(hours=301), *e[5:]) for e in transfer("good", ["a", "b", "c"])]
+    third = len(whole) // 3
+    files = [events[:9] + slow[:2] + whole[:third], events[9:] + whole[third - 5 : 2 * third], whole[2 * third :] + clock(20), whole[:9], clock(58), late + clock(61), clock(200), clock(300), again, clock(301)]
+    told = {}
+    for buckets in (0, 2):
+        out = run(spark, str(tmp_path / str(buckets)), files, delay="12 hours", retention_hours=48, buckets=buckets)
+        told[buckets] = Counter((r.source_id, r.scan_id, r.outcome, r.reason) for r in out if r.scan_id != "torn" or r.event_id is None)
+        ended = Counter((r.scan_id, r.outcome) for r in out if r.event_id is None)
+        assert ended["whole", "committed"] == 1 and ended["slow", "expired"] == 1 and ended["torn", "conflict"] == 1 and ended["good", "committed"] == 2
+    assert told[0] == told[2]
+
+
+def test_state_of_a_bucket_is_touched_once_a_batch():
+    """Calls do not grow with the transfers of a bucket; chunks of a large one leave the bucket's value."""
+    import json
+
+    calls, kept = [], {}
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *given: calls.append(name) or (kept.update({name: given}) if name == "update" else None)
+
+    bucket = assembly.Bucket()
+    bucket.handle = bucket.value = bucket.blocks = Store()
+    names = [f.split()[0] for f in assembly.EVENTS.split(", ")]
+    rows = [(7, e[4], json.dumps({n: v for n, v in zip(names, e, strict=True) if v is not None and n != "received_at"})) for t in range(40) for e in transfer(f"t{t}", ["a"] * 5)]
+    timers = type("Timers", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    out = json.loads(list(bucket.handleInputRows((7,), iter(rows), timers))[0].told)
+    assert sum(o["outcome"] == "committed" for o in out) == 40 and len(out) == 40 * 8 and len(calls) <= 4
+    large = transfer("large", ["a"] * (assembly.INLINE + 1))
+    calls.clear()
+    list(bucket.handleInputRows((7,), iter([(7, e[4], json.dumps({n: v for n, v in zip(names, e, strict=True) if n != "received_at"})) for e in large]), timers))
+    assert calls.count("updateValue") == assembly.INLINE // assembly.BLOCK + 1 and len(kept["update"][0][1]) < 1000
+
+
+def test_buckets_give_the_same_columns(spark):
+    stream = spark.readStream.format("rate").load().selectExpr("'s' AS source_id", "CAST(value AS STRING) AS scan_id", "'e' AS event_id", "'chunk' AS kind", "timestamp AS received_at", *[f"CAST(NULL AS {f.split()[1]}) AS {f.split()[0]}" for f in assembly.EVENTS.split(", ")[5:]])
+    plan = assembly.staged_transfers(stream, buckets=9)._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in plan and assembly.staged_transfers(stream, buckets=9).dtypes == assembly.staged_transfers(stream).dtypes
